@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import url_filter
+from tessera.llm import sstable, url_filter
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
@@ -45,6 +45,15 @@ from j
 """
 
 
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, written as sorted-string-table shards and read back from them."""
+    import public_tokenizers
+
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    manifest = sstable.write(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return sstable.read_back(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
