@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import sstable, url_filter
+from tessera.llm import parity_join, sstable, url_filter
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
@@ -54,6 +54,12 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_back(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every document under links of 5-word shingle Jaccard >= 0.8."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return parity_join.classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
