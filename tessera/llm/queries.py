@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import parity_join, sstable, url_filter
+from tessera.llm import ordinal, parity_join, sstable, url_filter
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
@@ -60,6 +60,13 @@ def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.classes(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, by a model fitted on labelled rows."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit(docs, _t(spark, sf_dir, "labels"))
+    return ordinal.grade(docs, model).select("doc_id", "severity", "grade", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +35,8 @@ MAGIC = b"TSST0001"
 FOOTER = struct.Struct("<8sQIQIQQBI")  # magic, index at, its bytes, bloom at, its bytes, documents, ids, width, crc
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Strings kept per Python worker with their ids; the table is emptied when full.
-CACHE = 300_000
+#: Words kept per Python worker with their ids, twice.
+CACHE = 120_000
 
 MANIFEST = "shard int, path string, docs long, ids long, bytes long"
 FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -205,15 +205,36 @@ class Reader:
 # ---- encoding ----
 
 
+class _Ids(dict):
+    """Word -> bytes of its ids. When full, words not used since the last time it was full are let go."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.old = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        x = self.old.get(word)
+        if x is None:
+            x = self.encode(word)
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        if len(word) < 64:
+            self[word] = x
+        return x
+
+
 class Encoder:
     """Ids of a text as bytes, equal to one encode() of the whole text.
 
-    The tokenizer's pre-tokens never span white space, so a text is cut at spaces and line ends and
-    the ids of each piece are kept and looked up; what the tables do not settle goes to the library.
+    For the word-level BPE with the pre-tokenizer PATTERN, a text of printable ASCII and Latin-1 letters
+    is lower-cased and split here and each distinct word goes through the model once; pre-tokens never
+    span white space, so of other texts only the pieces that need it go to the library's encode().
+    Any other tokenizer encodes whole texts.
     """
 
-    #: For pieces of printable ASCII and Latin-1 letters alone, lower-casing and splitting are these.
-    PLAIN = re.compile(r"[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PLAIN = re.compile(r"[\n\t\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str):
@@ -223,49 +244,31 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        spec = json.loads(self.tokenizer.to_str())
-        kinds = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_piece = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in kinds
-        self.pieces: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        if self.PLAIN.fullmatch(piece) and "<|" not in piece:
-            out = b""
-            for w in self.WORDS.findall(piece.lower()):
-                x = self.words.get(w)
-                if x is None:
-                    x = self._plain(w)
-                    if len(self.words) < CACHE:
-                        self.words[w] = x
-                out += x
-            return out
-        return self._plain(piece)
+        self.dtype = np.dtype(f"<u{self.width}")
+        state = lambda x: json.loads(x.__getstate__()) if x is not None else {}
+        split = state(self.tokenizer.pre_tokenizer).get("pretokenizers", [])
+        normal = state(self.tokenizer.normalizer).get("normalizers", [])
+        self.by_word = [x.get("pattern", {}).get("Regex") for x in split] == [self.PATTERN, None] and split[1]["type"] == "ByteLevel" and [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"]
+        # the byte-level alphabet: printable bytes stand for themselves, the others for 256 and on
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: b for b in own} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
+        self.words = _Ids(self._word)
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
+        return np.array([t.id for t in tokens], self.dtype).tobytes()
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_piece:
-            return self._plain(text)
-        parts = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.pieces[p] for p in parts])
-        except KeyError:
-            pass
-        if len(self.pieces) > CACHE:
-            self.pieces = {"": b""}
-        if len(self.words) >= CACHE:
-            self.words = {}
-        pieces, out = self.pieces, []
-        for p in parts:
-            x = pieces.get(p)
-            if x is None:
-                x = self._piece(p)
-                if len(p) < 64:
-                    pieces[p] = x
-            out.append(x)
-        return b"".join(out)
+        if not self.by_word:
+            return self._library(text)
+        if self.PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join(map(self.words.__getitem__, self.WORDS.findall(text.lower())))
+        if " " in text or "\n" in text:
+            return b"".join(map(self, text.replace("\n", " ").split(" ")))
+        return self._library(text)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -295,26 +298,27 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder: str |
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.repartitionByRange(n, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, enc, w = TaskContext.get().partitionId(), encoder(tokenizer), None
         end = b"" if end_id is None else np.array([end_id], f"<u{enc.width}").tobytes()
         for b in batches:
-            for k, t in zip(b["k"].astype(object), b["t"], strict=True):
+            for k, t in zip(b.column(0), b.column(1), strict=True):
                 if w is None:
                     path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
                     fs, local = _fs(path)
                     fs.create_dir(local.rpartition("/")[0], recursive=True)
                     out = fs.open_output_stream(local)
                     w = Writer(out, enc.width)
-                w.add(key_bytes(None if k is None or k != k else k if isinstance(k, str) else int(k)), enc(t) + end)
+                w.add(key_bytes(k.as_py()), enc(t.as_py()) + end)
         if w is not None:
             size = w.close()
             out.close()
-            yield pd.DataFrame([(shard, path, w.docs, w.ids, size)], columns=["shard", "path", "docs", "ids", "bytes"])
+            row = {"shard": shard, "path": path, "docs": w.docs, "ids": w.ids, "bytes": size}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
-    return cut(rows.mapInPandas(task, MANIFEST), "sst-manifest")
+    return cut(rows.mapInArrow(task, MANIFEST), "sst-manifest")
 
 
 def read_back(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -327,24 +331,21 @@ def read_back(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     n = max(1, manifest.count())
     rows = rows.repartition(n, "shard")
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "start", "n_tokens", "ids_crc32", "shard"]
+        frame = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.int32()], strict=True)], names)
         for b in batches:
-            for shard, path, start in zip(b["shard"], b["path"], b["base"], strict=True):
-                reader, out = Reader(path), []
+            for x in b.to_pylist():
+                reader, start, out = Reader(x["path"]), x["base"], []
                 for k, v in reader:
                     ids = np.frombuffer(v, f"<u{reader.width}").astype("<u4")
-                    out.append((key_of(k), start, len(ids), zlib.crc32(ids.tobytes()), shard))
+                    out.append((key_of(k), start, len(ids), zlib.crc32(ids.tobytes()), x["shard"]))
                     start += len(ids)
                     if len(out) == 20_000:
-                        yield _frame(out)
+                        yield frame(out)
                         out = []
                 reader.close()
                 if out:
-                    yield _frame(out)
-
-    return rows.mapInPandas(task, FOUND)
-
+                    yield frame(out)
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
-    return out.astype({"doc_id": "Int64"})
+    return rows.mapInArrow(task, FOUND)

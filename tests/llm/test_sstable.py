@@ -16,7 +16,7 @@ TEXTS = [
 
 def test_encoder_equals_library():
     lib, enc = Tokenizer.from_file(PATH), sstable.Encoder(PATH)
-    assert enc.by_piece and enc.width == 2
+    assert enc.by_word and enc.width == 2
     for _ in range(2):
         for t in TEXTS:
             assert np.frombuffer(enc(t or ""), "<u2").tolist() == lib.encode(t or "", add_special_tokens=False).ids, t
