@@ -171,7 +171,8 @@ def grade(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.5
     new = ("severity", "grade", "rejected")
     keep = [c for c in docs.columns if c not in new]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = rows.schema.add("severity", "double").add("grade", "integer").add("rejected", "boolean")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = f"{fields}, severity double, grade int, rejected boolean"
     at = keep.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
