@@ -49,41 +49,65 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one task finishes in memory (16 bytes each); more are contracted over the cluster first.
+LOCAL_EDGES = 500_000
+
+
+def _forest(batches):
+    """(id, at) of every vertex of the edges (u, v): at the smallest id of its component."""
+    import numpy as np
+    import pyarrow as pa
+
+    parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1) for b in batches if b.num_rows]
+    if not parts:
+        return
+    ids, e = np.unique(np.concatenate(parts), return_inverse=True)
+    e = e.reshape(-1, 2)
+    at = np.arange(len(ids))
+    while True:  # hook roots to smaller roots, then shorten all paths
+        a, b = at[e[:, 0]], at[e[:, 1]]
+        if (a == b).all():
+            break
+        np.minimum.at(at, np.maximum(a, b), np.minimum(a, b))
+        while (at[at] != at).any():
+            at = at[at]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[at])], ["id", "at"])
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", local_edges: int = LOCAL_EDGES) -> DataFrame:
     """Connected components of an undirected edge table: (id, component_id), component_id the
     smallest id reachable; ids without edges do not appear.
 
-    Randomised contraction: in each round every vertex hooks to the neighbour (itself included) of
-    smallest keyed hash, edges move to the hooks, loops and repeats go. The number of vertices left
-    shrinks by a constant factor a round whatever the graph, long paths included, and each round is
-    two shuffles of what is left. Nothing is collected; every round is cut into the shared folder.
-    Null ends are ignored; an empty table gives an empty result.
+    Randomised contraction: while more than local_edges edges are left, every vertex hooks to the
+    neighbour (itself included) of smallest keyed hash, edges move to the hooks, loops and repeats go.
+    The number of vertices shrinks by a constant factor a round whatever the graph, long paths
+    included; every round is cut into the shared folder and nothing is collected. What is left, a
+    bounded number of edges, is finished by one task. Null ends are ignored; an empty table gives an
+    empty result.
     """
     spark = edges.sparkSession
     paths: list[str] = []
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     e = cut(e.where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "cc-edges", paths)
     hops: list[DataFrame] = []
-    r = 0
-    while not e.isEmpty():
+    while e.count() > local_edges:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        rank = lambda c, r=r: F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("h"), F.col(c).alias("id"))
-        hook = cut(
-            both.groupBy("u").agg(F.min(rank("v")).alias("n")).select(F.col("u").alias("id"), F.least(F.col("n"), rank("u"))["id"].alias("to")),
-            "cc-hook", paths,
-        )
+        rank = lambda c, r=len(hops): F.struct(F.xxhash64(F.col(c), F.lit(r)).alias("h"), F.col(c).alias("id"))
+        hook = both.groupBy("u").agg(F.min(rank("v")).alias("n")).select(F.col("u").alias("id"), F.least(F.col("n"), rank("u"))["id"].alias("to"))
+        hook = cut(hook, "cc-hook", paths)
         hops.append(hook)
         left = e.join(hook.select(F.col("id").alias("u"), F.col("to").alias("tu")), "u")
         left = left.join(hook.select(F.col("id").alias("v"), F.col("to").alias("tv")), "v").where("tu != tv")
         e = cut(left.select(F.least("tu", "tv").alias("u"), F.greatest("tu", "tv").alias("v")).distinct(), "cc-edges", paths)
-        r += 1
+    last = cut(e.coalesce(1).mapInArrow(_forest, "id long, at long"), "cc-last", paths)
     if not hops:
-        return spark.createDataFrame([], "id long, component_id long")
-    at = hops[0].withColumnRenamed("to", "at")
-    for hook in hops[1:]:
-        at = at.join(hook.select(F.col("id").alias("at"), "to"), "at", "left").select("id", F.coalesce("to", "at").alias("at"))
-    at = cut(at, "cc-at", paths)
-    least = at.groupBy("at").agg(F.min("id").alias("component_id"))
-    out = cut(at.join(least, "at").select("id", "component_id"), "cc")
+        out = cut(last.select("id", F.col("at").alias("component_id")), "cc")
+    else:
+        at = hops[0].withColumnRenamed("to", "at")
+        for hop in [*hops[1:], last.withColumnRenamed("at", "to")]:
+            at = at.join(hop.select(F.col("id").alias("at"), "to"), "at", "left").select("id", F.coalesce("to", "at").alias("at"))
+        at = cut(at, "cc-at", paths)
+        least = at.groupBy("at").agg(F.min("id").alias("component_id"))
+        out = cut(at.join(least, "at").select("id", "component_id"), "cc")
     drop_paths(spark, paths)
     return out

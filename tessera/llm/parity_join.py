@@ -7,9 +7,10 @@ each band the sketch is cut into m > d blocks, so (pigeonhole) two sets that lin
 block, and blocks are joined by equality. Steps:
 
 1. One pass over the texts: set size, 128-bit identity of the set, a short sketch, block signatures.
-2. Sets that are equal collapse to the smallest id. Signatures of what is left are combined map-side
-   and grouped; in every group only the star around its smallest id becomes candidate pairs, so
-   candidates are linear in the signatures however large a group of copies is.
+2. Each task packs its signatures by bucket, those of equal sets once, and only the packed arrays are
+   shuffled; a bucket keeps the signatures that several sets share. Equal sets collapse to the
+   smallest id. Of every shared signature only the star around its smallest id becomes candidate
+   pairs, so candidates are linear in the signatures however large a group of copies is.
 3. Candidates pass the sketch bound, then are verified on their texts: first one for each document,
    then those that join different components.
 4. Groups that still hold several components are compared pairwise by sketch in tiles of bounded
@@ -19,7 +20,7 @@ Every link thus lies inside a final component, and only verified links build it.
 
 Agreement: with at most DETERMINISTIC blocks m > d holds and no link can be missed. Beyond, fewer
 blocks are used: as shingles fall on blocks by hash, the chance that a pair at the threshold itself
-finds too few untouched blocks is below MISS (1e-12) for a pair, the order of a hash collision.
+finds too few untouched blocks is below MISS (1e-9) for that pair, and far less above the threshold.
 exact=True keeps m > d everywhere.
 
 Nulls and texts without words: empty set, linked with nothing. A null id is returned unlinked with
@@ -43,9 +44,13 @@ from tessera.llm.common import components, cut, drop_paths
 WORDS = 5
 NUM, DEN = 80, 100  # Jaccard >= NUM / DEN
 RATIO = DEN / NUM  # width of a size band
-MISS = 1e-12
+MISS = 1e-9
 DETERMINISTIC = 64
 TILE = 1024
+#: Signatures that one bucket is meant to gather; the number of buckets follows from the texts.
+BUCKET = 4_000_000
+#: Groups of up to this many members are compared many at a time.
+SMALL = 64
 #: Members of one verification task around one document.
 SPOKES = 2000
 WORD_CACHE = 500_000
@@ -98,8 +103,9 @@ def band(n: int) -> int:
 def blocks(key: int, exact: bool = False) -> tuple[int, int]:
     """(m, t) for pairs met under a band key: m blocks, of which two linked sets agree on at least t;
     sets with fewer than t empty blocks then agree on one that is not empty."""
-    low, high = max(1, math.ceil(RATIO ** (key - 1) - 1e-6)), math.ceil(RATIO ** (key + 1) - 1e-6)
-    d = (2 * high * (DEN - NUM)) // (DEN + NUM)
+    # the smaller set of a pair met here is of band key - 1; pairs inside band key meet under key + 1 as well
+    low, high = max(1, math.ceil(RATIO ** (key - 1) - 1e-6)), math.ceil(RATIO**key - 1e-6)
+    d = int(high * (1 + RATIO) * (DEN - NUM) / (DEN + NUM) + 1e-6)
 
     def empty(m: int) -> int:
         mu = m * (1 - 1 / m) ** low if m > 1 else 0.0
@@ -170,62 +176,115 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 # ---- passes ----
 
-FEATURES = "id long, n long, h1 long, h2 long, sketch binary, sigs binary"
+FEATURES = "id long, n long, h1 long, h2 long, sketch binary, bucket int, sigs binary, ids binary"
+_NAMES = ["id", "n", "h1", "h2", "sketch", "bucket", "sigs", "ids"]
+_TYPES = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
 
-def _features(exact: bool, words: int):
+def _features(exact: bool, words: int, buckets: int):
+    """Of (id, text): a row for each text, and rows (bucket, sigs, ids) of packed signatures."""
+
+    def pack(held: list[tuple[int, np.ndarray]]) -> list[tuple]:
+        sig = np.concatenate([x for _, x in held])
+        ids = np.repeat(np.array([i for i, _ in held], np.int64), [len(x) for _, x in held])
+        at = ((sig >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        at, sig, ids = at[order], sig[order], ids[order]
+        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        return [(None, None, None, None, None, int(at[i]), sig[i:j].tobytes(), ids[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        held: list[tuple[int, np.ndarray]] = []
+        size = 0
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                ids, texts = b.column(0).slice(at, 1000), b.column(1).slice(at, 1000)
-                n, h1, h2, sk, sg = [], [], [], [], []
-                for t in texts:
-                    s = shingle_set(t.as_py(), words)
-                    n.append(len(s))
-                    h1.append(int(np.bitwise_xor.reduce(mix(s + _U(11))).astype(np.int64)) if len(s) else 0)
-                    h2.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64)) if len(s) else 0)
-                    sk.append(sketch(s).tobytes() if len(s) else b"")
-                    sg.append(signatures(s, exact).tobytes() if len(s) else b"")
-                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sk, pa.binary()), pa.array(sg, pa.binary())], ["id", "n", "h1", "h2", "sketch", "sigs"])
+            rows = []
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                i, s = i.as_py(), shingle_set(t.as_py(), words)
+                if not len(s):
+                    rows.append((i, 0, 0, 0, b"", None, None, None))
+                    continue
+                h1 = int(np.bitwise_xor.reduce(mix(s + _U(11))).astype(np.int64))
+                h2 = int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64))
+                rows.append((i, len(s), h1, h2, sketch(s).tobytes(), None, None, None))
+                if i is not None and (h1, h2) not in seen:
+                    if len(seen) > WORD_CACHE:
+                        seen.clear()
+                    seen.add((h1, h2))
+                    held.append((i, signatures(s, exact)))
+                    size += len(held[-1][1])
+                if size > 4 * 10**6:
+                    rows += pack(held)
+                    held, size = [], 0
+                if len(rows) >= 1000:
+                    yield batch(rows)
+                    rows = []
+            if rows:
+                yield batch(rows)
+        if held:
+            yield batch(pack(held))
 
     return run
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, id) once a batch for every signature, with its smallest id; (sig, id, spoke) for the others."""
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, id) of the signatures that several ids share, from packed buckets."""
+    sig, ids = [], []
     for b in batches:
-        for at in range(0, b.num_rows, 4000):
-            part = b.slice(at, 4000)
-            sigs = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
-            ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(x) for x in sigs])
-            if not len(ids):
-                continue
-            sig = np.concatenate(sigs)
-            order = np.lexsort((ids, sig))
-            sig, ids = sig[order], ids[order]
-            first = np.r_[True, sig[1:] != sig[:-1]]
-            hub = ids[np.maximum.accumulate(np.where(first, np.arange(len(ids)), 0))]
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(hub), pa.array(ids, mask=first | (ids == hub))], ["sig", "id", "spoke"])
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (sig, id): pairs (a, b) of the smallest id of a signature and each other one."""
-    sig0, hub0 = None, None
+        sig += [np.frombuffer(x.as_py(), np.int64) for x in b.column(0)]
+        ids += [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
+    if not sig:
+        return
+    sig, ids = np.concatenate(sig), np.concatenate(ids)
+    order = np.argsort(sig)
+    sig, ids = sig[order], ids[order]
+    same = sig[1:] == sig[:-1]
+    keep = np.r_[same, False] | np.r_[False, same]
+    sig, ids = sig[keep], ids[keep]
+    for at in range(0, len(sig), 500_000):
+        yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 500_000]), pa.array(ids[at : at + 500_000])], ["sig", "id"])
+
+
+class _Sketches:
+    """Hamming distances of many pairs of sketches of different lengths, the longer one folded."""
+
+    def __init__(self, column) -> None:
+        raw = [np.frombuffer(x.as_py(), _U) for x in column]
+        self.words = np.array([len(x) for x in raw], np.int64)
+        self.at = np.zeros(len(raw), np.int64)
+        self.by: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words):
+            own = np.flatnonzero(self.words == w)
+            self.at[own] = np.arange(len(own))
+            self.by[int(w)] = np.stack([raw[i] for i in own])
+
+    def rows(self, i: np.ndarray, have: int, want: int) -> np.ndarray:
+        x = self.by[have][self.at[i]]
+        return x if have == want else np.bitwise_xor.reduce(x.reshape(len(i), -1, want), axis=1)
+
+
+def _hamming(x: _Sketches, i: np.ndarray, y: _Sketches, j: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(i), np.int64)
+    kind = x.words[i] * (1 << 30) + y.words[j]
+    for k in np.unique(kind):
+        wx, wy = int(k >> 30), int(k & ((1 << 30) - 1))
+        w = min(wx, wy)
+        own = np.flatnonzero(kind == k)
+        step = max(1, 4_000_000 // max(wx, wy))
+        for at in range(0, len(own), step):
+            p = own[at : at + step]
+            out[p] = np.bitwise_count(x.rows(i[p], wx, w) ^ y.rows(j[p], wy, w)).sum(1, dtype=np.int64)
+    return out
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns a, b, na, nb, sa, sb in; a, b and whether the sketches allow a link out."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        sig, ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        spoke = b.column(2)
-        first = np.r_[sig0 is None or sig[0] != sig0, sig[1:] != sig[:-1]]
-        at = np.maximum.accumulate(np.where(first, np.arange(len(ids)), -1))
-        hub = np.where(at >= 0, ids[np.maximum(at, 0)], hub0 if hub0 is not None else 0)
-        sig0, hub0 = sig[-1], hub[-1]
-        own = spoke.is_valid().to_numpy(zero_copy_only=False)
-        a = np.concatenate([hub, ids[own]])
-        z = np.concatenate([ids, spoke.drop_null().to_numpy()])
-        keep = a != z
-        pairs = np.unique(np.stack([np.minimum(a, z)[keep], np.maximum(a, z)[keep]], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["a", "b"])
+        if b.num_rows:
+            at = np.arange(b.num_rows)
+            ok = within(b.column(2).to_numpy(), b.column(3).to_numpy(), _hamming(_Sketches(b.column(4)), at, _Sketches(b.column(5)), at))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], ["a", "b", "ok"])
 
 
 def _verify(words: int):
@@ -248,37 +307,66 @@ def _verify(words: int):
     return run
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, r, c, side, id, comp, n, sketch) sorted by tile: pairs of different components within the bound."""
-
-    def compare(rows: list[tuple]) -> pa.RecordBatch | None:
-        diagonal = rows[0][1] == rows[0][2]
-        left = rows if diagonal else [x for x in rows if x[3] == 0]
-        right = rows if diagonal else [x for x in rows if x[3] == 1]
-        if not left or not right:
-            return None
-        w = min(len(x[7]) for x in rows) // 8
-        sk = np.stack([fold(np.frombuffer(x[7], _U), w) for x in right])
-        ids, comp, n = (np.array([x[c] for x in right], np.int64) for c in (4, 5, 6))
-        a, z = [], []
-        for x in left:
-            ham = np.bitwise_count(sk ^ fold(np.frombuffer(x[7], _U), w)).sum(1, dtype=np.int64)
-            hit = ids[(comp != x[5]) & within(n, x[6], ham)]
-            a += [np.minimum(hit, x[4])]
-            z += [np.maximum(hit, x[4])]
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(z)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    rows: list[tuple] = []
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of rows that stand together (equal first columns), with the group starts."""
+    held: pa.Table | None = None
+
+    def cuts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for c in range(keys):
+            v = t.column(c).to_numpy()
+            new |= v[1:] != v[:-1]
+        return np.flatnonzero(np.r_[True, new])
+
     for b in batches:
-        for x in zip(*(b.column(c).to_pylist() for c in range(8)), strict=True):
-            if rows and rows[-1][:3] != x[:3]:
-                if (out := compare(rows)) is not None:
-                    yield out
-                rows = []
-            rows.append(x)
-    if rows and (out := compare(rows)) is not None:
-        yield out
+        if b.num_rows:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            at = cuts(held)
+            if len(at) > 1:
+                yield held.slice(0, int(at[-1])).combine_chunks(), at[:-1]
+                held = held.slice(int(at[-1]))
+    if held is not None and held.num_rows:
+        yield held, cuts(held)
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, r, c, side, id, comp, n, sketch) sorted by tile: pairs of different components within
+    the bound. A tile off the diagonal compares its two sides, one on it all its rows."""
+    for t, starts in _whole_groups(batches, 3):
+        r, c, side, ids, comp, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
+        sk = _Sketches(t.column(7))
+        ends = np.r_[starts[1:], t.num_rows]
+        sizes = ends - starts
+        left, right = [], []
+        small = (sizes <= SMALL) & (r[starts] == c[starts])
+        for k in np.unique(sizes[small]):
+            x, y = np.triu_indices(int(k), 1)
+            base = starts[small & (sizes == k)][:, None]
+            left.append((base + x).ravel())
+            right.append((base + y).ravel())
+        found = []
+
+        def test(i: np.ndarray, j: np.ndarray) -> None:
+            keep = (comp[i] != comp[j]) & within(n[i], n[j], np.abs(n[i] - n[j]))  # noqa: B023
+            i, j = i[keep], j[keep]
+            pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)  # noqa: B023
+            pair, first = np.unique(pair, axis=0, return_index=True)
+            i, j = i[first], j[first]
+            found.append(pair[within(n[i], n[j], _hamming(sk, i, sk, j))])  # noqa: B023
+
+        if left:
+            test(np.concatenate(left), np.concatenate(right))
+        for a, z in zip(starts[~small], ends[~small], strict=True):
+            own = np.arange(a, z)
+            here, there = (own, own) if r[a] == c[a] else (own[side[a:z] == 0], own[side[a:z] == 1])
+            for at in range(0, len(here), 256):
+                i, j = np.meshgrid(here[at : at + 256], there, indexing="ij")
+                up = (i < j) if r[a] == c[a] else np.ones(i.shape, bool)
+                if up.any():
+                    test(i[up], j[up])
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -299,15 +387,23 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     paths: list[str] = []
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    feats = cut(base.mapInArrow(_features(exact, words), FEATURES), "parity-features", paths)
-    same = feats.where("n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    reps = same.select(F.col("rep").alias("id"), "h1", "h2", "n")
-    own = feats.where("n > 0 and id is not null").join(reps, ["id", "h1", "h2", "n"], "left_semi").dropDuplicates(["id", "h1", "h2"])
-    own = cut(own.select("id", "n", "sketch", "sigs"), "parity-reps", paths)
-    # candidates: stars of the signature groups
-    sig = own.select("id", "sigs").mapInArrow(_explode, "sig long, id long, spoke long")
-    stars = sig.repartition(n, "sig").sortWithinPartitions("sig", "id").mapInArrow(_stars, "a long, b long").distinct()
-    short = own.select("id", "n", "sketch")
+    # about 0.6 signatures a word; octets / 6 is above the words of ordinary text
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
+    buckets = min(1 << 23, max(n, size // (10 * BUCKET)))
+    both = cut(base.mapInArrow(_features(exact, words, buckets), FEATURES), "parity-features", paths)
+    feats = both.where("bucket is null").select("id", "n", "h1", "h2", "sketch")
+    known = feats.where("n > 0 and id is not null")
+    same = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
+    twins = same.where("rep < last").select("h1", "h2", "n", "rep")
+    copies = known.select("id", "h1", "h2", "n").join(twins, ["h1", "h2", "n"]).where("id != rep").select("id", "rep").distinct()
+    # signatures that several sets share, by representative
+    shared = both.where("bucket is not null").select("sigs", "ids", "bucket").repartition(n, "bucket").select("sigs", "ids").mapInArrow(_shared, "sig long, id long")
+    shared = shared.join(copies, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
+    shared = cut(shared, "parity-shared", paths)
+    hubs = shared.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
+    stars = shared.join(hubs, "sig").where("a < id").select("a", F.col("id").alias("b")).distinct()
+    own = known.join(shared.select("id").distinct(), "id", "left_semi")
+    short = cut(own.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "parity-sketches", paths)
     a, b = (short.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     stars = stars.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
     stars = cut(stars.mapInArrow(_bounded, "a long, b long, ok boolean"), "parity-stars", paths)
@@ -321,10 +417,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     links = links.unionByName(more)
     label = components(links)
     # groups that still hold several components
-    met = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    met = met.join(label, "id", "left").select("id", F.coalesce("component_id", "id").alias("comp"))
-    sig = own.select("id", "sigs").join(met, "id").select("id", "sigs", "comp")
-    sig = cut(sig.mapInArrow(_plain, "sig long, id long, comp long"), "parity-sigs", paths)
+    sig = shared.join(label, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
     mixed = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
     rows = sig.join(mixed, "sig").withColumn("t", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -334,7 +427,6 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     late = cut(_links(late, texts, words), "parity-links", paths)
     if not late.isEmpty():
         label = components(links.unionByName(late))
-    twins = same.where("rep < last").select("h1", "h2", "n", "rep")
     rows = feats.select("id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     # an id that several rows repeat links through all of them
     again = rows.where("id is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
@@ -355,24 +447,3 @@ def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     la, lb = label.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), label.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))
     out = pairs.join(la, "a", "left").join(lb, "b", "left")
     return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
-def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns a, b, na, nb, sa, sb in; a, b and whether the sketches allow a link out."""
-    for b in batches:
-        na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-        ok = np.zeros(b.num_rows, bool)
-        for i, (x, y) in enumerate(zip(b.column(4), b.column(5), strict=True)):
-            x, y = np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)
-            w = min(len(x), len(y))
-            ok[i] = within(na[i], nb[i], int(np.bitwise_count(fold(x, w) ^ fold(y, w)).sum()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok)], ["a", "b", "ok"])
-
-
-def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, id, comp) of rows (id, sigs, comp)."""
-    for b in batches:
-        sigs = [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
-        n = [len(x) for x in sigs]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(2).to_numpy(), n))], ["sig", "id", "comp"])
