@@ -1,8 +1,10 @@
 """Toxicity grades by cumulative-link ordinal regression on sparse text features.
 
-Features are presence flags of words and of word beginnings of PREFIX letters. One weight vector is
-shared by all thresholds: P(grade > k) = sigmoid(w.x - theta_k) with theta_0 < theta_1 < ..., and
-the expected severity is the sum of these over k.
+Features are flags of words and of word beginnings of PREFIX letters: that it occurs, that it occurs
+twice or more, that it makes up DENSE of the words. One weight vector is shared by all thresholds:
+P(grade > k) = sigmoid(w.x - theta_k) with theta_0 < theta_1 < ..., and the expected severity is the
+sum of these over k. Weights are not negative: text can raise a grade, and no length of harmless
+text can hide what raises it.
 
 Fitting takes a bounded sample of labelled rows (SAMPLE a class, the smallest keyed hashes of the id);
 feature counts are made where the texts are, and only the chosen features (at most FEATURES, by a
@@ -26,9 +28,12 @@ from pyspark.sql import functions as F
 #: Labelled rows of each class taken for fitting.
 SAMPLE = 3000
 FEATURES = 2000
-MIN_Z, MIN_DOCS = 6.0, 5
+MIN_Z, MIN_RATIO = 5.0, 3.0
+#: A chosen flag is on at least this many texts, and this share of the texts, of label 1.
+MIN_DOCS, MIN_SHARE = 5, 0.01
 PREFIX = (4, 5, 6)
-RIDGE = 1e-3
+DENSE = 0.004
+RIDGE = 2e-5
 MEMO = 200_000
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -38,12 +43,22 @@ def word_features(w: str) -> tuple[str, ...]:
     return (w, *(f"{w[:n]}*" for n in PREFIX if len(w) > n))
 
 
+def flags_of(f: str, n: int, words: int) -> list[str]:
+    """Flags of a feature that n of a text's words carry."""
+    return [f, *([f"{f}2"] if n > 1 else []), *([f"{f}%"] if n >= DENSE * words else [])]
+
+
 def text_features(text: str | None) -> set[str]:
-    return {f for w in set(WORD.findall((text or "").lower())) for f in word_features(w)}
+    words = Counter(WORD.findall((text or "").lower()))
+    carried: Counter[str] = Counter()
+    for w, n in words.items():
+        for f in word_features(w):
+            carried[f] += n
+    return {x for f, n in carried.items() for x in flags_of(f, n, words.total())}
 
 
-def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = RIDGE, steps: int = 400, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
-    """Shared weights and ascending thresholds that minimise the cumulative-link loss, classes weighted evenly."""
+def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = RIDGE, steps: int = 1000, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """Shared weights of at least 0 and ascending thresholds that minimise the cumulative-link loss, classes weighted evenly."""
     n, m = x.shape
     x = x.astype(np.float32)
     count = np.bincount(y, minlength=grades)
@@ -67,9 +82,9 @@ def fit_cumulative(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = RID
         gw = (ds.astype(np.float32) @ x).astype(np.float64) + ridge * w
         ggap = np.array([dtheta[k + 1 :].sum() * math.exp(gap[k]) for k in range(grades - 2)])
         g = np.concatenate([gw, [dtheta.sum()], ggap])
-        mom, var = 0.9 * mom + 0.1 * g, 0.999 * var + 0.001 * g * g
-        step = rate * (1 - at / (steps + 1)) * (mom / (1 - 0.9**at)) / (np.sqrt(var / (1 - 0.999**at)) + 1e-8)
-        w, t0, gap = w - step[:m], t0 - step[m], np.clip(gap - step[m + 1 :], -5, 5)
+        mom, var = 0.9 * mom + 0.1 * g, 0.98 * var + 0.02 * g * g
+        step = rate * (1 - at / (steps + 1)) * (mom / (1 - 0.9**at)) / (np.sqrt(var / (1 - 0.98**at)) + 1e-8)
+        w, t0, gap = np.maximum(0, w - step[:m]), t0 - step[m], np.clip(gap - step[m + 1 :], -5, 5)
     return w, t0 + np.r_[0.0, np.cumsum(np.exp(gap))]
 
 
@@ -83,22 +98,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.asarray(score)[:, None] - np.array(self.thetas)[None, :], -40, 40)))
 
     def scorer(self):
-        """text -> w.x; a word's part is looked up once a task."""
-        ids = {f: i for i, f in enumerate(self.weights)}
-        values = list(self.weights.values())
-        memo: dict[str, tuple[int, ...]] = {}
+        """text -> w.x; what a word carries is looked up once a task."""
+        used = {f.rstrip("2%") for f in self.weights}
+        memo: dict[str, tuple[str, ...]] = {}
 
         def score(text: str | None) -> float:
-            found: set[int] = set()
-            for w in set(WORD.findall((text or "").lower())):
+            words = Counter(WORD.findall((text or "").lower()))
+            carried: dict[str, int] = {}
+            for w, n in words.items():
                 hit = memo.get(w)
                 if hit is None:
                     if len(memo) >= MEMO:
                         memo.clear()
-                    hit = memo[w] = tuple(ids[f] for f in word_features(w) if f in ids)
-                if hit:
-                    found.update(hit)
-            return math.fsum(values[i] for i in found)
+                    hit = memo[w] = tuple(f for f in word_features(w) if f in used)
+                for f in hit:
+                    carried[f] = carried.get(f, 0) + n
+            if not carried:
+                return 0.0
+            total = words.total()
+            return math.fsum(self.weights.get(x, 0.0) for f, n in carried.items() for x in flags_of(f, n, total))
 
         return score
 
@@ -112,21 +130,27 @@ def sample(labels: DataFrame, id: str, label: str, per_class: int) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE) -> Model:
     """Fit on labelled rows. Binary labels become three grades: 0 for label 0; rows of label 1 are parted
-    at the median share of their words that carry a feature typical of label 1 into grades 1 and 2.
+    at the median of chosen flags per word into grades 1 and 2.
 
     Rows without a label, or with a null id or label, are not used. Without rows of both labels the model
     has no weights and gives every text grade 0.
     """
     chosen = sample(labels, id, label, per_class)
-    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text")
+    rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    # copies of a text count once; the sample is bounded, so is this shuffle
+    rows = rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("id").alias("id"), F.max("y").alias("y"), F.first("text").alias("text")).select("id", "y", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], int] = Counter()
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["f", "y", "n"])
         for b in batches:
             for y, t in zip(b.column(1), b.column(2), strict=True):
                 seen.update((f, y.as_py()) for f in text_features(t.as_py()))
                 seen[("", y.as_py())] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], ["f", "y", "n"])
+                if len(seen) > 300_000:
+                    yield out()
+                    seen.clear()
+        yield out()
 
     n1 = F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0))
     n0 = F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0))
@@ -137,12 +161,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             return Model({}, (20.0, 21.0))
         p = (F.col("n1") + F.col("n0") + 1) / F.lit(float(total.n1 + total.n0 + 2))
         z = (F.col("n1") / total.n1 - F.col("n0") / total.n0) / F.sqrt(p * (1 - p) * (1 / total.n1 + 1 / total.n0) + 1e-12)
-        best = counts.where((F.col("f") != "") & (F.col("n1") + F.col("n0") >= MIN_DOCS)).withColumn("z", z).where(F.abs("z") >= MIN_Z)
-        best = best.orderBy(F.abs("z").desc(), "f").limit(FEATURES).collect()
+        best = counts.where((F.col("f") != "") & (F.col("n1") >= max(MIN_DOCS, MIN_SHARE * total.n1))).withColumn("z", z)
+        best = best.where((F.col("z") >= MIN_Z) & (F.col("n1") * float(total.n0) >= MIN_RATIO * F.col("n0") * float(total.n1)))
+        best = best.orderBy(F.col("z").desc(), "f").limit(FEATURES).collect()
     finally:
         counts.unpersist()
     names = [r.f for r in best]
-    typical = {r.f for r in best if r.z > 0 and r.n1 * total.n0 >= 4 * r.n0 * total.n1}
     at = {f: i for i, f in enumerate(names)}
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
             for t in b.column(2):
                 fs = text_features(t.as_py())
                 hits.append(sorted(at[f] for f in fs if f in at))
-                share.append(sum(f in typical for f in fs) / max(1, len(WORD.findall(t.as_py() or ""))))
+                share.append(len(hits[-1]) / max(1, len(WORD.findall(t.as_py() or ""))))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(share, pa.float64())], ["id", "y", "hits", "share"])
 
     found = rows.mapInArrow(flags, "id long, y int, hits array<int>, share double").toArrow().sort_by([("id", "ascending"), ("share", "ascending")]).to_pylist()
@@ -164,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return Model({f: float(v) for f, v in zip(names, w, strict=False)}, tuple(float(t) for t in theta))
 
 
-def grade(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.5) -> DataFrame:
+def grade(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.4) -> DataFrame:
     """All rows and columns of docs with severity (expected grade), grade (the most likely one) and
     rejected (P(grade >= 1) >= reject). A null or empty text has no features and is scored as such.
     Columns of docs with these names are replaced."""

@@ -6,15 +6,18 @@ Jaccard >= t that size is at most d = (1 - t) / (1 + t) * (|A| + |B|). Sizes fal
 each band the sketch is cut into m > d blocks, so (pigeonhole) two sets that link agree on some
 block, and blocks are joined by equality. Steps:
 
-1. One pass over the texts: set size, 128-bit identity of the set, a short sketch, block signatures.
+1. One pass over the texts: set size, 128-bit identity of the set, block signatures.
 2. Each task packs its signatures by bucket, those of equal sets once, and only the packed arrays are
    shuffled; a bucket keeps the signatures that several sets share. Equal sets collapse to the
    smallest id. Of every shared signature only the star around its smallest id becomes candidate
    pairs, so candidates are linear in the signatures however large a group of copies is.
-3. Candidates pass the sketch bound, then are verified on their texts: first one for each document,
+3. Sketches are made for documents that share a signature, with eight bits or more a shingle, so that
+   the bound is close. Candidates within it are verified on their texts: first one for each document,
    then those that join different components.
 4. Groups that still hold several components are compared pairwise by sketch in tiles of bounded
-   size; only pairs of different components within the bound are emitted and verified.
+   size. Of the pairs of different components within the bound a tile emits a spanning forest, so
+   no more pairs than it has rows; these are verified, components grow, pairs that failed are set
+   aside, and this is repeated until no tile has a pair left.
 
 Every link thus lies inside a final component, and only verified links build it.
 
@@ -51,6 +54,8 @@ TILE = 1024
 BUCKET = 4_000_000
 #: Groups of up to this many members are compared many at a time.
 SMALL = 64
+#: Up to this many ids (8 bytes each) are broadcast.
+BROADCAST_IDS = 1 << 20
 #: Members of one verification task around one document.
 SPOKES = 2000
 WORD_CACHE = 500_000
@@ -153,8 +158,8 @@ def signatures(s: np.ndarray, exact: bool = False) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity sketch as uint64 words; its bits are a power of two of at least 256 and the set's size."""
-    bits = max(256, 1 << max(0, int(len(s)) - 1).bit_length())
+    """Parity sketch as uint64 words; its bits are a power of two of at least 256 and 8 times the set's size."""
+    bits = max(256, 8 << max(0, int(len(s)) - 1).bit_length())
     flips = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(_U)
 
@@ -176,9 +181,9 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 # ---- passes ----
 
-FEATURES = "id long, n long, h1 long, h2 long, sketch binary, bucket int, sigs binary, ids binary"
-_NAMES = ["id", "n", "h1", "h2", "sketch", "bucket", "sigs", "ids"]
-_TYPES = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+FEATURES = "id long, n long, h1 long, h2 long, bucket int, sigs binary, ids binary"
+_NAMES = ["id", "n", "h1", "h2", "bucket", "sigs", "ids"]
+_TYPES = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
 
 
 def _features(exact: bool, words: int, buckets: int):
@@ -191,7 +196,7 @@ def _features(exact: bool, words: int, buckets: int):
         order = np.argsort(at, kind="stable")
         at, sig, ids = at[order], sig[order], ids[order]
         cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        return [(None, None, None, None, None, int(at[i]), sig[i:j].tobytes(), ids[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+        return [(None, None, None, None, int(at[i]), sig[i:j].tobytes(), ids[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -203,11 +208,11 @@ def _features(exact: bool, words: int, buckets: int):
             for i, t in zip(b.column(0), b.column(1), strict=True):
                 i, s = i.as_py(), shingle_set(t.as_py(), words)
                 if not len(s):
-                    rows.append((i, 0, 0, 0, b"", None, None, None))
+                    rows.append((i, 0, 0, 0, None, None, None))
                     continue
                 h1 = int(np.bitwise_xor.reduce(mix(s + _U(11))).astype(np.int64))
                 h2 = int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64))
-                rows.append((i, len(s), h1, h2, sketch(s).tobytes(), None, None, None))
+                rows.append((i, len(s), h1, h2, None, None, None))
                 if i is not None and (h1, h2) not in seen:
                     if len(seen) > WORD_CACHE:
                         seen.clear()
@@ -228,6 +233,15 @@ def _features(exact: bool, words: int, buckets: int):
     return run
 
 
+def _sketch(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["id", "n", "sketch"])
+
+    return run
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, id) of the signatures that several ids share, from packed buckets."""
     sig, ids = [], []
@@ -331,11 +345,13 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tupl
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, r, c, side, id, comp, n, sketch) sorted by tile: pairs of different components within
-    the bound. A tile off the diagonal compares its two sides, one on it all its rows."""
+    """Of rows (sig, r, c, side, id, comp, n, sketch, dead) sorted by tile: of the pairs of different
+    components within the bound and not dead, a spanning forest, closest pairs first. A tile off the
+    diagonal compares its two sides, one on it all its rows."""
     for t, starts in _whole_groups(batches, 3):
         r, c, side, ids, comp, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
         sk = _Sketches(t.column(7))
+        dead = {(i, j) for i, x in zip(ids.tolist(), t.column(8), strict=True) if x.is_valid for j in x.as_py()}
         ends = np.r_[starts[1:], t.num_rows]
         sizes = ends - starts
         left, right = [], []
@@ -346,6 +362,20 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append((base + x).ravel())
             right.append((base + y).ravel())
         found = []
+        root: dict[int, int] = {}
+
+        def forest(pair: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
+            """Pairs that join what nothing before them in this tile set has joined."""
+            keep = []
+            for k, (a, b) in enumerate(zip(ca.tolist(), cb.tolist(), strict=True)):
+                while (x := root.get(a, a)) != a:  # noqa: B023
+                    a = root[a] = root.get(x, x)  # noqa: B023
+                while (x := root.get(b, b)) != b:  # noqa: B023
+                    b = root[b] = root.get(x, x)  # noqa: B023
+                if a != b:
+                    root[max(a, b)] = min(a, b)  # noqa: B023
+                    keep.append(k)
+            return pair[keep]
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
             keep = (comp[i] != comp[j]) & within(n[i], n[j], np.abs(n[i] - n[j]))  # noqa: B023
@@ -353,7 +383,14 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)  # noqa: B023
             pair, first = np.unique(pair, axis=0, return_index=True)
             i, j = i[first], j[first]
-            found.append(pair[within(n[i], n[j], _hamming(sk, i, sk, j))])  # noqa: B023
+            ham = _hamming(sk, i, sk, j)  # noqa: B023
+            ok = within(n[i], n[j], ham)  # noqa: B023
+            if dead and ok.any():  # noqa: B023
+                ok[ok] = [(a, b) not in dead for a, b in pair[ok].tolist()]  # noqa: B023
+            if ok.any():
+                rel = (ham / (n[i] + n[j]))[ok]  # noqa: B023
+                order = np.argsort(rel, kind="stable")
+                found.append(forest(pair[ok][order], comp[i][ok][order], comp[j][ok][order]))  # noqa: B023
 
         if left:
             test(np.concatenate(left), np.concatenate(right))
@@ -387,11 +424,19 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     paths: list[str] = []
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    # rows that repeat an id go by a hash of id and text until the end
+    again = cut(base.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("id"), "parity-again", paths)
+    repeated = not again.isEmpty()
+    if repeated:
+        own = F.when(F.col("again"), -1 - F.shiftrightunsigned(F.xxhash64("id", "text"), 1)).otherwise(F.col("id"))
+        base = base.join(again.withColumn("again", F.lit(True)), "id", "left").select(own.alias("id"), "text", F.col("id").alias("given"))
+        names = cut(base.where("id != given").select("id", "given").distinct(), "parity-names", paths)
+        base = base.select("id", "text")
     # about 0.6 signatures a word; octets / 6 is above the words of ordinary text
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     buckets = min(1 << 23, max(n, size // (10 * BUCKET)))
     both = cut(base.mapInArrow(_features(exact, words, buckets), FEATURES), "parity-features", paths)
-    feats = both.where("bucket is null").select("id", "n", "h1", "h2", "sketch")
+    feats = both.where("bucket is null").select("id", "n", "h1", "h2")
     known = feats.where("n > 0 and id is not null")
     same = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     twins = same.where("rep < last").select("h1", "h2", "n", "rep")
@@ -402,39 +447,48 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     shared = cut(shared, "parity-shared", paths)
     hubs = shared.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
     stars = shared.join(hubs, "sig").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    own = known.join(shared.select("id").distinct(), "id", "left_semi")
-    short = cut(own.groupBy("id").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "parity-sketches", paths)
+    # texts of the documents that share a signature: by broadcast ids where their number allows, else by key
+    need = cut(shared.select("id").distinct(), "parity-need", paths)
+    few = need.count() <= BROADCAST_IDS
+    texts = base.where("id is not null").join(F.broadcast(need) if few else need, "id", "left_semi")
+    texts = cut(texts, "parity-texts", paths)
+    short = cut(texts.mapInArrow(_sketch(words), "id long, n long, sketch binary").dropDuplicates(["id"]), "parity-sketches", paths)
     a, b = (short.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     stars = stars.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
     stars = cut(stars.mapInArrow(_bounded, "a long, b long, ok boolean"), "parity-stars", paths)
     near = stars.where("ok").select("a", "b")
-    texts = base.where("id is not null")
-    links = cut(_links(near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), texts, words), "parity-links", paths)
+    first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = cut(_links(first, texts, words), "parity-links", paths)
     # what the first links leave apart
     label = components(links)
     rest = _across(near, label)
-    more = cut(_links(rest.select("a", "b"), texts, words), "parity-links", paths)
+    more = cut(_links(rest, texts, words), "parity-links", paths)
     links = links.unionByName(more)
-    label = components(links)
+    failed = cut(first.unionByName(rest).distinct().join(links, ["a", "b"], "left_anti"), "parity-failed", paths)
     # groups that still hold several components
-    sig = shared.join(label, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
-    mixed = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
-    rows = sig.join(mixed, "sig").withColumn("t", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    rows = rows.select("sig", F.least("t", "o").alias("r"), F.greatest("t", "o").alias("c"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"), "id", "comp").join(short, "id")
-    rows = rows.select("sig", "r", "c", "side", "id", "comp", "n", "sketch").repartition(n, "sig", "r", "c").sortWithinPartitions("sig", "r", "c")
-    late = rows.mapInArrow(_tiles, "a long, b long").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    late = cut(_links(late, texts, words), "parity-links", paths)
-    if not late.isEmpty():
-        label = components(links.unionByName(late))
+    while True:
+        label = components(links)
+        sig = shared.join(label, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
+        mixed = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
+        rows = sig.join(mixed, "sig").withColumn("t", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
+        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        rows = rows.select("sig", F.least("t", "o").alias("r"), F.greatest("t", "o").alias("c"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"), "id", "comp")
+        dead = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("dead"))
+        rows = rows.join(short.join(dead, "id", "left"), "id").select("sig", "r", "c", "side", "id", "comp", "n", "sketch", "dead")
+        rows = rows.repartition(n, "sig", "r", "c").sortWithinPartitions("sig", "r", "c")
+        late = cut(rows.mapInArrow(_tiles, "a long, b long").distinct(), "parity-late", paths)
+        if late.isEmpty():
+            break
+        more = cut(_links(late, texts, words), "parity-links", paths)
+        failed = failed.unionByName(late.join(more, ["a", "b"], "left_anti"))
+        links = links.unionByName(more)
     rows = feats.select("id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
-    # an id that several rows repeat links through all of them
-    again = rows.where("id is not null").groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    if not again.isEmpty():
-        pairs = rows.join(again.select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        known = label.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
-        own_rep = rows.where("id is not null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-        label = components(known.unionByName(pairs).unionByName(own_rep))
+    if repeated:
+        real = lambda df, c: df.join(names.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("given", c)).drop("given")
+        rows = rows.where("id is null").unionByName(real(real(rows.where("id is not null"), "id"), "rep"))
+        edges = real(real(label.select(F.col("id").alias("a"), F.col("component_id").alias("b")), "a"), "b")
+        same_set = rows.where("id is not null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        label = components(edges.select("a", "b").unionByName(same_set))
     out = rows.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     out = out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("rep").alias("rep_id"), F.coalesce("component_id", "rep").alias("component_id"))
     out = cut(out, "parity-classes")
