@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ordinal, parity_join, sstable, url_filter
+from tessera.llm import ordinal, parity_join, pii, sstable, url_filter
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
+#: Surrogates follow from this key; a deployment sets its own and keeps it secret.
+PII_KEY = os.environ.get("TESSERA_PII_KEY", "surrogate-key-1")
 TRACKED = r"[?&](utm_[a-z]+|ref)="
 
 
@@ -54,6 +57,12 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read_back(spark, manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, PII_KEY, count="n_entities")
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document under links of 5-word shingle Jaccard >= 0.8."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
