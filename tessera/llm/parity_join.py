@@ -7,17 +7,18 @@ each band the sketch is cut into m > d blocks, so (pigeonhole) two sets that lin
 block, and blocks are joined by equality. Steps:
 
 1. One pass over the texts: set size, 128-bit identity of the set, block signatures.
-2. Each task packs its signatures by bucket, those of equal sets once, and only the packed arrays are
-   shuffled; a bucket keeps the signatures that several sets share. Equal sets collapse to the
-   smallest id. Of every shared signature only the star around its smallest id becomes candidate
-   pairs, so candidates are linear in the signatures however large a group of copies is.
+2. Equal sets collapse to the smallest id. A fixed eighth of the signature space is met first: tasks
+   pack their signatures by bucket and only packed arrays are shuffled; of every signature that several
+   sets share the star around its smallest id becomes candidate pairs, so candidates are linear in the
+   signatures however large a group of copies is.
 3. Sketches are made for documents that share a signature, with eight bits or more a shingle, so that
    the bound is close. Candidates within it are verified on their texts: first one for each document,
    then those that join different components.
-4. Groups that still hold several components are compared pairwise by sketch in tiles of bounded
-   size. Of the pairs of different components within the bound a tile emits a spanning forest, so
-   no more pairs than it has rows; these are verified, components grow, pairs that failed are set
-   aside, and this is repeated until no tile has a pair left.
+4. All signatures are met, now with the components known: a bucket keeps only groups that hold several
+   components. They are compared pairwise by shortened sketch in tiles of bounded size. Of the pairs
+   within the bound a tile emits a spanning forest, so no more pairs than it has rows; these are
+   verified, components grow, pairs that failed are set aside, and this is repeated until no tile has
+   a pair left.
 
 Every link thus lies inside a final component, and only verified links build it.
 
@@ -54,6 +55,8 @@ TILE = 1024
 BUCKET = 4_000_000
 #: Groups of up to this many members are compared many at a time.
 SMALL = 64
+#: Words of the shortened sketches (64 bits each).
+BRIEF = 32
 #: Up to this many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 1 << 20
 #: Members of one verification task around one document.
@@ -181,83 +184,112 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 # ---- passes ----
 
-FEATURES = "id long, n long, h1 long, h2 long, bucket int, sigs binary, ids binary"
-_NAMES = ["id", "n", "h1", "h2", "bucket", "sigs", "ids"]
-_TYPES = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
+FEATURES = "id long, n long, h1 long, h2 long, sigs binary"
 
 
-def _features(exact: bool, words: int, buckets: int):
-    """Of (id, text): a row for each text, and rows (bucket, sigs, ids) of packed signatures."""
-
-    def pack(held: list[tuple[int, np.ndarray]]) -> list[tuple]:
-        sig = np.concatenate([x for _, x in held])
-        ids = np.repeat(np.array([i for i, _ in held], np.int64), [len(x) for _, x in held])
-        at = ((sig >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        at, sig, ids = at[order], sig[order], ids[order]
-        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        return [(None, None, None, None, int(at[i]), sig[i:j].tobytes(), ids[i:j].tobytes()) for i, j in zip(cuts, [*cuts[1:], len(at)], strict=True)]
+def _features(exact: bool, words: int):
+    """Of (id, text): size, identity and signatures of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
-        held: list[tuple[int, np.ndarray]] = []
-        size = 0
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)], _NAMES)
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0), b.column(1), strict=True):
-                i, s = i.as_py(), shingle_set(t.as_py(), words)
-                if not len(s):
-                    rows.append((i, 0, 0, 0, None, None, None))
-                    continue
-                h1 = int(np.bitwise_xor.reduce(mix(s + _U(11))).astype(np.int64))
-                h2 = int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64))
-                rows.append((i, len(s), h1, h2, None, None, None))
-                if i is not None and (h1, h2) not in seen:
-                    if len(seen) > WORD_CACHE:
-                        seen.clear()
-                    seen.add((h1, h2))
-                    held.append((i, signatures(s, exact)))
-                    size += len(held[-1][1])
-                if size > 4 * 10**6:
-                    rows += pack(held)
-                    held, size = [], 0
-                if len(rows) >= 1000:
-                    yield batch(rows)
-                    rows = []
-            if rows:
-                yield batch(rows)
-        if held:
-            yield batch(pack(held))
+            for at in range(0, b.num_rows, 1000):
+                n, h1, h2, sg = [], [], [], []
+                for t in b.column(1).slice(at, 1000):
+                    s = shingle_set(t.as_py(), words)
+                    n.append(len(s))
+                    h1.append(int(np.bitwise_xor.reduce(mix(s + _U(11))).astype(np.int64)) if len(s) else 0)
+                    h2.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64)) if len(s) else 0)
+                    sg.append(signatures(s, exact).tobytes() if len(s) else b"")
+                columns = [b.column(0).slice(at, 1000), *[pa.array(x, pa.int64()) for x in (n, h1, h2)], pa.array(sg, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "sigs"])
 
     return run
 
 
-def _sketch(words: int):
+PACKED = "bucket int, sigs binary, ids binary, comps binary"
+
+
+def _packed(buckets: int, part: int):
+    """Of (id, sigs, comp): rows (bucket, sigs, ids, comps) of the signatures divisible by part."""
+
+    def pack(ids: list[int], comps: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
+        n = [len(x) for x in sigs]
+        sig, i, c = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(comps, np.int64), n)
+        at = ((sig.view(_U) >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        at, sig, i, c = at[order], sig[order], i[order], c[order]
+        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, int)
+        ends = [*cuts[1:], len(at)]
+        cut_up = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(cuts, ends, strict=False)], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(at[cuts]), cut_up(sig), cut_up(i), cut_up(c)], ["bucket", "sigs", "ids", "comps"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, comps, sigs, size = [], [], [], 0
         for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["id", "n", "sketch"])
+            for i, x, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                x = np.frombuffer(x.as_py(), np.int64)
+                x = x[x % part == 0] if part > 1 else x
+                ids.append(i)
+                comps.append(c)
+                sigs.append(x)
+                size += len(x)
+                if size > 2 * 10**6:
+                    yield pack(ids, comps, sigs)
+                    ids, comps, sigs, size = [], [], [], 0
+        if size:
+            yield pack(ids, comps, sigs)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sig, id) of the signatures that several ids share, from packed buckets."""
-    sig, ids = [], []
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(sig, id, comp) of all packed rows of a task, sorted by sig, those of several ids alone."""
+    parts: tuple[list, list, list] = ([], [], [])
     for b in batches:
-        sig += [np.frombuffer(x.as_py(), np.int64) for x in b.column(0)]
-        ids += [np.frombuffer(x.as_py(), np.int64) for x in b.column(1)]
-    if not sig:
-        return
-    sig, ids = np.concatenate(sig), np.concatenate(ids)
-    order = np.argsort(sig)
-    sig, ids = sig[order], ids[order]
+        for k in range(3):
+            parts[k].extend(np.frombuffer(x.as_py(), np.int64) for x in b.column(k))
+    if not parts[0]:
+        return None
+    sig = np.concatenate(parts[0])
+    order = np.argsort(sig, kind="stable")
+    sig = sig[order]
     same = sig[1:] == sig[:-1]
     keep = np.r_[same, False] | np.r_[False, same]
-    sig, ids = sig[keep], ids[keep]
-    for at in range(0, len(sig), 500_000):
-        yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 500_000]), pa.array(ids[at : at + 500_000])], ["sig", "id"])
+    order = order[keep]
+    return sig[keep], np.concatenate(parts[1])[order], np.concatenate(parts[2])[order]
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of the smallest id of a shared signature and each other one."""
+    if (got := _gathered(batches)) is not None and len(got[0]):
+        sig, ids, _ = got
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        hub = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.r_[starts, len(sig)]))
+        pairs = np.unique(np.stack([hub, ids], 1)[hub != ids], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(sig, id) of the signatures that several components share."""
+    if (got := _gathered(batches)) is not None and len(got[0]):
+        sig, ids, comp = got
+        starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+        sizes = np.diff(np.r_[starts, len(sig)])
+        keep = np.repeat(np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts), sizes)
+        sig, ids = sig[keep], ids[keep]
+        for at in range(0, len(sig), 500_000):
+            yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 500_000]), pa.array(ids[at : at + 500_000])], ["sig", "id"])
+
+
+def _sketch(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+            full = [sketch(s) for s in sets]
+            brief = [fold(x, min(len(x), BRIEF)).tobytes() for x in full]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in full], pa.binary()), pa.array(brief, pa.binary())], ["id", "n", "sketch", "brief"])
+
+    return run
 
 
 class _Sketches:
@@ -396,10 +428,12 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             test(np.concatenate(left), np.concatenate(right))
         for a, z in zip(starts[~small], ends[~small], strict=True):
             own = np.arange(a, z)
-            here, there = (own, own) if r[a] == c[a] else (own[side[a:z] == 0], own[side[a:z] == 1])
+            names, many = np.unique(comp[a:z], return_counts=True)
+            main = names[many.argmax()]  # pairs inside the largest component need no look
+            here, there = (own[comp[a:z] != main], own) if r[a] == c[a] else (own[side[a:z] == 0], own[side[a:z] == 1])
             for at in range(0, len(here), 256):
                 i, j = np.meshgrid(here[at : at + 256], there, indexing="ij")
-                up = (i < j) if r[a] == c[a] else np.ones(i.shape, bool)
+                up = (comp[i] != comp[j]) & ((i < j) | (comp[j] == main) if r[a] == c[a] else True)
                 if up.any():
                     test(i[up], j[up])
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
@@ -432,31 +466,22 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
         base = base.join(again.withColumn("again", F.lit(True)), "id", "left").select(own.alias("id"), "text", F.col("id").alias("given"))
         names = cut(base.where("id != given").select("id", "given").distinct(), "parity-names", paths)
         base = base.select("id", "text")
-    # about 0.6 signatures a word; octets / 6 is above the words of ordinary text
+    # about 0.5 signatures a word; octets / 8 is above that in ordinary text
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
-    buckets = min(1 << 23, max(n, size // (10 * BUCKET)))
-    both = cut(base.mapInArrow(_features(exact, words, buckets), FEATURES), "parity-features", paths)
-    feats = both.where("bucket is null").select("id", "n", "h1", "h2")
+    buckets = min(1 << 23, max(n, size // (8 * BUCKET)))
+    feats = cut(base.mapInArrow(_features(exact, words), FEATURES), "parity-features", paths)
     known = feats.where("n > 0 and id is not null")
     same = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
-    twins = same.where("rep < last").select("h1", "h2", "n", "rep")
-    copies = known.select("id", "h1", "h2", "n").join(twins, ["h1", "h2", "n"]).where("id != rep").select("id", "rep").distinct()
-    # signatures that several sets share, by representative
-    shared = both.where("bucket is not null").select("sigs", "ids", "bucket").repartition(n, "bucket").select("sigs", "ids").mapInArrow(_shared, "sig long, id long")
-    shared = shared.join(copies, "id", "left").select("sig", F.coalesce("rep", "id").alias("id")).distinct()
-    shared = cut(shared, "parity-shared", paths)
-    hubs = shared.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("sig", "a")
-    stars = shared.join(hubs, "sig").where("a < id").select("a", F.col("id").alias("b")).distinct()
-    # texts of the documents that share a signature: by broadcast ids where their number allows, else by key
-    need = cut(shared.select("id").distinct(), "parity-need", paths)
-    few = need.count() <= BROADCAST_IDS
-    texts = base.where("id is not null").join(F.broadcast(need) if few else need, "id", "left_semi")
-    texts = cut(texts, "parity-texts", paths)
-    short = cut(texts.mapInArrow(_sketch(words), "id long, n long, sketch binary").dropDuplicates(["id"]), "parity-sketches", paths)
-    a, b = (short.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    stars = stars.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
-    stars = cut(stars.mapInArrow(_bounded, "a long, b long, ok boolean"), "parity-stars", paths)
-    near = stars.where("ok").select("a", "b")
+    twins = cut(same.where("rep < last").select("h1", "h2", "n", "rep"), "parity-twins", paths)
+    copies = cut(known.select("id", "h1", "h2", "n").join(twins, ["h1", "h2", "n"]).where("id != rep").select("id").distinct(), "parity-copies", paths)
+    own = known.select("id", "sigs").join(_small(copies), "id", "left_anti")
+    # candidates from an eighth of the signatures
+    some = own.withColumn("comp", F.col("id")).mapInArrow(_packed(buckets, 8), PACKED).repartition(n, "bucket").select("sigs", "ids", "comps")
+    stars = cut(some.mapInArrow(_stars, "a long, b long").distinct(), "parity-stars", paths)
+    met = cut(stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct(), "parity-met", paths)
+    texts = cut(base.where("id is not null").join(_small(met), "id", "left_semi"), "parity-texts", paths)
+    short = cut(texts.mapInArrow(_sketch(words), SKETCHES).dropDuplicates(["id"]), "parity-sketches", paths)
+    near = cut(_near(stars, short), "parity-near", paths)
     first = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = cut(_links(first, texts, words), "parity-links", paths)
     # what the first links leave apart
@@ -465,23 +490,32 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     more = cut(_links(rest, texts, words), "parity-links", paths)
     links = links.unionByName(more)
     failed = cut(first.unionByName(rest).distinct().join(links, ["a", "b"], "left_anti"), "parity-failed", paths)
-    # groups that still hold several components
+    # all signatures, with the components so far
+    label = components(links)
+    own = own.join(_small(label), "id", "left").select("id", "sigs", F.coalesce("component_id", "id").alias("comp"))
+    groups = own.mapInArrow(_packed(buckets, 1), PACKED).repartition(n, "bucket").select("sigs", "ids", "comps").mapInArrow(_mixed, "sig long, id long")
+    groups = cut(groups, "parity-groups", paths)
+    late_ids = groups.select("id").distinct().join(met, "id", "left_anti")
+    late_ids = cut(late_ids, "parity-met", paths)
+    late_texts = cut(base.where("id is not null").join(_small(late_ids), "id", "left_semi"), "parity-texts", paths)
+    texts = texts.unionByName(late_texts)
+    short = short.unionByName(cut(late_texts.mapInArrow(_sketch(words), SKETCHES).dropDuplicates(["id"]), "parity-sketches", paths))
     while True:
-        label = components(links)
-        sig = shared.join(label, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
+        sig = groups.join(label, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
         mixed = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
         rows = sig.join(mixed, "sig").withColumn("t", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         rows = rows.select("sig", F.least("t", "o").alias("r"), F.greatest("t", "o").alias("c"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"), "id", "comp")
         dead = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("dead"))
-        rows = rows.join(short.join(dead, "id", "left"), "id").select("sig", "r", "c", "side", "id", "comp", "n", "sketch", "dead")
+        rows = rows.join(short.join(dead, "id", "left"), "id").select("sig", "r", "c", "side", "id", "comp", "n", "brief", "dead")
         rows = rows.repartition(n, "sig", "r", "c").sortWithinPartitions("sig", "r", "c")
         late = cut(rows.mapInArrow(_tiles, "a long, b long").distinct(), "parity-late", paths)
         if late.isEmpty():
             break
-        more = cut(_links(late, texts, words), "parity-links", paths)
+        more = cut(_links(_near(late, short), texts, words), "parity-links", paths)
         failed = failed.unionByName(late.join(more, ["a", "b"], "left_anti"))
         links = links.unionByName(more)
+        label = components(links)
     rows = feats.select("id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     if repeated:
         real = lambda df, c: df.join(names.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("given", c)).drop("given")
@@ -496,6 +530,21 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     return out
 
 
+SKETCHES = "id long, n long, sketch binary, brief binary"
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows, counted, are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
+def _near(pairs: DataFrame, short: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sketches allow a link."""
+    a, b = (short.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb")
+    return rows.mapInArrow(_bounded, "a long, b long, ok boolean").where("ok").select("a", "b")
+
+
 def _across(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components so far, with these."""
     la, lb = label.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), label.select(F.col("id").alias("b"), F.col("component_id").alias("cb"))

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ordinal, parity_join, pii, sstable, url_filter
+from tessera import session
+from tessera.llm import ordinal, packing, parity_join, pii, raking, sstable, url_filter
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
@@ -18,6 +19,7 @@ TRACKED = r"[?&](utm_[a-z]+|ref)="
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    session.ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -63,6 +65,12 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(docs, PII_KEY, count="n_entities")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into bins of 2048 words, sources and copies apart."""
+    docs = _t(spark, sf_dir, "documents")
+    return packing.pack(docs, "doc_id", raking.tokens(F.col("text")), F.col("source"), packing.copy_cluster(F.col("text")))
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document under links of 5-word shingle Jaccard >= 0.8."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,8 +84,62 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(docs, model).select("doc_id", "severity", "grade", "rejected")
 
 
+#: Targets: languages by share, sources and topics flattened.
+MARGINS = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, "topic": 0.8}
+FRACTION = 0.85
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    text = F.col("text")
+    column = {"source": F.col("source"), "lang": F.col("lang"), "topic": raking.topic(text)}
+    return raking.rake(docs, {k: (column[k], t) for k, t in MARGINS.items()}, raking.tokens(text), F.col("doc_id"), FRACTION)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its raked factor, its probability and whether it is kept."""
+    out = mix(_t(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.round("rake_factor", 8).alias("factor"), F.round("rake_p", 8).alias("p"), F.round("rake_weight", 8).alias("weight"), F.col("rake_kept").alias("kept"))
+
+
+def _op10_sql() -> str:
+    """The sweeps written out: each step is one window over the cells."""
+    dims = list(MARGINS)
+    sql = [r"""d as (
+  select doc_id, coalesce(source, chr(1)) as source, coalesce(lang, chr(1)) as lang,
+    case when contains(t, 'License') or contains(t, 'Copyright') or contains(t, 'rights reserved') then 'legal'
+         when contains(t, '!!') or contains(t, '***') or contains(t, '%%%') then 'noise'
+         when contains(t, ' | ') then 'table' when contains(t, '@') then 'contact' when length(t) < 600 then 'note' else 'prose' end as topic,
+    len(regexp_extract_all(t, '[^ 	-
+]+')) as t
+  from (select doc_id, source, lang, coalesce(text, '') as t from documents)),
+c as (select source, lang, topic, sum(t)::double as t from d group by all having sum(t) > 0)"""]
+    for k in dims:
+        target = MARGINS[k]
+        share = "sum(t) / (select sum(t) from c)"
+        raw = f"power({share}, {target})" if isinstance(target, float) else f"case {k} " + " ".join(f"when '{v}' then {x}" for v, x in target.items()) + f" else {share} end"
+        sql.append(f"t_{k} as (select {k}, s / (sum(s) over ()) * (select sum(t) from c) as want_{k} from (select {k}, {raw} as s from c group by {k}))")
+    sql.append(f"w0 as materialized (select c.*, {', '.join(f'want_{k}' for k in dims)}, 1.0::double as w from c " + " ".join(f"join t_{k} using ({k})" for k in dims) + ")")
+    n = 0
+    for _ in range(raking.SWEEPS):
+        for k in dims:
+            n += 1
+            sql.append(f"w{n} as materialized (select * exclude (w), w * want_{k} / sum(w * t) over (partition by {k}) as w from w{n - 1})")
+    sql.append(f"""o as (select *, row_number() over (order by w desc, source, lang, topic) as k, {FRACTION} * sum(t) over () as goal,
+  coalesce(sum(t) over (order by w desc, source, lang, topic rows between unbounded preceding and 1 preceding), 0) as before,
+  sum(w * t) over (order by w desc, source, lang, topic rows between current row and unbounded following) as rest from w{n}),
+q as (select arg_min((goal - before) / rest, k) as c from o where (goal - before) / rest * w <= 1),
+p as (select source, lang, topic, w, least(1.0, q.c * w) as p from o, q)
+select doc_id, round(coalesce(w, 1.0), 8) as factor, round(coalesce(p, {FRACTION}), 8) as p, round(coalesce(w, 1.0) / coalesce(p, {FRACTION}), 8) as weight,
+  (('0x' || substr(md5('7:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / power(2, 52)) < coalesce(p, {FRACTION}) as kept
+from d left join p using (source, lang, topic)""")
+    return "with " + ",\n".join(sql)
+
+
+OP10_SQL = _op10_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
