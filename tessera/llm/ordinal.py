@@ -184,13 +184,16 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         x[i, r["hits"]] = 1
     middle = float(np.median([r["share"] for r in found if r["y"] == 1]))
     y = np.array([0 if r["y"] == 0 else 1 + (r["share"] > middle) for r in found])
+    if not names:
+        return Model({}, (20.0, 21.0))
     w, theta = fit_cumulative(x, y, 3)
     return Model({f: float(v) for f, v in zip(names, w, strict=False)}, tuple(float(t) for t in theta))
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.4) -> DataFrame:
     """All rows and columns of docs with severity (expected grade), grade (the most likely one) and
-    rejected (P(grade >= 1) >= reject). A null or empty text has no features and is scored as such.
+    rejected (P(grade >= 1) >= reject, and at least one flag of the model). A null or empty text has no
+    flags: it is scored as such and never rejected.
     Columns of docs with these names are replaced."""
     new = ("severity", "grade", "rejected")
     keep = [c for c in docs.columns if c not in new]
@@ -202,9 +205,10 @@ def grade(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.4
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for b in batches:
-            tail = model.tail(np.array([score(t.as_py()) for t in b.column(at)], np.float64))
+            scores = np.array([score(t.as_py()) for t in b.column(at)], np.float64)
+            tail = model.tail(scores)
             mass = -np.diff(np.concatenate([np.ones((len(tail), 1)), tail, np.zeros((len(tail), 1))], 1), axis=1)
-            more = [pa.array(tail.sum(1)), pa.array(mass.argmax(1).astype(np.int32)), pa.array(tail[:, 0] >= reject)]
+            more = [pa.array(tail.sum(1)), pa.array(mass.argmax(1).astype(np.int32)), pa.array((tail[:, 0] >= reject) & (scores > 0))]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*keep, *new])
 
     return rows.mapInArrow(run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.llm import ordinal, packing, parity_join, pii, raking, sstable, url_filter
+from tessera.llm import ordinal, packing, parity_join, pii, rabitq, raking, sstable, url_filter, vptree
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
@@ -71,12 +71,52 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, "doc_id", raking.tokens(F.col("text")), F.col("source"), packing.copy_cluster(F.col("text")))
 
 
+def op5_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every 50th vector among all vectors, searched exactly (factor 1)."""
+    rows = _t(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vptree.search(rows, rows.where("vec_id % 50 = 0"), 5)
+
+
+OP5_SQL = """
+with v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s as (
+  select q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))) as score
+  from v q join v on q.vec_id <> v.vec_id where q.vec_id % 50 = 0)
+select query_id, rank::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+
 def op6_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of every document under links of 5-word shingle Jaccard >= 0.8."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
     return parity_join.classes(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.9."""
+    return rabitq.near_duplicates(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP7_SQL = """
+with recursive v as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l as materialized (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id
+  where list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.9),
+r(id, hit) as (select a, a from l union select r.id, l.b from r join l on r.hit = l.a),
+c as (select id, min(hit) as component_id from r group by id),
+m as (select a, count(*) as n_links from l group by a)
+select e.vec_id, coalesce(m.n_links, 0)::bigint as n_links, coalesce(c.component_id, e.vec_id) as component_id, coalesce(c.component_id, e.vec_id) = e.vec_id as kept
+from embeddings e left join m on e.vec_id = m.a left join c on e.vec_id = c.id
+"""
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of every document, by a model fitted on labelled rows."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
