@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.llm import ordinal, packing, parity_join, pii, rabitq, raking, sstable, url_filter, vptree
+from tessera.llm import ordinal, packing, parity_join, pii, rabitq, raking, sstable, transcript, url_filter, vptree
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
@@ -124,6 +124,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.grade(docs, model).select("doc_id", "severity", "grade", "rejected")
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a plain transcript, parsed back into turns in canonical form."""
+    turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), "turn", "role", "text")
+    lines = transcript.plain_lines(turns)
+    model = transcript.fit(lines.withColumn("symbol", transcript.symbol(F.col("text"))), turns)
+    found = transcript.parse(lines, model, "id", "line", "text", chunk=256 << 32)
+    return found.select(F.col("id").alias("conv_id"), "turn", "role", transcript.render(F.col("role"), F.col("text")).alias("rendered"))
+
+
 #: Targets: languages by share, sources and topics flattened.
 MARGINS = {"source": 0.7, "lang": {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, "topic": 0.8}
 FRACTION = 0.85
