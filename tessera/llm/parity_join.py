@@ -16,9 +16,9 @@ block, and blocks are joined by equality. Steps:
    then those that join different components.
 4. All signatures are met, now with the components known: a bucket keeps only groups that hold several
    components. They are compared pairwise by shortened sketch in tiles of bounded size. Of the pairs
-   within the bound a tile emits a spanning forest, so no more pairs than it has rows; these are
-   verified, components grow, pairs that failed are set aside, and this is repeated until no tile has
-   a pair left.
+   within the bound a tile emits a spanning forest and the closest others, no more pairs than it has
+   rows; these are verified and components grow. If a tile had more, pairs that failed are set aside
+   and this is repeated until no tile has a pair left.
 
 Every link thus lies inside a final component, and only verified links build it.
 
@@ -56,7 +56,7 @@ BUCKET = 4_000_000
 #: Groups of up to this many members are compared many at a time.
 SMALL = 64
 #: Words of the shortened sketches (64 bits each).
-BRIEF = 32
+BRIEF = 16
 #: Up to this many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 1 << 20
 #: Members of one verification task around one document.
@@ -220,8 +220,9 @@ def _packed(buckets: int, part: int):
         at, sig, i, c = at[order], sig[order], i[order], c[order]
         cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, int)
         ends = [*cuts[1:], len(at)]
-        cut_up = lambda x: pa.array([x[a:z].tobytes() for a, z in zip(cuts, ends, strict=False)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(at[cuts]), cut_up(sig), cut_up(i), cut_up(c)], ["bucket", "sigs", "ids", "comps"])
+        cut_up = lambda x, d=False: pa.array([(np.diff(x[a:z], prepend=0) if d else x[a:z]).tobytes() for a, z in zip(cuts, ends, strict=False)], pa.binary())
+        # ids as differences, components as distances from the id: both compress well
+        return pa.RecordBatch.from_arrays([pa.array(at[cuts]), cut_up(sig), cut_up(i, True), cut_up(c - i)], ["bucket", "sigs", "ids", "comps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, comps, sigs, size = [], [], [], 0
@@ -246,8 +247,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray
     """(sig, id, comp) of all packed rows of a task, sorted by sig, those of several ids alone."""
     parts: tuple[list, list, list] = ([], [], [])
     for b in batches:
-        for k in range(3):
-            parts[k].extend(np.frombuffer(x.as_py(), np.int64) for x in b.column(k))
+        for s, i, c in zip(b.column(0), b.column(1), b.column(2), strict=True):
+            ids = np.cumsum(np.frombuffer(i.as_py(), np.int64))
+            parts[0].append(np.frombuffer(s.as_py(), np.int64))
+            parts[1].append(ids)
+            parts[2].append(ids + np.frombuffer(c.as_py(), np.int64))
     if not parts[0]:
         return None
     sig = np.concatenate(parts[0])
@@ -377,41 +381,19 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tupl
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, r, c, side, id, comp, n, sketch, dead) sorted by tile: of the pairs of different
-    components within the bound and not dead, a spanning forest, closest pairs first. A tile off the
-    diagonal compares its two sides, one on it all its rows."""
+    """Of rows (sig, r, c, side, id, comp, n, sketch, dead) sorted by tile: pairs of different components
+    within the bound and not dead; a spanning forest of the components, then the closest others, as many
+    as there are rows; a row (null, null) tells that there were more. A tile off the diagonal compares its
+    two sides, one on it all its rows."""
     for t, starts in _whole_groups(batches, 3):
         r, c, side, ids, comp, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
         sk = _Sketches(t.column(7))
+        tiny = np.stack([fold(np.frombuffer(x.as_py(), _U), 4) for x in t.column(7)])
         dead = {(i, j) for i, x in zip(ids.tolist(), t.column(8), strict=True) if x.is_valid for j in x.as_py()}
-        ends = np.r_[starts[1:], t.num_rows]
-        sizes = ends - starts
-        left, right = [], []
-        small = (sizes <= SMALL) & (r[starts] == c[starts])
-        for k in np.unique(sizes[small]):
-            x, y = np.triu_indices(int(k), 1)
-            base = starts[small & (sizes == k)][:, None]
-            left.append((base + x).ravel())
-            right.append((base + y).ravel())
-        found = []
-        root: dict[int, int] = {}
-
-        def forest(pair: np.ndarray, ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
-            """Pairs that join what nothing before them in this tile set has joined."""
-            keep = []
-            for k, (a, b) in enumerate(zip(ca.tolist(), cb.tolist(), strict=True)):
-                while (x := root.get(a, a)) != a:  # noqa: B023
-                    a = root[a] = root.get(x, x)  # noqa: B023
-                while (x := root.get(b, b)) != b:  # noqa: B023
-                    b = root[b] = root.get(x, x)  # noqa: B023
-                if a != b:
-                    root[max(a, b)] = min(a, b)  # noqa: B023
-                    keep.append(k)
-            return pair[keep]
+        found: list[tuple[np.ndarray, ...]] = []
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
-            keep = (comp[i] != comp[j]) & within(n[i], n[j], np.abs(n[i] - n[j]))  # noqa: B023
-            i, j = i[keep], j[keep]
+            """Of rows i, j that differ in component and pass the shortest sketch."""
             pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)  # noqa: B023
             pair, first = np.unique(pair, axis=0, return_index=True)
             i, j = i[first], j[first]
@@ -420,24 +402,56 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if dead and ok.any():  # noqa: B023
                 ok[ok] = [(a, b) not in dead for a, b in pair[ok].tolist()]  # noqa: B023
             if ok.any():
-                rel = (ham / (n[i] + n[j]))[ok]  # noqa: B023
-                order = np.argsort(rel, kind="stable")
-                found.append(forest(pair[ok][order], comp[i][ok][order], comp[j][ok][order]))  # noqa: B023
+                found.append((pair[ok], comp[i][ok], comp[j][ok], (ham / (n[i] + n[j]))[ok]))  # noqa: B023
 
-        if left:
-            test(np.concatenate(left), np.concatenate(right))
+        ends = np.r_[starts[1:], t.num_rows]
+        sizes = ends - starts
+        small = (sizes <= SMALL) & (r[starts] == c[starts])
+        for k in np.unique(sizes[small]):
+            x, y = np.triu_indices(int(k), 1)
+            base = starts[small & (sizes == k)][:, None]
+            i, j = (base + x).ravel(), (base + y).ravel()
+            keep = comp[i] != comp[j]
+            i, j = i[keep], j[keep]
+            keep = within(n[i], n[j], np.bitwise_count(tiny[i] ^ tiny[j]).sum(1, dtype=np.int64))
+            if keep.any():
+                test(i[keep], j[keep])
         for a, z in zip(starts[~small], ends[~small], strict=True):
             own = np.arange(a, z)
             names, many = np.unique(comp[a:z], return_counts=True)
             main = names[many.argmax()]  # pairs inside the largest component need no look
-            here, there = (own[comp[a:z] != main], own) if r[a] == c[a] else (own[side[a:z] == 0], own[side[a:z] == 1])
+            same = r[a] == c[a]
+            here, there = (own[comp[a:z] != main], own) if same else (own[side[a:z] == 0], own[side[a:z] == 1])
             for at in range(0, len(here), 256):
-                i, j = np.meshgrid(here[at : at + 256], there, indexing="ij")
-                up = (comp[i] != comp[j]) & ((i < j) | (comp[j] == main) if r[a] == c[a] else True)
-                if up.any():
-                    test(i[up], j[up])
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                i = here[at : at + 256]
+                ham = np.bitwise_count(tiny[i][:, None, :] ^ tiny[there][None, :, :]).sum(2, dtype=np.int64)
+                up = within(n[i][:, None], n[there][None, :], ham) & (comp[i][:, None] != comp[there][None, :])
+                if same:
+                    up &= (i[:, None] < there[None, :]) | (comp[there] == main)[None, :]
+                p, q = np.nonzero(up)
+                if len(p):
+                    test(i[p], there[q])
+        if not found:
+            continue
+        pair, ca, cb, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair, first = np.unique(pair, axis=0, return_index=True)
+        ca, cb, far = ca[first], cb[first], far[first]
+        order = np.argsort(far, kind="stable")
+        root: dict[int, int] = {}
+        tree, others = [], []
+        for k in order.tolist():
+            a, b = int(ca[k]), int(cb[k])
+            while (x := root.get(a, a)) != a:
+                a = root[a] = root.get(x, x)
+            while (x := root.get(b, b)) != b:
+                b = root[b] = root.get(x, x)
+            (tree if a != b else others).append(k)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        keep = [*tree, *others[: max(0, t.num_rows - len(tree))]]
+        more = len(keep) < len(pair)
+        a, b = ([int(x) for x in pair[keep, s]] + [None] * more for s in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -510,12 +524,14 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
         rows = rows.join(short.join(dead, "id", "left"), "id").select("sig", "r", "c", "side", "id", "comp", "n", "brief", "dead")
         rows = rows.repartition(n, "sig", "r", "c").sortWithinPartitions("sig", "r", "c")
         late = cut(rows.mapInArrow(_tiles, "a long, b long").distinct(), "parity-late", paths)
-        if late.isEmpty():
-            break
+        left = not late.where("a is null").isEmpty()
+        late = late.where("a is not null")
         more = cut(_links(_near(late, short), texts, words), "parity-links", paths)
         failed = failed.unionByName(late.join(more, ["a", "b"], "left_anti"))
         links = links.unionByName(more)
         label = components(links)
+        if not left:
+            break
     rows = feats.select("id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     if repeated:
         real = lambda df, c: df.join(names.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("given", c)).drop("given")
