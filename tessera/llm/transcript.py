@@ -2,7 +2,7 @@
 
 States are the roles, each as a turn's first line or a later one. A line shows a symbol made of its
 speaker marker (none, one of a known role, an unknown name) and its shape. Emissions and transitions are
-counted, with add-one smoothing, on transcripts whose roles are known. Viterbi runs in chunks of lines,
+counted, with smoothing, on transcripts whose roles are known. Viterbi runs in chunks of lines,
 so a transcript of any length is spread: each chunk becomes a max-plus matrix from the state before it to
 the state at its end, the matrices of a transcript (a few numbers a chunk) give the states at the chunk
 ends, and each chunk is then solved between its two ends. The path equals that of one pass.
@@ -31,6 +31,8 @@ SHAPES = 5
 SYMBOLS = (len(ROLES) + 2) * SHAPES
 STATES = 2 * len(ROLES)  # 2 r: first line of a turn of role r; 2 r + 1: a later one
 CHUNK = 4096
+#: Added to the counts: other markers than a role's own are rare, shapes are not.
+MARK_PRIOR, SHAPE_PRIOR = 0.01, 1.0
 
 
 def marker(line: Column) -> Column:
@@ -65,7 +67,7 @@ def fit(lines: DataFrame, turns: DataFrame) -> Model:
     """From lines (role, begin, symbol) and turns (id, turn, role) of known roles; other roles and nulls are
     left out. Only counts, at most states x symbols of them, reach the driver."""
     at = {r: i for i, r in enumerate(ROLES)}
-    show = np.ones((STATES, SYMBOLS))
+    show = np.zeros((STATES, SYMBOLS))
     for r in lines.where(F.col("role").isin(*ROLES)).groupBy("role", "begin", "symbol").count().collect():
         show[2 * at[r.role] + (not r.begin), r.symbol] += r["count"]
     follow, first = np.ones((len(ROLES), len(ROLES))), np.ones(len(ROLES))
@@ -75,7 +77,7 @@ def fit(lines: DataFrame, turns: DataFrame) -> Model:
         follow[at[r.role], at[r.next]] += r["count"]
     for r in known.where("turn = 0").groupBy("role").count().collect():
         first[at[r.role]] += r["count"]
-    later = show[1::2].sum(1) / (show[0::2].sum(1) + show[1::2].sum(1))  # chance that a line of a turn is followed by one more
+    later = (show[1::2].sum(1) + 1) / (show[0::2].sum(1) + show[1::2].sum(1) + 2)  # chance that a line of a turn is followed by one more
     follow /= follow.sum(1, keepdims=True)
     with np.errstate(divide="ignore"):
         step, start = np.full((STATES, STATES), -np.inf), np.full(STATES, -np.inf)
@@ -84,7 +86,11 @@ def fit(lines: DataFrame, turns: DataFrame) -> Model:
                 step[s, 2 * r + 1] = np.log(later[r])
                 step[s, 0::2] = np.log(1 - later[r]) + np.log(follow[r])
         start[0::2] = np.log(first / first.sum())
-        return Model(start, step, np.log(show / show.sum(1, keepdims=True)))
+        # marker and shape count apart, so that a rare pair of both is not a rare event
+        seen = show.reshape(STATES, -1, SHAPES)
+        mark, shape = seen.sum(2) + MARK_PRIOR, seen.sum(1) + SHAPE_PRIOR
+        pair = (mark / mark.sum(1, keepdims=True))[:, :, None] * (shape / shape.sum(1, keepdims=True))[:, None, :]
+        return Model(start, step, np.log(pair.reshape(STATES, SYMBOLS)))
 
 
 def transfer(model: Model, seen: np.ndarray) -> np.ndarray:
