@@ -80,7 +80,7 @@ def folds(spark, n: int, train: int, test: int, anchored: bool = False) -> DataF
     return d.select("fold", start.alias("train_start"), (F.col("fold") * test + train).alias("train_end"), (F.col("fold") * test + train).alias("test_start"), (F.col("fold") * test + train + test).alias("test_end"))
 
 
-def walk_forward(bars: DataFrame, grid: list[tuple[int, int]], train: int = 250, test: int = 60) -> DataFrame:
+def walk_forward(bars: DataFrame, grid: list[tuple[int, int]], train: int = 120, test: int = 40) -> DataFrame:
     """(sym, fold, fast, slow, train_ret, test_ret): the SMA pair of best training return (first of the grid on
     a tie), applied to the test bars. Signals of each pair come once from the full history; folds are a
     join on the bar number's block, so nothing is multiplied by train length more than the folds demand."""
