@@ -13,7 +13,7 @@ def zscores(values: DataFrame, limit: float = 3.0) -> DataFrame:
     that all assets have is not gathered in one task."""
     s = values.groupBy("metric").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     z = (F.col("value") - F.col("m")) / F.nullif("s", F.lit(0.0))
-    return values.join(F.broadcast(s), "metric").withColumn("z", F.coalesce(F.greatest(F.lit(-limit), F.least(F.lit(limit), z)), F.lit(0.0))).drop("m", "s")
+    return values.join(F.broadcast(s), "metric").withColumn("z", F.when(z.isNull(), 0.0).otherwise(F.greatest(F.lit(-limit), F.least(F.lit(limit), z)))).drop("m", "s")
 
 
 def percentiles(values: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ def fundamentals_of(spark, sf_dir):
     return a.unionByName(revenue.join(s, "asset_id").select("asset_id", F.lit("revenue").alias("metric"), "value", "sector"))
 
 
-Z = "z as (select *, coalesce(greatest(-3, least(3, (value - avg(value) over (partition by metric)) / nullif(stddev_pop(value) over (partition by metric), 0))), 0) as z from fund)"
+Z = "z0 as (select *, (value - avg(value) over (partition by metric)) / nullif(stddev_pop(value) over (partition by metric), 0) as raw from fund), z as (select *, case when raw is null then 0 else greatest(-3, least(3, raw)) end as z from z0)"
 
 
 @register("factor_zscores", f"with {FUND}, {Z} select asset_id, metric, round(z, 6) as z from z")
