@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def none(**types) -> pd.DataFrame:
+    """No rows, of these column types."""
+    return pd.DataFrame({c: pd.Series([], dtype=t) for c, t in types.items()})
+
+
 def ols_attribution(rets: DataFrame, factors: DataFrame, window: int = 250, min_points: int = 60) -> DataFrame:
     """(sym, d, factor, beta, contribution): least squares of a symbol's returns on all factors over the last
     `window` dates before its newest one (which is explained, not fitted). One bounded array a symbol."""
@@ -19,7 +24,7 @@ def ols_attribution(rets: DataFrame, factors: DataFrame, window: int = 250, min_
         pdf = pdf.sort_values("k")
         day, past = pdf.iloc[0], pdf.iloc[1:]
         if len(past) < min_points:
-            return pd.DataFrame({"sym": [], "d": [], "factor": [], "beta": [], "contribution": []})
+            return none(sym=object, d=object, factor=object, beta=float, contribution=float)
         x = np.column_stack([np.ones(len(past)), past[names].to_numpy(float)])
         b = np.linalg.lstsq(x, past["ret"].to_numpy(float), rcond=None)[0]
         return pd.DataFrame({"sym": day["sym"], "d": day["d"], "factor": names, "beta": b[1:], "contribution": b[1:] * day[names].to_numpy(float)})
@@ -80,7 +85,7 @@ def regimes(series: DataFrame, features: list[str], states: int = 3, min_points:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d")
         if len(pdf) < min_points:
-            return pd.DataFrame({"key": [], "d": [], "state": []})
+            return none(key=object, d=object, state="int32")
         return pd.DataFrame({"key": pdf["key"], "d": pdf["d"], "state": fit_regimes(pdf[features].to_numpy(float), states)})
 
     return series.groupBy("key").applyInPandas(run, "key string, d date, state int")
