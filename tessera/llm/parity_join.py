@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, drop_paths
+from tessera.llm.common import components, cut, drop_paths, small_batches
 
 WORDS = 5
 NUM, DEN = 80, 100  # Jaccard >= NUM / DEN
@@ -483,7 +483,8 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     # about 0.5 signatures a word; octets / 8 is above that in ordinary text
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     buckets = min(1 << 23, max(n, size // (8 * BUCKET)))
-    feats = cut(base.mapInArrow(_features(exact, words), FEATURES), "parity-features", paths)
+    with small_batches(spark):
+        feats = cut(base.mapInArrow(_features(exact, words), FEATURES), "parity-features", paths)
     known = feats.where("n > 0 and id is not null")
     same = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     twins = cut(same.where("rep < last").select("h1", "h2", "n", "rep"), "parity-twins", paths)

@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, new_path
+from tessera.llm.common import cut, new_path, small_batches
 
 MAGIC = b"TSST0001"
 FOOTER = struct.Struct("<8sQIQIQQBI")  # magic, index at, its bytes, bloom at, its bytes, documents, ids, width, crc
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Words kept per Python worker with their ids, twice.
-CACHE = 120_000
+CACHE = 100_000
 
 MANIFEST = "shard int, path string, docs long, ids long, bytes long"
 FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -318,7 +318,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder: str |
             row = {"shard": shard, "path": path, "docs": w.docs, "ids": w.ids, "bytes": size}
             yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
 
-    return cut(rows.mapInArrow(task, MANIFEST), "sst-manifest")
+    with small_batches(spark):
+        return cut(rows.mapInArrow(task, MANIFEST), "sst-manifest")
 
 
 def read_back(spark: SparkSession, manifest: DataFrame) -> DataFrame:
