@@ -1,4 +1,4 @@
-"""Every query with an oracle equals it at sf0.001; the others run."""
+"""Every query with an oracle equals it at sf0.001; the others give rows at sf0.01 (fitting needs the longer series)."""
 
 import math
 import os
@@ -32,7 +32,7 @@ def plain(rows, names):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, con, name):
-    got = QUERIES[name](spark, sf_dir)
+    got = QUERIES[name](spark, sf_dir if name in SQL else "/root/testdata/sf0.01")
     rows = got.collect()
     if name in SQL:
         want = con.execute(SQL[name])
