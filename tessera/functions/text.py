@@ -45,7 +45,7 @@ def _unit(sign: Column, word: Column) -> Column:
     return out
 
 
-#: kind -> (what a match must hold, what its lead of up to 100 characters must hold or must not, groups of sign, number, multiplier, word)
+# The phrases around a dividend, a key rate, a deal and a target price, and those of expectation.
 MONEY = r"(руб[а-яё.]*|долл[а-яё.]*|евро|юан[а-яё]*|₽|\$)?"
 DIVIDEND = rf"дивиденд[а-яё]*[^;!?]{{0,80}}?(₽\s*)?{NUMBER}\s*(руб[а-яё.]*|₽)?\s+на\s+(?:одну\s+|обыкновенную\s+|привилегированную\s+)?акци"
 KEY_RATE = rf"(?:^|[;!?.])([^;!?.]{{0,200}}?)ключев(?:ая|ой|ую)\s+ставк[а-яё]*[^;!?]{{0,80}}?(?:до|на\s+уровне|составля[а-яё]+|в\s+размере)\s*{NUMBER}\s*%"
