@@ -26,6 +26,7 @@ from tessera.llm.common import cut
 
 SHARD = 8192
 LEAF = 128
+MAX_DEPTH = 48
 BLOCK = 1024
 SLACK = 1e-7  # rounding of distances; never prunes what exact arithmetic would keep
 
@@ -68,11 +69,11 @@ class Tree:
         at = np.arange(len(ids))
         point, median, first, last, inner, outer = [], [], [], [], [], []
 
-        def node(a: int, z: int) -> int:
+        def node(a: int, z: int, depth: int = 0) -> int:
             me = len(point)
             for column, v in ((point, -1), (median, 0.0), (first, a), (last, z), (inner, -1), (outer, -1)):
                 column.append(v)
-            if z - a <= leaf:
+            if z - a <= leaf or depth == MAX_DEPTH:  # many equal distances can part badly
                 return me
             rows = at[a:z]
             # a point far from the middle parts best; the choice follows from the rows alone
@@ -85,8 +86,8 @@ class Tree:
             at[a:z] = np.concatenate([rows[near], rows[~near]])
             mid = a + int(near.sum())
             point[me], median[me] = int(p), m
-            inner[me] = node(a, mid)
-            outer[me] = node(mid, z)
+            inner[me] = node(a, mid, depth + 1)
+            outer[me] = node(mid, z, depth + 1)
             return me
 
         node(0, len(ids))
