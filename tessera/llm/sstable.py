@@ -36,7 +36,7 @@ FOOTER = struct.Struct("<8sQIQIQQBI")  # magic, index at, its bytes, bloom at, i
 BLOCK_BYTES = 1 << 16
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Words kept per Python worker with their ids, twice.
-CACHE = 100_000
+CACHE = 150_000
 
 MANIFEST = "shard int, path string, docs long, ids long, bytes long"
 FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
@@ -234,7 +234,8 @@ class Encoder:
     """
 
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = re.compile(r"[\n\t\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+    #: Latin-1 codes of plain texts: printable ASCII, tab, line ends, letters.
+    PLAIN = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
     def __init__(self, path: str):
@@ -264,7 +265,11 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
             return self._library(text)
-        if self.PLAIN.fullmatch(text) and "<|" not in text:
+        try:
+            plain = not text.encode("latin-1").translate(None, self.PLAIN)
+        except UnicodeEncodeError:
+            plain = False
+        if plain and "<|" not in text:
             return b"".join(map(self.words.__getitem__, self.WORDS.findall(text.lower())))
         if " " in text or "\n" in text:
             return b"".join(map(self, text.replace("\n", " ").split(" ")))
