@@ -91,9 +91,26 @@ def regimes(series: DataFrame, features: list[str], states: int = 3, min_points:
     return series.groupBy("key").applyInPandas(run, "key string, d date, state int")
 
 
-def stories(vectors: DataFrame, threshold: float = 0.12, window: int = 500) -> DataFrame:
-    """(bucket, id, story): in order of id, a vector joins the story of the nearest earlier one of its bucket among
-    the last `window` if their cosine distance is within the threshold, else it opens one named by its id.
+def nearest_earlier(x: np.ndarray, block: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cosine distance) of the nearest of all earlier rows, for each row of unit vectors; -1 and infinity for
+    the first one. Of equally near ones the earliest counts. At most block x block distances are held."""
+    at, least = np.full(len(x), -1), np.full(len(x), np.inf)
+    for lo in range(0, len(x), block):
+        own = x[lo : lo + block]
+        for a in range(0, lo + 1, block):
+            d = 1 - own @ x[a : a + block].T
+            if a == lo:
+                d[np.triu_indices(len(own))] = np.inf
+            k = d.argmin(1)
+            best = d[np.arange(len(own)), k]
+            nearer = best < least[lo : lo + block]
+            at[lo : lo + block][nearer], least[lo : lo + block][nearer] = a + k[nearer], best[nearer]
+    return at, least
+
+
+def stories(vectors: DataFrame, threshold: float = 0.12) -> DataFrame:
+    """(bucket, id, story): in order of id, a vector joins the story of the nearest of all earlier ones of its bucket
+    if their cosine distance is within the threshold, else it opens one named by its id.
 
     The rule is sequential, so the bucket (a coarse topic or day) bounds what one task holds."""
 
@@ -102,10 +119,8 @@ def stories(vectors: DataFrame, threshold: float = 0.12, window: int = 500) -> D
         x = np.stack(pdf["v"].to_numpy()).astype(float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         ids, story = pdf["id"].to_numpy(), []
-        for i in range(len(x)):
-            lo = max(0, i - window)
-            d = 1 - x[lo:i] @ x[i]
-            story.append(story[lo + int(d.argmin())] if len(d) and d.min() <= threshold else int(ids[i]))
+        for i, (at, d) in enumerate(zip(*nearest_earlier(x), strict=True)):
+            story.append(story[at] if d <= threshold else int(ids[i]))
         return pd.DataFrame({"bucket": pdf["bucket"], "id": ids, "story": story})
 
     return vectors.groupBy("bucket").applyInPandas(run, "bucket int, id long, story long")

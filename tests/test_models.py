@@ -34,6 +34,15 @@ def test_stories_join_nearest_earlier(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def test_stories_look_back_over_the_whole_bucket(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2600, 64))
+    x[600], x[2599], x[2000] = x[3] * 2, x[1500] + 0.01 * x[7], x[10]  # the only partner is 597, 1099 and 1990 rows back
+    x[2300] = x[600] + 0.01 * x[8]  # joins by way of an earlier joiner
+    got = {r.id: r.story for r in models.stories(spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "bucket int, id long, v array<double>")).collect()}
+    assert got == {i: i for i in range(2600)} | {600: 3, 2599: 1500, 2000: 10, 2300: 3}
+
+
 def test_triple_barrier_adverse_first(spark):
     day = dt.date(2024, 1, 1)
     closes = [100 + (i % 2) for i in range(25)] + [101.0] * 12
