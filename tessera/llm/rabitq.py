@@ -2,16 +2,14 @@
 
 Code: a seeded random rotation turns the unit vector x into Px; its signs, scaled to length 1, are the
 code b, and f = <b, Px> is stored as the correction factor. For any unit q, <b, Pq> / f estimates <q, x>
-without bias, and the true value is within EPS * sqrt((1 - f^2) / f^2 / (dim - 1)) of it but for a chance
-of the order of exp(-EPS^2 / 2). Pairs whose upper bound is below the threshold are dropped; all others
-are recomputed exactly, so no pair below the threshold is linked.
-
-Which pairs are looked at: signs of further rotations form `tables` keys of `bits` bits each. bits follows
-log2 of the number of vectors (so a key's chance company stays bounded) and tables follows from bits, so
-that two vectors at the very threshold share a key with probability 1 - MISS, closer ones nearly always.
-Equal vectors collapse first. Then: stars of shared keys give first links; keys that still hold several
-components are compared in tiles of bounded size, which emit spanning forests of verified links; last,
-links are counted inside each component, again in tiles, every pair once.
+without bias. f is the cosine of the angle between Px and b, so no x within the threshold of q has an
+estimate below cos(arccos f + arccos threshold) / f: pairs below that are dropped by their code, for
+certain and not only with high probability, and all others are recomputed exactly.
+
+Which pairs are looked at: all of them. Equal vectors collapse first. The others are cut into blocks of a
+bounded number of bytes; each block goes to every task, which holds its own rows against the codes of the
+block. A task gives the links of each of its rows and a spanning forest of the links it found. No pair is
+left to chance, so the work grows with the square of the number of distinct vectors.
 """
 
 from __future__ import annotations
@@ -25,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, drop_paths
-from tessera.llm.parity_join import PACKED, _mixed, _packed, _small, _stars, _whole_groups, mix
+from tessera.llm.common import _forest, components, cut, drop_paths
 from tessera.llm.vptree import _matrix, _vectors
 
 THRESHOLD = 0.9
 EPS = 5.0
-MISS = 0.01
-TILE = 1024
+#: Bytes of vectors that are sent to all tasks at once, and rows of either side of a tile inside a task.
+BLOCK_BYTES = 32 << 20
+TILE = 2048
 SEED = 20240501
 
 
@@ -77,131 +75,75 @@ def exact(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndar
     return out
 
 
-def links(x: np.ndarray, codes: np.ndarray, factor: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float, may) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of left x right rows with may(i, j) and cosine >= threshold."""
-    found_i, found_j = [], []
-    for at in range(0, len(left), 256):
-        own = left[at : at + 256]
-        est, half = estimate(x[own], codes[right], factor[right])
-        i, j = np.nonzero((est + half[None, :] >= threshold) & may(own[:, None], right[None, :]))
-        i, j = own[i], right[j]
-        ok = exact(x, i, x, j) >= threshold
-        found_i.append(i[ok])
-        found_j.append(j[ok])
-    return np.concatenate(found_i or [np.empty(0, int)]), np.concatenate(found_j or [np.empty(0, int)])
+def least(factor: np.ndarray, dim: int, threshold: float) -> np.ndarray:
+    """The smallest estimate that a coded vector within the threshold can show, less the rounding of estimates."""
+    turn = np.arccos(np.minimum(1, factor)) + math.acos(threshold)
+    return (np.cos(np.minimum(turn, math.pi)) - 1e-5 - 2e-7 * dim) / factor
 
 
-def plan(n: int, threshold: float = THRESHOLD, miss: float = MISS) -> tuple[int, int]:
-    """(bits, tables) for n vectors."""
-    p = 1 - math.acos(threshold) / math.pi
-    bits = max(8, math.ceil(math.log2(max(2, n))) + 4)
-    return bits, math.ceil(math.log(miss) / math.log(1 - p**bits))
+def links(q: np.ndarray, x: np.ndarray, codes: np.ndarray, factor: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (i, j) of rows of q and x with cosine >= threshold."""
+    est, _ = estimate(q, codes, factor)
+    i, j = np.nonzero(est >= least(factor, q.shape[1], threshold)[None, :].astype(np.float32))
+    ok = exact(q, i, x, j) >= threshold
+    return i[ok], j[ok]
 
 
-def keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """One 64-bit key a table for every row."""
-    dim = x.shape[1]
-    u = unit(x)
-    signs = np.concatenate([u @ rotation(dim, 1 + r).T >= 0 for r in range(-(-bits * tables // dim))], 1)[:, : bits * tables]
-    value = signs.reshape(len(x), tables, bits) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
-    return mix(value.astype(np.uint64) + (np.arange(tables, dtype=np.uint64) << np.uint64(40))[None, :])
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, v, weight, block) with code and factor."""
+    for b in batches:
+        if b.num_rows:
+            codes, factor = encode(_matrix(b.column(1)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor)], CODED.replace(",", "").split()[0::2])
 
 
-CODED = "id long, sigs binary, code binary, factor double"
-
-
-def _encode(bits: int, tables: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                x = _matrix(b.column(1).slice(at, 2000))
-                codes, factor = encode(x)
-                k = keys(x, bits, tables)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 2000), pa.array([r.tobytes() for r in k], pa.binary()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(factor)], ["id", "sigs", "code", "factor"])
-
-    return run
+CODED = "id long, v array<double>, weight long, block int, code binary, factor double"
 
 
 def _codes(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(c.as_py(), np.uint8) for c in column])
 
 
-def _pairs(threshold: float):
-    """Of (a, b, va, vb, code of b, factor of b): pairs that link."""
+def _held(block, threshold: float):
+    """Of (id, v): (a, b, links): the links of a to rows of the block, by weight (b null), and a forest of links (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x, weight, codes, factor = block.value
         for t in batches:
-            if t.num_rows:
-                x, y = _matrix(t.column(2)), _matrix(t.column(3))
-                f = t.column(5).to_numpy()
-                dim = x.shape[1]
-                signs = np.unpackbits(_codes(t.column(4)), axis=1, count=dim).astype(np.float64) * 2 - 1
-                est = ((unit(x) @ rotation(dim, 0).T) * signs).sum(1) / math.sqrt(dim) / f
-                half = EPS * np.sqrt(np.maximum(0, 1 - f**2) / f**2 / max(1, dim - 1))
-                at = np.flatnonzero(est + half >= threshold)
-                at = at[exact(x, at, y, at) >= threshold]
-                yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(at)), t.column(1).take(pa.array(at))], ["a", "b"])
-
-    return run
-
-
-def _tiles(threshold: float):
-    """Of (sig, r, c, side, id, comp, v, code, factor) by tile: a forest of links between components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _whole_groups(batches, 3):
-            r, c, side, ids, comp = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
-            x, codes, f = _matrix(t.column(6).combine_chunks()), _codes(t.column(7)), t.column(8).to_numpy()
-            root: dict[int, int] = {}
-            keep = []
-            for a, z in zip(starts, np.r_[starts[1:], t.num_rows], strict=True):
-                own = np.arange(a, z)
-                same = r[a] == c[a]
-                left, right = (own, own) if same else (own[side[a:z] == 0], own[side[a:z] == 1])
-                i, j = links(x, codes, f, left, right, threshold, lambda i, j: (comp[i] != comp[j]) & ((i < j) if same else True))  # noqa: B023
-                for p, q in zip(i.tolist(), j.tolist(), strict=True):
-                    u, v = comp[p], comp[q]
-                    while root.get(u, u) != u:
-                        u = root[u]
-                    while root.get(v, v) != v:
-                        v = root[v]
-                    if u != v:
-                        root[max(u, v)] = min(u, v)
-                        keep.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in keep], pa.int64()), pa.array([q for _, q in keep], pa.int64())], ["a", "b"])
-
-    return run
-
-
-def _counts(threshold: float):
-    """Of (comp, r, c, side, id, weight, v, code, factor) by tile: (id, links to others of the tile, by weight)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, starts in _whole_groups(batches, 3):
-            r, c, side, ids, weight = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5))
-            x, codes, f = _matrix(t.column(6).combine_chunks()), _codes(t.column(7)), t.column(8).to_numpy()
-            total = np.zeros(t.num_rows, np.int64)
-            for a, z in zip(starts, np.r_[starts[1:], t.num_rows], strict=True):
-                own = np.arange(a, z)
-                same = r[a] == c[a]
-                left, right = (own, own) if same else (own[side[a:z] == 0], own[side[a:z] == 1])
-                i, j = links(x, codes, f, left, right, threshold, lambda i, j: (i < j) if same else np.ones((len(i), j.shape[1]), bool))  # noqa: B023
-                np.add.at(total, i, weight[j])
-                np.add.at(total, j, weight[i])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "links"])
+            if not t.num_rows:
+                continue
+            own, q = t.column(0).to_numpy(), _matrix(t.column(1))
+            total, found = np.zeros(len(own), np.int64), [np.empty((0, 2), np.int64)]
+            for lo in range(0, len(own), TILE):
+                for a in range(0, len(ids), TILE):
+                    to = slice(a, a + TILE)
+                    i, j = links(q[lo : lo + TILE], x[to], codes[to], factor[to], threshold)
+                    i, j = i + lo, j + a
+                    other = own[i] != ids[j]
+                    i, j = i[other], j[other]
+                    np.add.at(total, i, weight[j])
+                    once = own[i] < ids[j]  # the task of the other row finds the rest
+                    if once.any():
+                        found.append(np.stack([own[i[once]], ids[j[once]]], 1))
+                        if sum(map(len, found)) > 1_000_000:
+                            found = [_thinned(found)]
+            some, edges = np.flatnonzero(total), _thinned(found)
+            cols = np.r_[own[some], edges[:, 0]], np.r_[np.zeros(len(some), np.int64), edges[:, 1]], np.r_[total[some], np.zeros(len(edges), np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], mask=np.arange(len(cols[0])) < len(some)), pa.array(cols[2])], ["a", "b", "links"])
 
     return run
 
 
-def _tiled(rows: DataFrame, key: str) -> DataFrame:
-    """rows with r, c, side: every pair of rows of a key meets in exactly one tile of at most about 2 * TILE rows."""
-    k = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("k"))
-    out = rows.join(k, key).withColumn("t", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
-    out = out.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    return out.withColumns({"r": F.least("t", "o"), "c": F.greatest("t", "o"), "side": F.when(F.col("t") <= F.col("o"), 0).otherwise(1)}).drop("t", "o", "k")
+def _thinned(edges: list[np.ndarray]) -> np.ndarray:
+    """Fewer edges of the same components: each vertex to the smallest one of its component."""
+    e = np.concatenate(edges)
+    for out in _forest([pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["u", "v"])]):
+        ids, at = out.column(0).to_numpy(), out.column(1).to_numpy()
+        return np.stack([ids, at], 1)[ids != at]
+    return e
 
 
-def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of vectors: id column, n_links (other vectors linked directly), component_id
     (smallest id reachable), kept (id = component_id).
 
@@ -222,26 +164,23 @@ def near_duplicates(vectors: DataFrame, id: str = "vec_id", vector: str = "embed
     same = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")), "rq-same", paths)
     own = rows.join(same, ["h1", "h2"]).where("id = rep").dropDuplicates(["h1", "h2"]).select("id", "v", "weight")
     own = cut(own, "rq-reps", paths)
-    many = own.count()
-    bits, tables = plan(many, threshold)
-    coded = cut(own.select("id", "v").mapInArrow(_encode(bits, tables), CODED), "rq-codes", paths)
-    data = cut(own.join(coded.drop("sigs"), "id"), "rq-data", paths)
-    buckets = max(n, many * tables // 4_000_000)
-    packed = coded.select("id", "sigs", F.col("id").alias("comp")).mapInArrow(_packed(buckets, 1), PACKED).repartition(n, "bucket").select("sigs", "ids", "comps")
-    stars = packed.mapInArrow(_stars, "a long, b long").distinct()
-    va, vb = data.select(F.col("id").alias("a"), F.col("v").alias("va")), data.select(F.col("id").alias("b"), F.col("v").alias("vb"), "code", "factor")
-    edges = cut(stars.join(va, "a").join(vb, "b").select("a", "b", "va", "vb", "code", "factor").mapInArrow(_pairs(threshold), "a long, b long"), "rq-links", paths)
-    label = components(edges)
-    known = coded.select("id", "sigs").join(_small(label), "id", "left").select("id", "sigs", F.coalesce("component_id", "id").alias("comp"))
-    groups = known.mapInArrow(_packed(buckets, 1), PACKED).repartition(n, "bucket").select("sigs", "ids", "comps").mapInArrow(_mixed, "sig long, id long")
-    groups = cut(groups, "rq-groups", paths).join(_small(label), "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
-    tiles = _tiled(groups.select("sig", "id", "comp"), "sig").join(data, "id").select("sig", "r", "c", "side", "id", "comp", "v", "code", "factor")
-    tiles = tiles.repartition(n, "sig", "r", "c").sortWithinPartitions("sig", "r", "c")
-    more = cut(tiles.mapInArrow(_tiles(threshold), "a long, b long").distinct(), "rq-links", paths)
-    label = components(edges.unionByName(more))
-    met = _tiled(label.select("id", F.col("component_id").alias("comp")), "comp").join(data, "id").select("comp", "r", "c", "side", "id", "weight", "v", "code", "factor")
-    met = met.repartition(n, "comp", "r", "c").sortWithinPartitions("comp", "r", "c")
-    count = cut(met.mapInArrow(_counts(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links")), "rq-counts", paths)
+    size = own.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    blocks = max(1, -(-size.n * 8 * (size.dim or 0) // block_bytes))
+    # a fixed number of parts, so that every pass keeps all cores busy
+    data = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(n, "id").mapInArrow(_encode, CODED)
+    data = cut(data, "rq-data", paths)
+    passes = []
+    for k in range(blocks):
+        t = data.where(F.col("block") == k).toArrow().combine_chunks()
+        if t.num_rows:
+            held = [t.column(c).combine_chunks() for c in ("v", "code")]
+            block = spark.sparkContext.broadcast((t.column("id").to_numpy(), _matrix(held[0]), t.column("weight").to_numpy(), _codes(held[1]), t.column("factor").to_numpy()))
+            rows_of = data.select("id", "v").repartition(n, "id")
+            passes.append(cut(rows_of.mapInArrow(_held(block, threshold), "a long, b long, links long"), "rq-links", paths))
+            block.destroy()
+    met = functools.reduce(DataFrame.unionByName, passes, spark.createDataFrame([], "a long, b long, links long"))
+    label = components(met.where("b is not null"))
+    count = cut(met.where("b is null").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links")), "rq-counts", paths)
     about = same.join(count.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("id", "rep"), "rep", "left")
     about = about.select("h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
     per = rows.select(F.col("given").alias("id"), "h1", "h2").join(about, ["h1", "h2"]).select("id", "n_links", "component_id")

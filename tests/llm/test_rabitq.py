@@ -56,6 +56,27 @@ def test_against_brute_force(spark):
     assert sum(g != w for g, w in zip(got, want, strict=True)) <= 0.03 * len(want)
 
 
+def test_no_pair_at_the_threshold_is_missed(spark):
+    rng = np.random.default_rng(3)
+    x = rabitq.unit(rng.normal(size=(3000, 64)))
+    away = rng.normal(size=x.shape)
+    away = rabitq.unit(away - (away * x).sum(1)[:, None] * x)
+    cosine = rng.choice([0.8999, 0.9001, 0.905, 0.92], 3000)[:, None]
+    xs = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * away])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(xs)], "vec_id long, embedding array<double>")
+    want = [(i, int(c > 0.9), i % 3000 if c > 0.9 else i, c < 0.9 or i < 3000) for i, c in enumerate(np.tile(cosine[:, 0], 2))]
+    for block_bytes in (rabitq.BLOCK_BYTES, 700_000):  # one block, and five
+        assert sorted(map(tuple, rabitq.near_duplicates(df, block_bytes=block_bytes).collect())) == want
+
+
+def test_equals_brute_force(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(30, 16))
+    xs = [list(map(float, base[rng.integers(30)] * rng.choice([1, 2]) + rng.choice([0, 0.1, 0.3, 0.5]) * rng.normal(size=16))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(xs)), "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, rabitq.near_duplicates(df, block_bytes=5_000).collect())) == brute(list(range(300)), xs)
+
+
 def test_empty_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (5, [0.0, 2.0]), (0, [3.0, 0.1])], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, rabitq.near_duplicates(df).collect()))
