@@ -1,8 +1,9 @@
 """Personal data replaced by keyed surrogates of the same kind and format.
 
-Entities are found by one alternation of patterns. Each distinct entity gets one surrogate, a keyed
-digest spelled in the entity's own format, so every mention of it, in whatever document, reads the
-same (coreference). A global check keeps surrogates distinct: one that another entity took, or that is
+Entities are found by one alternation of patterns. Mentions are led back to canonical entities (digits of
+cards and phones, addresses in lower case, secret values without the name before them, parts of names
+without the form of address); each gets one surrogate, a keyed digest, and each mention spells it in its
+own format, so every mention, in whatever document and spelling, agrees (coreference). A global check keeps surrogates distinct: one that another entity took, or that is
 itself an entity of the corpus, is drawn anew with the next counter until none clashes. Everything is
 DataFrame functions: no Python runs on the executors.
 
@@ -41,6 +42,8 @@ KINDS: dict[str, str] = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 SECRET_HEAD = r"^((?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?)"
+#: Country codes of one and two digits; the others have three.
+COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Draws before a surrogate is made distinct by a digest at its end.
 TRIES = 12
 #: Replacement lists of at most this many bytes are broadcast to the texts; beyond, texts are dealt by key.
@@ -69,25 +72,66 @@ def _spell(text: Column, seed: Column, lower: str = "lower") -> Column:
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
 
-def _syllables(seed: Column, at: int, n: int, script: tuple[str, str], ends: str) -> Column:
+def _syllables(seed: Column, k: Column, script: tuple[str, str], ends: str) -> Column:
+    """A name of two open syllables and an end; of more syllables in later draws, for corpora of many names."""
     sounds = F.array(*[F.lit(c + v) for c in script[0].split() for v in script[1].split()])
-    parts = [F.get(sounds, _draw(seed, F.lit(at + k), len(script[0].split()) * len(script[1].split()))) for k in range(n)]
-    last = F.get(F.array(*[F.lit(e) for e in ends.split()]), _draw(seed, F.lit(at + n), len(ends.split())))
+    parts = [F.get(sounds, _draw(seed, F.lit(i), len(script[0].split()) * len(script[1].split()))) for i in range(4)]
+    parts[2:] = [F.when(k >= 4 * (i + 1), p).otherwise("") for i, p in enumerate(parts[2:])]
+    last = F.get(F.array(*[F.lit(e) for e in ends.split()]), _draw(seed, F.lit(4), len(ends.split())))
     return F.initcap(F.concat(*parts, F.regexp_replace(last, "^[aeiouаеиоу](?=.)", "")))
 
 
-def _name(e: Column, seed: Column) -> Column:
+#: Kinds of name parts: script and end.
+PARTS = {f"{part}-{script}-{g}": (sounds, ENDS[(script, end)]) for script, sounds in (("latin", LATIN), ("cyrillic", CYRILLIC)) for g in "fm" for part, end in (("given", g), ("family", "s" if script == "latin" else f"s{g}"))}
+PARTS["family-latin"] = PARTS.pop("family-latin-f")
+del PARTS["family-latin-m"]
+
+
+def canonical(kind: Column, e: Column) -> Column:
+    """The canonical entities (kind, c) that a mention e names; one, or two where a name has two parts."""
+    digits = F.regexp_replace(e, "[^0-9]", "")
+    abroad = e.startswith("+") & ~digits.rlike("^1[0-9]{10}$")
+    cc = F.regexp_extract(digits, f"^({COUNTRY})", 1)
+    phone = F.when(abroad, F.concat(cc, F.lit(":"), F.substring(digits, F.length(cc) + 1, F.length(digits)))).otherwise(F.regexp_replace(digits, "^1(?=[0-9]{10}$)", ""))
+    rest = F.regexp_replace(e, rf"^(?:{_ADDRESS})\.? ", "")
+    script = F.when(rest.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    gender = F.when(F.regexp_extract(e, rf"^({_ADDRESS})", 1).isin(*FEMALE), "f").otherwise("m")
+    part = lambda kind, c: F.struct(kind.alias("kind"), F.initcap(c).alias("c"))
+    family = part(F.when(script == "latin", "family-latin").otherwise(F.concat(F.lit("family-cyrillic-"), gender)), F.substring_index(rest, " ", -1))
+    name = F.when(rest.contains(" "), F.array(part(F.concat(F.lit("given-"), script, F.lit("-"), gender), F.substring_index(rest, " ", 1)), family)).otherwise(F.array(family))
+    c = (
+        F.when(kind == "card", digits).when(kind == "phone", phone).when(kind == "email", F.lower(e))
+        .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_replace(e, SECRET_HEAD, "")).otherwise(e)
+    )
+    return F.when(kind == "name", name).otherwise(F.array(F.struct(F.when(kind.isin("akia", "hex"), "secret").otherwise(kind).alias("kind"), c.alias("c"))))
+
+
+def _poured(e: Column, chars: Column, fits: str) -> Column:
+    """e with its characters of the class replaced by the last of chars, in order; ahead of them it stays."""
+    cells = F.split(e, "")
+    ahead = F.size(F.filter(cells, lambda x: x.rlike(fits))) - F.length(chars)
+    state = F.struct(F.lit("").alias("out"), F.lit(1).alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        at = a["n"] - ahead
+        new = F.when(~x.rlike(fits) | (at < 1), x).otherwise(F.substring(chars, at, F.lit(1)))
+        return F.struct(F.concat(a["out"], new).alias("out"), (a["n"] + x.rlike(fits).cast("int")).alias("n"))
+
+    return F.aggregate(cells, state, step)["out"]
+
+
+def spelled(kind: Column, e: Column, s: Column) -> Column:
+    """The surrogates s (an array) of what e names, in the format of e."""
+    one = F.get(s, F.lit(0))
+    cases = F.array_join(F.zip_with(F.split(one, ""), F.split(e, ""), lambda a, b: F.when((F.lower(b) != b), F.upper(a)).otherwise(F.coalesce(a, F.lit("")))), "")
     form = F.regexp_extract(e, rf"^((?:{_ADDRESS})\.? )", 1)
-    female = F.regexp_extract(e, rf"^({_ADDRESS})", 1).isin(*FEMALE)
-    rest = F.expr("substring(e, length(regexp_extract(e, '^([^ ]+ )', 1)) + 1)")
-    cyr = rest.rlike(r"^\p{IsCyrillic}")
-    given = lambda s, name: F.when(female, _syllables(seed, 0, 2, s, ENDS[(name, "f")])).otherwise(_syllables(seed, 0, 2, s, ENDS[(name, "m")]))
-    latin = F.concat(given(LATIN, "latin"), F.lit(" "), _syllables(seed, 10, 2, LATIN, ENDS[("latin", "s")]))
-    family = F.when(female, _syllables(seed, 10, 2, CYRILLIC, ENDS[("cyrillic", "sf")])).otherwise(_syllables(seed, 10, 2, CYRILLIC, ENDS[("cyrillic", "sm")]))
-    cyrillic = F.concat(given(CYRILLIC, "cyrillic"), F.lit(" "), family)
-    both = F.when(cyr, cyrillic).otherwise(latin)
-    # one name behind the form of address is a family name
-    return F.concat(form, F.when(rest.contains(" "), both).otherwise(F.substring_index(both, " ", -1)))
+    rest = F.regexp_replace(e, rf"^(?:{_ADDRESS})\.? ", "")
+    name = F.array_join(F.zip_with(F.split(rest, " "), s, lambda w, x: F.when((F.upper(w) == w) & (F.length(w) > 2), F.upper(x)).otherwise(x)), " ")
+    return (
+        F.when(kind == "card", _poured(e, one, "[0-9]")).when(kind == "phone", _poured(e, F.regexp_replace(one, "^[0-9]+:", ""), "[0-9]"))
+        .when(kind == "iban", _poured(e, one, "[A-Z0-9]")).when(kind == "email", cases)
+        .when(kind == "secret", F.concat(F.regexp_extract(e, SECRET_HEAD, 1), one)).when(kind == "name", F.concat(form, name)).otherwise(one)
+    )
 
 
 def _card(e: Column, seed: Column) -> Column:
@@ -106,7 +150,7 @@ def kind_of(e: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """entities (kind, e, k) with s, the k-th draw of the surrogate of e under the key."""
+    """Canonical entities (kind, e, k) with s, the k-th draw of the surrogate of e under the key."""
     rows = entities.withColumn("seed", F.sha2(F.concat_ws("\u0001", F.lit(key), "kind", "e", F.col("k").cast("string")), 256))
     seed, e = F.col("seed"), F.col("e")
     rows = rows.withColumn("s", _spell(e, seed))
@@ -115,18 +159,20 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     host_seed = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("host"), host), 256)
     email = F.concat(_spell(F.substring_index(e, "@", 1), seed), F.lit("@"), F.when(inner != "", _spell(inner, host_seed)).otherwise(F.lit("")), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
     ip = F.concat_ws(".", *[(_draw(seed, F.lit(i), 254) + 1).cast("string") for i in range(4)])
-    code = F.regexp_extract(e, r"^(\+[0-9]{1,3}[ .-]?|)", 1)
-    phone = F.concat(code, F.expr("regexp_replace(substring(s, length(regexp_extract(e, '^([+][0-9]{1,3}[ .-]?|)', 1)) + 1), '(?<![0-9])[01]', '7')"))
-    head = F.regexp_extract(e, SECRET_HEAD, 1)
-    value = F.regexp_replace(e, SECRET_HEAD, "")
-    secret = F.concat(head, F.when(value.rlike("^[0-9a-f]+$"), _spell(value, seed, "hex")).otherwise(_spell(value, seed)))
+    code = F.regexp_extract(e, "^([0-9]+:)", 1)
+    own = _spell(F.regexp_replace(e, "^[0-9]+:", ""), seed)
+    phone = F.concat(code, F.when(F.length(e) == 10, F.regexp_replace(own, "^([0-9]{3})[01]", "$17")).otherwise(own))
+    phone = F.regexp_replace(phone, "(^|:)[01]", "$17")
+    secret = F.when(e.rlike("^[0-9a-f]+$"), _spell(e, seed, "hex")).when(e.rlike(f"^(?:{KINDS['akia']})$"), F.concat(F.substring(e, 1, 4), F.expr("substring(s, 5)"))).otherwise(_spell(F.regexp_replace(e, "[^\\x00-\\x7F]", "x"), seed))
+    name = F.lit(None).cast("string")
+    for part, (script, ends) in PARTS.items():
+        name = F.when(F.col("kind") == part, _syllables(seed, F.col("k"), script, ends)).otherwise(name)
     return rows.withColumn(
         "s",
         F.when(F.col("kind") == "email", email).when(F.col("kind") == "ipv4", ip).when(F.col("kind") == "phone", phone)
         .when(F.col("kind") == "card", _card(e, seed)).when(F.col("kind") == "ssn", F.regexp_replace("s", "^[069]", "4"))
         .when(F.col("kind") == "iban", F.concat(F.substring(e, 1, 2), F.expr("substring(s, 3)")))
-        .when(F.col("kind") == "akia", F.concat(F.substring(e, 1, 4), F.expr("substring(s, 5)")))
-        .when(F.col("kind") == "hex", _spell(e, seed, "hex")).when(F.col("kind") == "secret", secret).when(F.col("kind") == "name", _name(e, seed))
+        .when(F.col("kind") == "secret", secret).when(F.col("kind").isin(*PARTS), name)
         .otherwise(F.col("s")),
     ).drop("seed")
 
@@ -142,17 +188,17 @@ def assign(entities: DataFrame, key: str, tries: int = TRIES) -> DataFrame:
     pending, taken = entities.withColumn("k", F.lit(0)), None
     for k in range(tries):
         drawn = cut(surrogates(pending.withColumn("k", F.lit(k)), key), "pii-draws", paths)
-        first = drawn.groupBy("s").agg(F.min("e").alias("e"))
+        first = drawn.groupBy("s").agg(F.min(F.struct("e", "kind")).alias("m")).select("s", "m.e", "m.kind")
         good = first.join(real, "s", "left_anti")
         if taken is not None:
             good = good.join(taken.select("s"), "s", "left_anti")
-        won = drawn.join(good, ["s", "e"], "left_semi").select("e", "kind", "s")
+        won = drawn.join(good, ["s", "e", "kind"], "left_semi").select("e", "kind", "s")
         taken = cut(won if taken is None else taken.unionByName(won), "pii-taken", paths)
-        pending = cut(drawn.join(taken.select("e"), "e", "left_anti").select("kind", "e", "k"), "pii-left", paths)
+        pending = cut(drawn.join(taken.select("e", "kind"), ["e", "kind"], "left_anti").select("kind", "e", "k"), "pii-left", paths)
         if pending.isEmpty():
             break
     else:
-        last = surrogates(pending, key).select("e", "kind", F.concat("s", F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), "e"), 256), 1, 16)).alias("s"))
+        last = surrogates(pending, key).select("e", "kind", F.concat("s", F.lit("-"), F.substring(F.sha2(F.concat(F.lit(key), "kind", "e"), 256), 1, 16)).alias("s"))
         taken = taken.unionByName(last)
     out = cut(taken, "pii-map")
     drop_paths(entities.sparkSession, paths)
@@ -173,9 +219,13 @@ def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = N
     found = docs.where(t.isNotNull()).select(h[0].alias("h1"), h[1].alias("h2"), F.posexplode(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).alias("pos", "e"))
     found = cut(found.dropDuplicates(["h1", "h2", "pos"]), "pii-found", paths)
     entities = cut(found.groupBy("e").agg(F.lit(1).alias("x")).select(kind_of(F.col("e")).alias("kind"), "e"), "pii-entities", paths)
-    mapping = assign(entities, key)
-    paths.append(mapping.inputFiles()[0].rsplit("/", 1)[0]) if mapping.inputFiles() else None
-    lists = found.join(mapping.select("e", "s"), "e").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l"))
+    parts = cut(entities.select("kind", "e", F.posexplode(canonical(F.col("kind"), F.col("e"))).alias("part", "of")), "pii-parts", paths)
+    drawn = assign(parts.select("of.kind", F.col("of.c").alias("e")).distinct(), key)
+    paths.append(drawn.inputFiles()[0].rsplit("/", 1)[0]) if drawn.inputFiles() else None
+    mapping = parts.join(drawn.select(F.struct("kind", F.col("e").alias("c")).alias("of"), "s"), "of")
+    mapping = mapping.groupBy("kind", "e").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]).alias("s"))
+    mapping = cut(mapping.select("e", spelled(F.col("kind"), F.col("e"), F.col("s")).alias("s")), "pii-spelled", paths)
+    lists = found.join(mapping, "e").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l"))
     lists = cut(lists.select("h1", "h2", F.transform("l", lambda x: x["s"]).alias("__list")), "pii-lists")
     size = lists.agg(F.coalesce(F.sum(F.expr("octet_length(array_join(__list, '')) + 32 * size(__list) + 64")), F.lit(0)).alias("b")).first().b
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), h[0].alias("h1"), h[1].alias("h2"))

@@ -62,3 +62,23 @@ def test_key_changes_surrogates_and_collisions_are_settled(spark):
 
 def test_empty(spark):
     assert pii.replace(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
+
+
+def test_other_spellings_of_an_entity_agree(spark):
+    texts = [
+        "4777431686562174, 4777-4316-8656-2174, 4777 4316 8656 2174", "+1 (366) 555-9807, 366-555-9807, (366) 555 9807", "Bob.X@Mail.Example.com, bob.x@mail.example.com, BOB.X@MAIL.EXAMPLE.COM",
+        "DE89 3704 0044 0532 0130 00, DE89370400440532013000", "password=e3b3ed3cc8548923d6, pwd: e3b3ed3cc8548923d6",
+        "Mr. John Smith, Mr John Smith, Herr JOHN SMITH", "Mr Smith, Mrs Smith, Mrs Anna Smith, Mr Anders Smith", "Mrs John, Mr John John",
+    ]
+    got = [r.text.split(", ") for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    for row in (got[0], got[1], got[3]):
+        bare = {re.sub("[^A-Z0-9]", "", x)[-10 if row is got[1] else 0 :] for x in row}
+        assert len(bare) == 1
+    assert got[0][1] == "-".join(re.findall("....", got[0][0])) and got[1][0] == f"+1 ({got[1][1][:3]}) {got[1][1][4:]}" and got[3][0].replace(" ", "") == got[3][1]
+    assert got[2][2] == got[2][0].upper() and got[2][1] == got[2][0].lower() != texts[2].split(", ")[1] and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z]@[A-Z][a-z]{3}\.Example\.com", got[2][0])
+    assert got[4][0].split("=")[1] == got[4][1].split(": ")[1]
+    first = got[5][0].removeprefix("Mr. ")
+    assert got[5] == [f"Mr. {first}", f"Mr {first}", f"Herr {first.upper()}"]
+    given, family = first.split(" ")
+    assert got[6][:2] == [f"Mr {family}", f"Mrs {family}"] and [x.split(" ")[2] for x in got[6][2:]] == [family] * 2 and given not in " ".join(got[6])
+    assert got[7][0].split(" ")[1] == got[7][1].split(" ")[2] != got[7][1].split(" ")[1] == given
