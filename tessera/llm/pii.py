@@ -26,22 +26,24 @@ MALE = ("Mr", "Herr", "Señor", "Sr", "г-н", "господин")
 _ADDRESS = "|".join(sorted((*FEMALE, *MALE), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
+_ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}"
+
 #: In order: where two could start at the same place, the first one is taken. A pattern that begins with
 #: an open run of characters looks back first, so that a run is tried once and not from each of its characters.
 KINDS: dict[str, str] = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[A-Za-z0-9_+/.-]{6,256}",
+    "secret": rf"(?<![A-Za-z0-9]){_ASSIGNED}(?:\"(?=[^\"\r\n]{{6}})[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+(?=\")|'(?=[^'\r\n]{{6}})[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+(?=')|[\"']?[^\s\"']\S{{4,}}[^\s.,;:)\]}}>\"'])",
     "akia": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9])[0-9]{4}(?:([ -]?)[0-9]{4})(?:\1[0-9]{4}){2}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9+(])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}|\+[1-9](?:[ .()/-]{0,2}[0-9]){6,14}|(?<![A-Za-z_.:/=-])[2-9][0-9]{9}(?![A-Za-z_]))(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9a-f]{32}|[0-9a-f]{64})(?![A-Za-z0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_ADDRESS})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-SECRET_HEAD = r"^((?i:password|passwd|pwd|secret|token|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?)"
+SECRET_HEAD = rf"^({_ASSIGNED}[\"']?)"
 #: Country codes of one and two digits; the others have three.
 COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
 #: Draws before a surrogate is made distinct by a digest at its end.
@@ -145,7 +147,8 @@ def _card(e: Column, seed: Column) -> Column:
 def kind_of(e: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(list(KINDS.items())[:-1]):
-        out = F.when(e.rlike(f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
+        # what follows a secret belongs to its pattern, but is not here
+        out = F.when(e.rlike(SECRET_HEAD if kind == "secret" else f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
     return out
 
 

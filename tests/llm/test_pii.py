@@ -82,3 +82,19 @@ def test_other_spellings_of_an_entity_agree(spark):
     given, family = first.split(" ")
     assert got[6][:2] == [f"Mr {family}", f"Mrs {family}"] and [x.split(" ")[2] for x in got[6][2:]] == [family] * 2 and given not in " ".join(got[6])
     assert got[7][0].split(" ")[1] == got[7][1].split(" ")[2] != got[7][1].split(" ")[1] == given
+
+
+def test_whole_secrets_and_phones_of_other_lands(spark):
+    long = "aB3" * 3000
+    texts = [
+        f"token={long} end", "password: hunter2!xyzzy end", "api_key=QWxhZGRpbjpvcGVuIHNlc2FtZQ== end", 'password = "p@ssword1" end', '{"token": "abc/def\\"ghi jkl", "n": 1}', "secret='two words of it' end", "pwd=pässwörd1 end",
+        "+49 30 90182012", "+33 1 23 45 67 89", "+34 612 345 678", "5551234567", "+493090182012", "+353 (1) 234-5678",
+        "no 1700000000 x5551234567 12345678901 +12 345, token: none", "tokens are 12 and the secret is safe",
+    ]
+    got = [r.text for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r"token=[A-Za-z0-9]{9000} end", got[0]) and "aB3aB3" not in got[0]
+    for i, (form, gone) in enumerate([(r"password: [a-z]{6}\d![a-z]{5} end", "hunter|xyzzy"), (r"api_key=\w+== end", "QWx|ZQ=="), (r'password = "[a-z]@[a-z]{6}\d" end', "p@ss"), (r'\{"token": "[a-z]{3}/[a-z]{3}\\"[a-z]{3} [a-z]{3}", "n": 1\}', "abc|def|ghi|jkl"), (r"secret='[a-z]{3} [a-z]{5} [a-z]{2} [a-z]{2}' end", "two|words"), (r"pwd=[a-z]{8}\d end", "ä|ö")], 1):
+        assert re.fullmatch(form, got[i]) and not re.search(gone, got[i]), got[i]
+    for i in range(7, 13):
+        assert re.sub("[0-9]", "0", got[i]) == re.sub("[0-9]", "0", texts[i]) and got[i] != texts[i] and got[i][:3] == (texts[i][:3] if texts[i][0] == "+" else got[i][:3])
+    assert got[11].replace("+49", "+49 ")[4:] == got[7][4:].replace(" ", "") and got[13:] == texts[13:]
