@@ -26,7 +26,17 @@ MARKERS = {
     "user": "user|human|q|question|customer|client|prompt",
     "assistant": "assistant|ai|a|answer|bot|agent|response|model",
 }
-_OPEN, _CLOSE = r"^[ \t]*(?:[\[<(*#|]{0,3}[ ]?)", r"[\])|*]{0,3}[ ]?[:>\])|-][ \t*|>]*"
+
+
+def _marked(words: str) -> str:
+    """Lines with a marker of these words: before ':' or '>', bold, or in brackets that open and close. Plain words before
+    '-' or ')' are text, and so is a letter in round brackets or before '|', as in lists and tables."""
+    some = "|".join(w for w in words.split("|") if len(w) > 1)
+    bold = rf"\*{{1,3}}[ ]?(?:{words})[ ]?(?:\*{{1,3}}[ ]?[:>]|[:>][ ]?\*{{1,3}})"
+    held = rf"[*|]{{0,3}}(?:[\[<]\|?[ ]?(?:{words})[ ]?\|?[\]>]|\([ ]?(?:{some})[ ]?\))[*|]{{0,3}}(?:[ ]?:\*{{0,3}})?"
+    return rf"(?i)^[ \t]*#{{0,6}}[ ]?(?:{bold}|{held}|(?:{words})[ ]?[:>]|\|?[ ]?(?:{some})[ ]?\|)[ \t]?"
+
+
 SHAPES = 5
 SYMBOLS = (len(ROLES) + 2) * SHAPES
 STATES = 2 * len(ROLES)  # 2 r: first line of a turn of role r; 2 r + 1: a later one
@@ -39,14 +49,13 @@ def marker(line: Column) -> Column:
     """0 none, 1 + r a marker of role r, 4 an unknown name before a colon."""
     out = F.when(line.rlike(r"^[ \t]*\p{Lu}[\p{L}]{1,15}:[ \t]"), F.lit(len(ROLES) + 1)).otherwise(F.lit(0))
     for r, role in reversed(list(enumerate(ROLES))):
-        out = F.when(line.rlike(f"(?i){_OPEN}(?:{MARKERS[role]}){_CLOSE}"), F.lit(r + 1)).otherwise(out)
+        out = F.when(line.rlike(_marked(MARKERS[role])), F.lit(r + 1)).otherwise(out)
     return out
 
 
 def unmarked(line: Column) -> Column:
-    """The line without its marker."""
-    known = "|".join(MARKERS.values())
-    return F.when(marker(line) > 0, F.regexp_replace(line, rf"(?:(?i){_OPEN}(?:{known}){_CLOSE})|^[ \t]*\p{{Lu}}[\p{{L}}]{{1,15}}:[ \t]", "")).otherwise(line)
+    """The line without its marker of a known role. An unknown name stays: no role stands for it."""
+    return F.regexp_replace(line, _marked("|".join(MARKERS.values())), "")
 
 
 def symbol(line: Column) -> Column:
@@ -121,7 +130,7 @@ def parse(lines: DataFrame, model: Model, id: str, line: str, text: str, chunk:
 
     chunk is the span of line numbers that one step takes. A null line text is an empty line; lines without
     an id or number are left out; of lines that repeat a number the order is that of their texts. A turn's
-    text is its lines without markers, joined by line ends. An empty table gives an empty result.
+    text is its lines, the first one without its marker, joined by line ends. An empty table gives an empty result.
     """
     rows = lines.where(F.col(id).isNotNull() & F.col(line).isNotNull()).select(F.col(id).alias("id"), F.col(line).cast("long").alias("line"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.floor(F.col("line") / chunk).cast("long").alias("chunk"), F.struct("line", "text", symbol(F.col("text")).alias("o")).alias("x"))
@@ -180,9 +189,9 @@ def parse(lines: DataFrame, model: Model, id: str, line: str, text: str, chunk:
     before = before.select("id", F.explode(running).alias("r")).select("id", "r.chunk", "r.base")
     flat = solved.join(before, ["id", "chunk"]).select("id", "base", "path", F.posexplode("x").alias("i", "x"))
     turn = F.col("base") + F.size(F.filter(F.slice("path", 1, F.col("i") + 1), lambda s: s % 2 == 0)) - 1
-    flat = flat.select("id", turn.alias("turn"), F.get("path", F.col("i")).alias("s"), F.struct("x.line", "x.text").alias("x"))
+    flat = flat.select("id", turn.alias("turn"), F.get("path", F.col("i")).alias("s"), F.struct("x.line", F.when(F.get("path", F.col("i")) % 2 == 0, unmarked(F.col("x.text"))).otherwise(F.col("x.text")).alias("text")).alias("x"))
     role = F.get(F.array(*[F.lit(r) for r in ROLES]), F.floor(F.min("s") / 2).cast("int"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: unmarked(x["text"])), "\n")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n")
     return flat.groupBy("id", "turn").agg(role.alias("role"), body.alias("text")).withColumnRenamed("id", id)
 
 

@@ -53,3 +53,17 @@ def test_markers_and_corners(spark, fitted):
     assert c[1][1] == "hello" and c[4][1] == "why?" and c[5][1] == "because"
     assert {r.id for r in got if r.id != "c"} == {"e"}
     assert tr.parse(df.limit(0), model, "id", "line", "text").count() == 0
+
+
+def test_turn_texts_come_back_whole(spark, fitted):
+    words = ["Model-based methods", "User-friendly design", "Q-learning is", "A) first option", "(A) other option", "a | b | c", "Agent - a word", "System) no"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, text string")
+    assert [tuple(r) for r in df.select(tr.marker(F.col("text")), tr.unmarked(F.col("text"))).collect()] == [(0, w) for w in words]
+    marked = ["User: x", "[AI] x", "Q> x", "**Agent**: x", "**User:** x", "### Instruction: x", "<|user|> x", "(Human): x", "USER | x", "A: x"]
+    assert {r[0] for r in spark.createDataFrame([(m,) for m in marked], "text string").select(tr.unmarked(F.col("text"))).collect()} == {"x"}
+    body = {"user": "please list\n" + "\n".join(words) + "\nNote: keep this", "assistant": "* one\n- two\n  Note: keep this\n" + "\n".join(words)}
+    turns = spark.createDataFrame([(c, t, r, body[r]) for c in range(20) for t, r in enumerate(["user", "assistant"] * 2)], "id long, turn int, role string, text string")
+    lines = tr.plain_lines(turns, silent=0)
+    model = tr.fit(lines.withColumn("symbol", tr.symbol(F.col("text"))), turns)
+    got = sorted(map(tuple, tr.parse(lines, model, "id", "line", "text").select("id", "turn", "role", "text").collect()))
+    assert got == sorted(map(tuple, turns.collect()))
