@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.llm import ordinal, packing, parity_join, pii, rabitq, raking, sstable, transcript, url_filter, vptree
+from tessera.llm import common, ordinal, packing, parity_join, pii, rabitq, raking, sstable, transcript, url_filter, vptree
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
@@ -66,9 +66,13 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document packed into bins of 2048 words, sources and copies apart."""
-    docs = _t(spark, sf_dir, "documents")
-    return packing.pack(docs, "doc_id", raking.tokens(F.col("text")), F.col("source"), packing.copy_cluster(F.col("text")))
+    """Every document packed into bins of 2048 words, sources and near copies (classes of op6_parity_join) apart."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # rows by number: ids may repeat or be null
+    rows = common.cut(docs.withColumn("row", F.monotonically_increasing_id()), "pack-rows")
+    items = rows.select("doc_id", "row", "source", raking.tokens(F.col("text")).alias("size"))
+    items = items.join(parity_join.classes(rows, id="row").select("row", "component_id"), "row")
+    return packing.pack(items, "doc_id", F.col("size"), F.col("source"), F.col("component_id"))
 
 
 def op5_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

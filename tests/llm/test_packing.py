@@ -3,7 +3,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from tessera.llm import packing
+from tessera.llm import packing, queries
 
 
 def brute(sizes, sources, clusters, capacity):
@@ -61,3 +61,16 @@ def test_pieces_cover_and_conflicts_hold(spark):
     whole = [r for r in out if r.doc_id == 500]
     assert sorted(r.token_start for r in whole) == list(range(0, 100_000, 100))
     assert packing.pack(docs.limit(0), "doc_id", F.col("bin_id"), F.col("source"), F.col("cluster")).count() == 0
+
+
+def test_near_copies_share_no_bin(spark, tmp_path):
+    rnd = random.Random(6)
+    text = [f"w{rnd.randrange(5000)}" for _ in range(150)]
+    rows = [(i, " ".join([*text, f"x{i}"]), "en", f"s{i}", 0) for i in range(6)] + [(None, " ".join(text), "en", "s6", 0), (0, " ".join(text).upper(), "en", "s7", 0)]
+    rows += [(10 + i, " ".join(f"y{rnd.randrange(5000)}" for _ in range(100)), "en", f"t{i}", 0) for i in range(8)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = queries.op4_packing(spark, str(tmp_path)).collect()
+    assert len(out) == len(rows)
+    bins = [r.bin_id for r in out if r.doc_id is None or r.doc_id < 10]
+    assert len(bins) == 8 == len(set(bins))
+    assert len({r.bin_id for r in out}) == 8  # the others fill up
