@@ -13,9 +13,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Only where none is set (tests) one is made here."""
+    """The folder that spark.checkpoint.dir names. Where none is set, one is made for a local session
+    (tests); a cluster must name one, as executors do not see the driver's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='tessera-ckpt-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -63,6 +66,32 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def whole_groups(batches, keys: int):
+    """Tables of whole groups of rows that stand together (equal first columns), with the group starts."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = None
+
+    def cuts(t):
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for c in range(keys):
+            v = t.column(c).to_numpy()
+            new |= v[1:] != v[:-1]
+        return np.flatnonzero(np.r_[True, new])
+
+    for b in batches:
+        if b.num_rows:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            at = cuts(held)
+            if len(at) > 1:
+                yield held.slice(0, int(at[-1])).combine_chunks(), at[:-1]
+                held = held.slice(int(at[-1]))
+    if held is not None and held.num_rows:
+        yield held, cuts(held)
+
+
 #: Edges that one task finishes in memory (16 bytes each); more are contracted over the cluster first.
 LOCAL_EDGES = 500_000
 

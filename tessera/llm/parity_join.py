@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, cut, drop_paths, small_batches
+from tessera.llm.common import components, cut, drop_paths, small_batches, whole_groups
 
 WORDS = 5
 NUM, DEN = 80, 100  # Jaccard >= NUM / DEN
@@ -357,35 +357,12 @@ def _verify(words: int):
     return run
 
 
-def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups of rows that stand together (equal first columns), with the group starts."""
-    held: pa.Table | None = None
-
-    def cuts(t: pa.Table) -> np.ndarray:
-        new = np.zeros(max(0, t.num_rows - 1), bool)
-        for c in range(keys):
-            v = t.column(c).to_numpy()
-            new |= v[1:] != v[:-1]
-        return np.flatnonzero(np.r_[True, new])
-
-    for b in batches:
-        if b.num_rows:
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-            at = cuts(held)
-            if len(at) > 1:
-                yield held.slice(0, int(at[-1])).combine_chunks(), at[:-1]
-                held = held.slice(int(at[-1]))
-    if held is not None and held.num_rows:
-        yield held, cuts(held)
-
-
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (sig, r, c, side, id, comp, n, sketch, dead) sorted by tile: pairs of different components
     within the bound and not dead; a spanning forest of the components, then the closest others, as many
     as there are rows; a row (null, null) tells that there were more. A tile off the diagonal compares its
     two sides, one on it all its rows."""
-    for t, starts in _whole_groups(batches, 3):
+    for t, starts in whole_groups(batches, 3):
         r, c, side, ids, comp, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
         sk = _Sketches(t.column(7))
         tiny = np.stack([fold(np.frombuffer(x.as_py(), _U), 4) for x in t.column(7)])
