@@ -7,9 +7,9 @@ own format, so every mention, in whatever document and spelling, agrees (corefer
 itself an entity of the corpus, is drawn anew with the next counter until none clashes. Everything is
 DataFrame functions: no Python runs on the executors.
 
-Kinds and what is kept: email (separators, the last two labels of the host, one surrogate a host),
-ipv4 (four octets), card (length, grouping, first digit; the check digit is made valid), phone
-(punctuation, country code), ssn, iban (country, grouping), cloud access keys (prefix), assigned
+Kinds and what is kept: email (separators, the last label of the host, the last two of public mail hosts; one
+surrogate a host), ipv4 (four octets; private and loopback ranges), card (length, grouping, first digit; the check digit is made valid), phone
+(punctuation, country code), ssn, iban (country, grouping; valid check digits), cloud access keys (prefix), assigned
 secrets such as password=... (the name before the value), hexadecimal digests, and names behind a form
 of address (the form, hence the gender; script; number of names).
 """
@@ -46,6 +46,8 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 SECRET_HEAD = rf"^({_ASSIGNED}[\"']?)"
 #: Country codes of one and two digits; the others have three.
 COUNTRY = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: Hosts of documentation and of public mail, which name nobody; of other hosts the last label alone is kept.
+SHARED_HOSTS = ("example.com", "example.org", "example.net", "gmail.com", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "gmx.de", "web.de", "orange.fr", "mail.ru")
 #: Draws before a surrogate is made distinct by a digest at its end.
 TRIES = 12
 #: Replacement lists of at most this many bytes are broadcast to the texts; beyond, texts are dealt by key.
@@ -144,6 +146,17 @@ def _card(e: Column, seed: Column) -> Column:
     return F.concat(F.expr("substring(concat(substring(e, 1, 1), substring(s, 2)), 1, length(e) - 1)"), F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
 
 
+def _iban(e: Column, account: Column) -> Column:
+    """Country of e, check digits (mod 97 of account, country and 00) and account."""
+    country = F.substring(e, 1, 2)
+
+    def step(a: Column, c: Column) -> Column:
+        return F.when(c.between("0", "9"), F.pmod(a * 10 + c.cast("int"), F.lit(97))).otherwise(F.pmod(a * 100 + F.ascii(c) - 55, F.lit(97)))
+
+    rest = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), step)
+    return F.concat(country, F.lpad((98 - rest).cast("string"), 2, "0"), account)
+
+
 def kind_of(e: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(list(KINDS.items())[:-1]):
@@ -158,10 +171,17 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     seed, e = F.col("seed"), F.col("e")
     rows = rows.withColumn("s", _spell(e, seed))
     host = F.substring_index("e", "@", -1)
-    inner = F.regexp_extract(host, r"^(.*?)[^.]+\.[^.]+$", 1)
+    shared = F.substring_index(host, ".", -2).isin(*SHARED_HOSTS)
+    last = F.when(shared, F.substring_index(host, ".", -2)).otherwise(F.concat(F.lit("."), F.substring_index(host, ".", -1)))
+    inner = F.substring(host, F.lit(1), F.length(host) - F.length(last))
     host_seed = F.sha2(F.concat_ws("\u0001", F.lit(key), F.lit("host"), host), 256)
-    email = F.concat(_spell(F.substring_index(e, "@", 1), seed), F.lit("@"), F.when(inner != "", _spell(inner, host_seed)).otherwise(F.lit("")), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1))
-    ip = F.concat_ws(".", *[(_draw(seed, F.lit(i), 254) + 1).cast("string") for i in range(4)])
+    email = F.concat(_spell(F.substring_index(e, "@", 1), seed), F.lit("@"), F.when(inner != "", _spell(inner, host_seed)).otherwise(F.lit("")), last)
+    octet = [(_draw(seed, F.lit(i), 254) + 1).cast("string") for i in range(4)]
+    # private, loopback and link-local addresses stay so; public ones get a first octet of the public range 11 to 126
+    ip = F.when(e.rlike(r"^(?:10|127)\."), F.concat_ws(".", F.substring_index(e, ".", 1), *octet[1:]))
+    ip = ip.when(e.rlike(r"^172\.(?:1[6-9]|2[0-9]|3[01])\."), F.concat_ws(".", F.lit("172"), (_draw(seed, F.lit(1), 16) + 16).cast("string"), *octet[2:]))
+    ip = ip.when(e.rlike(r"^(?:192\.168|169\.254)\."), F.concat_ws(".", F.substring_index(e, ".", 2), *octet[2:]))
+    ip = ip.otherwise(F.concat_ws(".", (_draw(seed, F.lit(0), 116) + 11).cast("string"), *octet[1:]))
     code = F.regexp_extract(e, "^([0-9]+:)", 1)
     own = _spell(F.regexp_replace(e, "^[0-9]+:", ""), seed)
     phone = F.concat(code, F.when(F.length(e) == 10, F.regexp_replace(own, "^([0-9]{3})[01]", "$17")).otherwise(own))
@@ -174,7 +194,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         "s",
         F.when(F.col("kind") == "email", email).when(F.col("kind") == "ipv4", ip).when(F.col("kind") == "phone", phone)
         .when(F.col("kind") == "card", _card(e, seed)).when(F.col("kind") == "ssn", F.regexp_replace("s", "^[069]", "4"))
-        .when(F.col("kind") == "iban", F.concat(F.substring(e, 1, 2), F.expr("substring(s, 3)")))
+        .when(F.col("kind") == "iban", _iban(e, F.expr("substring(s, 5)")))
         .when(F.col("kind") == "secret", secret).when(F.col("kind").isin(*PARTS), name)
         .otherwise(F.col("s")),
     ).drop("seed")

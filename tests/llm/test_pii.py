@@ -98,3 +98,15 @@ def test_whole_secrets_and_phones_of_other_lands(spark):
     for i in range(7, 13):
         assert re.sub("[0-9]", "0", got[i]) == re.sub("[0-9]", "0", texts[i]) and got[i] != texts[i] and got[i][:3] == (texts[i][:3] if texts[i][0] == "+" else got[i][:3])
     assert got[11].replace("+49", "+49 ")[4:] == got[7][4:].replace(" ", "") and got[13:] == texts[13:]
+
+
+def test_hosts_ranges_and_check_digits(spark):
+    texts = ["anna@smithfamily.com, bob@mail.smithfamily.com, x@smithfamily.com", "10.2.3.4, 192.168.7.9, 172.20.1.2, 127.0.0.1, 169.254.3.4, 8.8.8.8", "DE89 3704 0044 0532 0130 00, GB82WEST12345698765432"]
+    got = [r.text.split(", ") for r in pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    assert "smith" not in " ".join(got[0]) and all(x.endswith(".com") for x in got[0]) and got[0][0].split("@")[1] == got[0][2].split("@")[1]
+    for old, new, kept in zip(texts[1].split(", "), got[1], (1, 2, 1, 1, 2, 0), strict=True):
+        assert new != old and new.split(".")[:kept] == old.split(".")[:kept] and all(0 < int(o) < 255 for o in new.split("."))
+    assert 16 <= int(got[1][2].split(".")[1]) <= 31 and 11 <= int(got[1][5].split(".")[0]) <= 126
+    for x in got[2]:
+        x = x.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
