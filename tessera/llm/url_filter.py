@@ -89,13 +89,18 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
     size = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("canon") + 32), F.lit(0)).alias("b")).first()
     filt, n_blocks = bloom(listed, size.n)
     block, masks = _block_and_bits(F.col("canon"), n_blocks)
+    rows = rows.withColumn("block", F.when(F.col("canon").isNotNull(), block).otherwise(-1 - F.pmod(F.xxhash64("row"), F.lit(4096))))
+    on = ["block"]
     if n_blocks * 72 <= BROADCAST_BYTES:
         filt = F.broadcast(filt)
-    rows = rows.withColumn("block", F.when(F.col("canon").isNotNull(), block).otherwise(-1 - F.pmod(F.xxhash64("row"), F.lit(4096))))
+    else:  # the rows of a hot URL, all of one block, are dealt over SALT partitions
+        on.append("salt")
+        filt = filt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int"))
     hit = F.lit(True)
     for i, m in enumerate(masks):
         hit = hit & (F.col(f"w{i}").bitwiseAND(m) != 0)
-    rows = rows.join(filt, "block", "left").select("row", "host", "path", "canon", F.coalesce(hit, F.lit(False)).alias("possible"))
+    rows = rows.join(filt, on, "left").select("row", "host", "path", "canon", F.coalesce(hit, F.lit(False)).alias("possible"))
     exact = listed.withColumn("listed", F.lit(True))
     if size.b <= BROADCAST_BYTES:
         rows = rows.withColumn("key", F.when(F.col("possible"), F.col("canon")))

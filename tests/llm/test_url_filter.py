@@ -59,6 +59,15 @@ def test_keyed(spark, monkeypatch):
     check(spark, True, monkeypatch)
 
 
+def test_rows_of_a_hot_url_are_dealt_over_partitions(spark, monkeypatch):
+    monkeypatch.setattr(uf, "BROADCAST_BYTES", -1)
+    pages = spark.createDataFrame([(i, "https://hot.org/de/1") for i in range(2000)], "page_id long, url string")
+    out = uf.judge(pages, spark.createDataFrame([("https://hot.org/de/1",)], "u string"), RULES)
+    assert out.where("listed and verdict = 'block'").count() == 2000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "salt" in plan.split("Join")[1]
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([(1, "http://k.net/fr/1")], "page_id long, url string")
     none = spark.createDataFrame([], "u string")
