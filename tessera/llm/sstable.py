@@ -38,8 +38,7 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Words kept per Python worker with their ids, twice.
 CACHE = 150_000
 
-MANIFEST = "shard int, path string, docs long, ids long, bytes long"
-FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
+MANIFEST = "shard int, path string, docs long, ids long, bytes long, key string"
 
 
 # ---- keys ----
@@ -290,7 +289,8 @@ def encoder(path: str) -> Encoder:
 
 
 def write(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder: str | None = None, key: str = "doc_id", text: str = "text", shards: int | None = None) -> DataFrame:
-    """Encode and write docs in ascending key order; the manifest (shard, path, docs, ids, bytes).
+    """Encode and write docs in ascending key order; the manifest (shard, path, docs, ids, bytes,
+    key: the type of the keys).
 
     Keys: integers or strings; a null key sorts first, equal keys stay together as rows of their own,
     ordered by text. A null text is an empty one; end_id, if given, follows every document's ids. An
@@ -300,7 +300,8 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder: str |
     spark = docs.sparkSession
     folder = folder or new_path(spark, "sst")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    kind = "string" if docs.schema[key].dataType.simpleString() == "string" else "long"
+    rows = docs.select(F.col(key).cast(kind).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.repartitionByRange(n, F.col("k").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,26 +321,27 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder: str |
         if w is not None:
             size = w.close()
             out.close()
-            row = {"shard": shard, "path": path, "docs": w.docs, "ids": w.ids, "bytes": size}
-            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
+            row = {"shard": shard, "path": path, "docs": w.docs, "ids": w.ids, "bytes": size, "key": kind}
+            yield pa.RecordBatch.from_pylist([row], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64()), ("key", pa.string())]))
 
     with small_batches(spark):
         return cut(rows.mapInArrow(task, MANIFEST), "sst-manifest")
 
 
 def read_back(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Per document of the files in the manifest: doc_id, start (ids before it), n_tokens, ids_crc32.
+    """Per document of the files in the manifest: doc_id (of the type of the keys written), start (ids before it), n_tokens, ids_crc32.
 
     The running sum over shards is a window over one row a shard. Each file is streamed block by block.
     """
     base = F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = manifest.withColumn("base", base).select("shard", "path", "base")
-    n = max(1, manifest.count())
-    rows = rows.repartition(n, "shard")
+    about = manifest.agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key")).first()
+    kind = about.key or "long"
+    rows = rows.repartition(max(1, about.n), "shard")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids_crc32", "shard"]
-        frame = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.int32()], strict=True)], names)
+        frame = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.string() if kind == "string" else pa.int64(), *[pa.int64()] * 3, pa.int32()], strict=True)], names)
         for b in batches:
             for x in b.to_pylist():
                 reader, start, out = Reader(x["path"]), x["base"], []
@@ -354,4 +356,4 @@ def read_back(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 if out:
                     yield frame(out)
 
-    return rows.mapInArrow(task, FOUND)
+    return rows.mapInArrow(task, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, shard int")

@@ -61,3 +61,14 @@ def test_many_blocks(tmp_path):
     assert all(len(r.get(f"k{i:05d}")[0]) == i % 97 for i in range(0, 3000, 13))
     assert [sstable.key_of(k) for k, _ in r] == [f"k{i:05d}" for i in range(3000)]
     assert sum(r.may_hold(sstable.key_bytes(f"no{i}")) for i in range(2000)) < 60
+
+
+def test_string_keys_come_back(spark, tmp_path):
+    docs = spark.createDataFrame([(k, t) for k, t in [("b", "two"), ("a", "one"), (None, "none"), ("é", "three x")]], "doc_id string, text string")
+    manifest = sstable.write(docs, PATH, shards=2, folder=f"file://{tmp_path}/k")
+    got = sstable.read_back(spark, manifest).orderBy("start").collect()
+    lib, start = Tokenizer.from_file(PATH), 0
+    for r, (k, t) in zip(got, [(None, "none"), ("a", "one"), ("b", "two"), ("é", "three x")], strict=True):
+        n = len(lib.encode(t, add_special_tokens=False).ids) + 1
+        assert (r.doc_id, r.start, r.n_tokens) == (k, start, n)
+        start += n
