@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
@@ -177,19 +177,21 @@ def parse(lines: DataFrame, model: Model, id: str, line: str, text: str, chunk:
     work = chunks.join(known, ["id", "chunk"], "left").select("id", "chunk", F.coalesce("before", F.lit(-1)).alias("before"), F.coalesce("last", F.lit(-1)).alias("last"), "o", "x")
 
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The states of a chunk's lines and, of each, the number of turns that began in the chunk up to it."""
         for b in batches:
-            paths = [solve(model, np.array(o.as_py()), p, e).tolist() for o, p, e in zip(b.column(4), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(5), pa.array(paths, pa.list_(pa.int32()))], ["id", "chunk", "x", "path"])
+            paths = [solve(model, np.array(o.as_py()), p, e) for o, p, e in zip(b.column(4), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            begun = [np.cumsum(p % 2 == 0) for p in paths]
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(5), pa.array(paths, ints), pa.array(begun, ints), pa.array([int(x[-1]) for x in begun], pa.int64())], ["id", "chunk", "x", "path", "begun", "b"])
 
-    solved = cut(work.mapInArrow(states, f"id {kind}, chunk long, x array<struct<line:bigint,text:string,o:int>>, path array<int>"), "hmm-paths")
+    solved = cut(work.mapInArrow(states, f"id {kind}, chunk long, x array<struct<line:bigint,text:string,o:int>>, path array<int>, begun array<int>, b long"), "hmm-paths")
     # turns are numbered over chunks: begins inside each chunk, then a running sum over a transcript's few chunks
-    begins = solved.select("id", "chunk", F.size(F.filter("path", lambda s: s % 2 == 0)).cast("long").alias("b"))
-    before = begins.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("chunk", "b"))).alias("l"))
-    running = F.transform("l", lambda x, i: F.struct(x["chunk"].alias("chunk"), F.aggregate(F.slice(F.col("l"), 1, i), F.lit(0).cast("long"), lambda a, y: a + y["b"]).alias("base")))
-    before = before.select("id", F.explode(running).alias("r")).select("id", "r.chunk", "r.base")
-    flat = solved.join(before, ["id", "chunk"]).select("id", "base", "path", F.posexplode("x").alias("i", "x"))
-    turn = F.col("base") + F.size(F.filter(F.slice("path", 1, F.col("i") + 1), lambda s: s % 2 == 0)) - 1
-    flat = flat.select("id", turn.alias("turn"), F.get("path", F.col("i")).alias("s"), F.struct("x.line", F.when(F.get("path", F.col("i")) % 2 == 0, unmarked(F.col("x.text"))).otherwise(F.col("x.text")).alias("text")).alias("x"))
+    ahead = Window.partitionBy("id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = solved.select("id", "chunk", F.coalesce(F.sum("b").over(ahead), F.lit(0)).alias("base"))
+    flat = solved.select("id", "chunk", F.explode(F.arrays_zip("x", "path", "begun")).alias("z")).join(before, ["id", "chunk"])
+    first = F.col("z.path") % 2 == 0
+    text_of = F.when(first, unmarked(F.col("z.x.text"))).otherwise(F.col("z.x.text"))
+    flat = flat.select("id", (F.col("base") + F.col("z.begun") - 1).alias("turn"), F.col("z.path").alias("s"), F.struct("z.x.line", text_of.alias("text")).alias("x"))
     role = F.get(F.array(*[F.lit(r) for r in ROLES]), F.floor(F.min("s") / 2).cast("int"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["text"]), "\n")
     return flat.groupBy("id", "turn").agg(role.alias("role"), body.alias("text")).withColumnRenamed("id", id)

@@ -67,3 +67,13 @@ def test_turn_texts_come_back_whole(spark, fitted):
     model = tr.fit(lines.withColumn("symbol", tr.symbol(F.col("text"))), turns)
     got = sorted(map(tuple, tr.parse(lines, model, "id", "line", "text").select("id", "turn", "role", "text").collect()))
     assert got == sorted(map(tuple, turns.collect()))
+
+
+def test_chunk_cut_inside_a_turn_with_marker_like_lines(spark, fitted):
+    turns = spark.createDataFrame([(c, t, r, "\n".join(["hello", "Note: stay", "Answer: in the text", "a) one", "x"] * 3)) for c in range(3) for t, r in enumerate(["user", "assistant"])], "id long, turn int, role string, text string")
+    lines = tr.plain_lines(turns, silent=0)
+    a, b = (sorted(map(tuple, tr.parse(lines, fitted[2], "id", "line", "text", chunk=c).select("id", "turn", "role", "text").collect())) for c in (1 << 60, 4))
+    assert a == b
+    given = sorted((r.id, x) for r in lines.collect() for x in r.text.split("\n"))
+    found = sorted((i, x) for i, _, _, t in a for x in t.split("\n"))
+    assert len(given) == len(found) and {x for _, x in found} >= {"Note: stay", "a) one"}
