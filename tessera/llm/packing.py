@@ -37,6 +37,7 @@ def pack_shard(sizes: list[int], sources: list[str | None], clusters: list[str |
     open_bins: list[tuple[int, int]] = []  # (residual, bin), ascending
     source_map: list[int] = []
     cluster_map: list[int] = []
+    held: list[list[str]] = []  # the sources of a bin
     having: Counter[str] = Counter()  # open bins that hold a source
     smallest = min(sizes, default=0)
     out = []
@@ -53,17 +54,18 @@ def pack_shard(sizes: list[int], sources: list[str | None], clusters: list[str |
             residual, b = capacity, len(source_map)
             source_map.append(0)
             cluster_map.append(0)
+            held.append([])
         else:
             residual, b = open_bins.pop(found)
-            for x in [x for x in source_bit if source_map[b] & source_bit[x]]:
-                having[x] -= 1
+            having.subtract(held[b])
         out.append((b, capacity - residual))
         source_map[b] |= s
         cluster_map[b] |= c
+        if s:
+            held[b].append(source)
         if residual - size >= max(1, smallest):
             insort(open_bins, (residual - size, b))
-            for x in [x for x in source_bit if source_map[b] & source_bit[x]]:
-                having[x] += 1
+            having.update(held[b])
     return out
 
 

@@ -74,3 +74,14 @@ def test_near_copies_share_no_bin(spark, tmp_path):
     bins = [r.bin_id for r in out if r.doc_id is None or r.doc_id < 10]
     assert len(bins) == 8 == len(set(bins))
     assert len({r.bin_id for r in out}) == 8  # the others fill up
+
+
+def test_many_sources_take_no_longer():
+    import time
+
+    rnd = random.Random(3)
+    n = 20_000
+    sizes = sorted((rnd.randint(1, 2047) for _ in range(n)), reverse=True)
+    began = time.time()
+    packing.pack_shard(sizes, [f"s{rnd.randrange(n)}" for _ in range(n)], [None] * n, 2048)
+    assert time.time() - began < 20
