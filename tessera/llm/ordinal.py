@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class taken for fitting.
@@ -121,24 +121,31 @@ class Model:
         return score
 
 
-def sample(labels: DataFrame, id: str, label: str, per_class: int) -> DataFrame:
-    """At most per_class ids of each of labels 0 and 1: the smallest keyed hashes."""
-    rows = labels.where(F.col(id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    pick = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(per_class)
-    return pick(0).unionByName(pick(1))
+def severity_of(toxic: Column, quality: Column) -> Column:
+    """The grade that two binary labels give: 0 not toxic, 1 toxic and of good (or unknown) quality, 2 toxic and of low quality."""
+    return F.when(toxic == 0, 0).when(toxic == 1, F.when(quality == 0, 2).otherwise(1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE) -> Model:
-    """Fit on labelled rows. Binary labels become three grades: 0 for label 0; rows of label 1 are parted
-    at the median of chosen flags per word into grades 1 and 2.
+def sample(labels: DataFrame, id: str, label: str, per_class: int, grades: int) -> DataFrame:
+    """At most per_class ids of label 0 and of all labels above: the smallest keyed hashes."""
+    rows = labels.where(F.col(id).isNotNull() & F.col(label).between(0, grades - 1)).groupBy(F.col(id).alias("id")).agg(F.max(label).cast("int").alias("g"))
+    pick = lambda few: rows.where(few).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(per_class)
+    return pick(F.col("g") == 0).unionByName(pick(F.col("g") > 0))
 
-    Rows without a label, or with a null id or label, are not used. Without rows of both labels the model
-    has no weights and gives every text grade 0.
+
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = SAMPLE, grades: int = 3) -> Model:
+    """Fit on rows labelled with ordered grades 0 .. grades - 1; 0 is harmless.
+
+    Grades come from the labels alone. A grade without rows, at the top, gets a threshold that few texts
+    pass; binary labels (grades=2) give one threshold. Rows without a label, or with a null id or label, or
+    one outside the grades, are not used. Without rows both of grade 0 and above the model has no weights
+    and gives every text grade 0.
     """
-    chosen = sample(labels, id, label, per_class)
+    none = Model({}, tuple(20.0 + i for i in range(grades - 1)))
+    chosen = sample(labels, id, label, per_class, grades).withColumn("y", (F.col("g") > 0).cast("int"))
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
     # copies of a text count once; the sample is bounded, so is this shuffle
-    rows = rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("id").alias("id"), F.max("y").alias("y"), F.first("text").alias("text")).select("id", "y", "text")
+    rows = rows.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("id").alias("id"), F.max("y").alias("y"), F.first("text").alias("text"), F.max("g").alias("g")).select("id", "y", "text", "g")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], int] = Counter()
@@ -158,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     try:
         total = counts.where("f = ''").first()
         if total is None or not total.n1 or not total.n0:
-            return Model({}, (20.0, 21.0))
+            return none
         p = (F.col("n1") + F.col("n0") + 1) / F.lit(float(total.n1 + total.n0 + 2))
         z = (F.col("n1") / total.n1 - F.col("n0") / total.n0) / F.sqrt(p * (1 - p) * (1 / total.n1 + 1 / total.n0) + 1e-12)
         best = counts.where((F.col("f") != "") & (F.col("n1") >= max(MIN_DOCS, MIN_SHARE * total.n1))).withColumn("z", z)
@@ -171,22 +178,17 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
     def flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits, share = [], []
-            for t in b.column(2):
-                fs = text_features(t.as_py())
-                hits.append(sorted(at[f] for f in fs if f in at))
-                share.append(len(hits[-1]) / max(1, len(WORD.findall(t.as_py() or ""))))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.int32())), pa.array(share, pa.float64())], ["id", "y", "hits", "share"])
-
-    found = rows.mapInArrow(flags, "id long, y int, hits array<int>, share double").toArrow().sort_by([("id", "ascending"), ("share", "ascending")]).to_pylist()
-    x = np.zeros((len(found), max(1, len(names))), np.float32)
+            hits = [sorted(at[f] for f in text_features(t.as_py()) if f in at) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(hits, pa.list_(pa.int32()))], ["id", "g", "hits"])
+
+    if not names:
+        return none
+    found = rows.mapInArrow(flags, "id long, g int, hits array<int>").toArrow().sort_by([("id", "ascending"), ("g", "ascending")]).to_pylist()
+    x = np.zeros((len(found), len(names)), np.float32)
     for i, r in enumerate(found):
         x[i, r["hits"]] = 1
-    middle = float(np.median([r["share"] for r in found if r["y"] == 1]))
-    y = np.array([0 if r["y"] == 0 else 1 + (r["share"] > middle) for r in found])
-    if not names:
-        return Model({}, (20.0, 21.0))
-    w, theta = fit_cumulative(x, y, 3)
+    y = np.array([r["g"] for r in found])
+    w, theta = fit_cumulative(x, y, grades)
     return Model({f: float(v) for f, v in zip(names, w, strict=False)}, tuple(float(t) for t in theta))
 
 

@@ -121,10 +121,14 @@ from embeddings e left join m on e.vec_id = m.a left join c on e.vec_id = c.id
 """
 
 
+def graded(labels: DataFrame) -> DataFrame:
+    return labels.select("doc_id", ordinal.severity_of(F.col("toxic"), F.col("quality")).alias("grade"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of every document, by a model fitted on labelled rows."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "text")
-    model = ordinal.fit(docs, _t(spark, sf_dir, "labels"))
+    model = ordinal.fit(docs, graded(_t(spark, sf_dir, "labels")), label="grade")
     return ordinal.grade(docs, model).select("doc_id", "severity", "grade", "rejected")
 
 

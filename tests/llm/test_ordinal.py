@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tessera.llm import ordinal
+from tessera.llm import ordinal, queries
 
 
 def test_thresholds_and_weights_recovered():
@@ -42,3 +42,26 @@ def test_corners(spark):
     empty = ordinal.fit(docs, labels.limit(0))
     assert not ordinal.grade(docs, empty).where("rejected").count()
     assert ordinal.grade(docs.limit(0), model).count() == 0
+
+
+def test_scorer_equals_the_features_of_the_text():
+    rnd = random.Random(5)
+    texts = [None, "", "Vile vile VILE", "1 2 3"] + [" ".join(rnd.choice(["vile", "vilest", "good", "sun", "x", "Ünschön"]) for _ in range(rnd.choice([1, 5, 400]))) for _ in range(60)]
+    weights = {f: rnd.random() for t in texts for f in sorted(ordinal.text_features(t)) if rnd.random() < 0.6}
+    score = ordinal.Model(weights, (1.0, 2.0)).scorer()
+    for t in texts * 2:
+        assert abs(score(t) - sum(weights.get(f, 0.0) for f in ordinal.text_features(t))) < 1e-9
+
+
+def test_grades_come_from_labels(spark):
+    rnd = random.Random(2)
+    word = {0: "fine", 1: "vile", 2: "vile cruel"}
+    rows = [(i, " ".join(rnd.choice(["good", "day", "sun"]) for _ in range(8)) + " " + word[i % 3], i % 3) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(g > 0), int(g < 2)) for i, _, g in rows], "doc_id long, toxic int, quality int")
+    model = ordinal.fit(docs, queries.graded(labels), label="grade")
+    out = {r.doc_id: r for r in ordinal.grade(docs, model).collect()}
+    assert all(out[i].grade == g and out[i].rejected == (g > 0) for i, _, g in rows)
+    assert max(r.severity for r in out.values() if r.grade == 1) < min(r.severity for r in out.values() if r.grade == 2)
+    two = ordinal.fit(docs, labels, label="toxic", grades=2)
+    assert len(two.thetas) == 1 and {r.grade for r in ordinal.grade(docs, two).collect()} == {0, 1}
