@@ -16,7 +16,7 @@ from tessera.llm import common, ordinal, packing, parity_join, pii, queries, rak
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the ordinal model rejects."""
     session.ship(spark)
-    model = ordinal.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    model = ordinal.fit(docs, queries.graded(spark.read.parquet(f"{sf_dir}/labels.parquet")), label="grade")
     return ordinal.grade(docs, model).where("not rejected").select(docs.columns)
 
 
