@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import session
+
 #: Labelled rows of each class taken for fitting.
 SAMPLE = 3000
 FEATURES = 2000
@@ -141,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     one outside the grades, are not used. Without rows both of grade 0 and above the model has no weights
     and gives every text grade 0.
     """
+    session.ship(docs.sparkSession)
     none = Model({}, tuple(20.0 + i for i in range(grades - 1)))
     chosen = sample(labels, id, label, per_class, grades).withColumn("y", (F.col("g") > 0).cast("int"))
     rows = docs.where(F.col(id).isNotNull()).select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
@@ -197,6 +200,7 @@ def grade(docs: DataFrame, model: Model, text: str = "text", reject: float = 0.4
     rejected (P(grade >= 1) >= reject, and at least one flag of the model). A null or empty text has no
     flags: it is scored as such and never rejected.
     Columns of docs with these names are replaced."""
+    session.ship(docs.sparkSession)
     new = ("severity", "grade", "rejected")
     keep = [c for c in docs.columns if c not in new]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm.common import ascii_lower, cut
 
 CAPACITY = 2048
@@ -102,6 +103,7 @@ def pack(docs: DataFrame, id: str, size: Column, source: Column, cluster: Column
     tokens and no bin (null). Rows that repeat an id are packed each for itself; null ids are packed too.
     An empty table gives an empty result.
     """
+    session.ship(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     items = docs.select(F.col(f"`{id}`").alias("id"), size.cast("long").alias("size"), source.cast("string").alias("source"), cluster.cast("string").alias("cluster"))
     items = cut(items.withColumn("row", F.monotonically_increasing_id()), "pack-items")  # written once: row numbers stay

@@ -17,15 +17,12 @@ block, and blocks are joined by equality. Steps:
 4. All signatures are met, now with the components known: a bucket keeps only groups that hold several
    components. They are compared pairwise by shortened sketch in tiles of bounded size. Of the pairs
    within the bound a tile emits a spanning forest and the closest others, no more pairs than it has
-   rows; these are verified and components grow. If a tile had more, pairs that failed are set aside
-   and this is repeated until no tile has a pair left.
+   rows; these are verified and components grow. If a tile had more, it goes on from the last of the closest
+   pairs it gave (one row a tile tells where) until no tile has a pair left.
 
 Every link thus lies inside a final component, and only verified links build it.
 
-Agreement: with at most DETERMINISTIC blocks m > d holds and no link can be missed. Beyond, fewer
-blocks are used: as shingles fall on blocks by hash, the chance that a pair at the threshold itself
-finds too few untouched blocks is below MISS (1e-9) for that pair, and far less above the threshold.
-exact=True keeps m > d everywhere.
+Agreement: m > d in every band, so no link can be missed by the blocks, whatever its size.
 
 Nulls and texts without words: empty set, linked with nothing. A null id is returned unlinked with
 component null. Rows that repeat an id link through it. Fewer words than a shingle: the sequence is
@@ -43,13 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm.common import components, cut, drop_paths, small_batches, whole_groups
 
 WORDS = 5
 NUM, DEN = 80, 100  # Jaccard >= NUM / DEN
 RATIO = DEN / NUM  # width of a size band
-MISS = 1e-9
-DETERMINISTIC = 64
 TILE = 1024
 #: Signatures that one bucket is meant to gather; the number of buckets follows from the texts.
 BUCKET = 4_000_000
@@ -60,8 +56,10 @@ BRIEF = 16
 #: Up to this many ids (8 bytes each) are broadcast.
 BROADCAST_IDS = 1 << 20
 #: Members of one verification task around one document.
-SPOKES = 2000
+SPOKES = 64
 WORD_CACHE = 500_000
+#: Signatures that a task sorts at a time, and how many ids of one signature among them make it hot.
+PACK, HOT = 2 * 10**6, 32
 
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], _U)
@@ -108,7 +106,7 @@ def band(n: int) -> int:
 
 
 @functools.cache
-def blocks(key: int, exact: bool = False) -> tuple[int, int]:
+def blocks(key: int) -> tuple[int, int]:
     """(m, t) for pairs met under a band key: m blocks, of which two linked sets agree on at least t;
     sets with fewer than t empty blocks then agree on one that is not empty."""
     # the smaller set of a pair met here is of band key - 1; pairs inside band key meet under key + 1 as well
@@ -122,30 +120,15 @@ def blocks(key: int, exact: bool = False) -> tuple[int, int]:
     m = d + 1
     while m - d < empty(m) and m < 3 * d + 12:
         m += 1
-    best = (m, m - d)
-    if exact or best[0] <= DETERMINISTIC:
-        return best
-
-    def too_few(m: int, t: int) -> float:  # P(Binomial(m, (1 - 1/m)^d) < t)
-        q = (1 - 1 / m) ** d
-        return sum(math.exp(math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) + i * math.log(q) + (m - i) * math.log1p(-q)) for i in range(t))
-
-    lo, hi = DETERMINISTIC, best[0]
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if too_few(mid, empty(mid)) <= MISS:
-            hi = mid
-        else:
-            lo = mid + 1
-    return (lo, empty(lo)) if lo < best[0] else best
+    return m, m - d
 
 
-def signatures(s: np.ndarray, exact: bool = False) -> np.ndarray:
+def signatures(s: np.ndarray) -> np.ndarray:
     """Block signatures of a set for its own band key and the next."""
     out = []
     k = band(len(s))
     for key in (k, k + 1):
-        m, t = blocks(key, exact)
+        m, t = blocks(key)
         salt = _U(key * 0x9E3779B9 + 1)
         h = mix(s ^ mix(np.array([salt], _U)))
         at = ((h >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
@@ -187,7 +170,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 FEATURES = "id long, n long, h1 long, h2 long, sigs binary"
 
 
-def _features(exact: bool, words: int):
+def _features(words: int):
     """Of (id, text): size, identity and signatures of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +182,7 @@ def _features(exact: bool, words: int):
                     n.append(len(s))
                     h1.append(int(np.bitwise_xor.reduce(mix(s + _U(11))).astype(np.int64)) if len(s) else 0)
                     h2.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64)) if len(s) else 0)
-                    sg.append(signatures(s, exact).tobytes() if len(s) else b"")
+                    sg.append(signatures(s).tobytes() if len(s) else b"")
                 columns = [b.column(0).slice(at, 1000), *[pa.array(x, pa.int64()) for x in (n, h1, h2)], pa.array(sg, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "sigs"])
 
@@ -209,74 +192,146 @@ def _features(exact: bool, words: int):
 PACKED = "bucket int, sigs binary, ids binary, comps binary"
 
 
-def _packed(buckets: int, part: int):
-    """Of (id, sigs, comp): rows (bucket, sigs, ids, comps) of the signatures divisible by part."""
+def _sorted(rows: Iterator[pa.RecordBatch], pack: int, part: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sig, id, comp, group starts) of about pack signatures of (id, sigs, comp) at a time, by signature and id; only
+    signatures divisible by part."""
+    ids, comps, sigs, size = [], [], [], 0
 
-    def pack(ids: list[int], comps: list[int], sigs: list[np.ndarray]) -> pa.RecordBatch:
+    def flush():
         n = [len(x) for x in sigs]
         sig, i, c = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(comps, np.int64), n)
-        at = ((sig.view(_U) >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int32)
-        order = np.argsort(at, kind="stable")
-        at, sig, i, c = at[order], sig[order], i[order], c[order]
-        cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, int)
-        ends = [*cuts[1:], len(at)]
-        cut_up = lambda x, d=False: pa.array([(np.diff(x[a:z], prepend=0) if d else x[a:z]).tobytes() for a, z in zip(cuts, ends, strict=False)], pa.binary())
-        # ids as differences, components as distances from the id: both compress well
-        return pa.RecordBatch.from_arrays([pa.array(at[cuts]), cut_up(sig), cut_up(i, True), cut_up(c - i)], ["bucket", "sigs", "ids", "comps"])
+        for x in (ids, comps, sigs):
+            x.clear()
+        order = np.lexsort((i, sig.view(_U)))
+        sig = sig[order]
+        return sig, i[order], c[order], np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else np.empty(0, int)
+
+    for b in rows:
+        for i, x, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            x = np.frombuffer(x.as_py(), np.int64)
+            x = x[x % part == 0] if part > 1 else x
+            ids.append(i)
+            comps.append(c)
+            sigs.append(x)
+            size += len(x)
+            if size > pack:
+                yield flush()
+                size = 0
+    if size:
+        yield flush()
+
+
+def _pack(buckets: int, sig: np.ndarray, i: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+    """PACKED of rows sorted by signature."""
+    at = ((sig.view(_U) >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int32)
+    cuts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    ends = [*cuts[1:], len(at)]
+    cut_up = lambda x, d=False: pa.array([(np.diff(x[a:z], prepend=0) if d else x[a:z]).tobytes() for a, z in zip(cuts, ends, strict=True)], pa.binary())
+    # ids as differences, components as distances from the id: both compress well
+    return pa.RecordBatch.from_arrays([pa.array(at[cuts]), cut_up(sig), cut_up(i, True), cut_up(c - i)], ["bucket", "sigs", "ids", "comps"])
+
+
+def _packed_stars(buckets: int, part: int, pack: int):
+    """PACKED of the signatures divisible by part. Of ids that share one here the smallest stands for all; the star
+    around it goes along as a row of bucket -1 (sigs: the centres)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, comps, sigs, size = [], [], [], 0
-        for b in batches:
-            for i, x, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                x = np.frombuffer(x.as_py(), np.int64)
-                x = x[x % part == 0] if part > 1 else x
-                ids.append(i)
-                comps.append(c)
-                sigs.append(x)
-                size += len(x)
-                if size > 2 * 10**6:
-                    yield pack(ids, comps, sigs)
-                    ids, comps, sigs, size = [], [], [], 0
-        if size:
-            yield pack(ids, comps, sigs)
+        for sig, i, c, starts in _sorted(batches, pack, part):
+            if not len(sig):
+                continue
+            hub = np.repeat(i[starts], np.diff(np.r_[starts, len(sig)]))  # ids ascend in a group
+            pairs = np.unique(np.stack([hub, i], 1)[hub != i], axis=0)
+            yield _pack(buckets, sig[starts], i[starts], c[starts])
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (pairs[:, 0], pairs[:, 1], pairs[:0, 0])]], ["bucket", "sigs", "ids", "comps"])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(sig, id, comp) of all packed rows of a task, sorted by sig, those of several ids alone."""
+def _packed(buckets: int, pack: int, hot: int):
+    """PACKED of all signatures. Of one that hot or more ids share here two go along, of the smallest and the largest
+    component: enough to tell whether it is mixed; see _hot for the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, i, c, starts in _sorted(batches, pack):
+            n = np.diff(np.r_[starts, len(sig)])
+            if (n >= hot).any():
+                ends = []
+                for a, k in zip(starts[n >= hot].tolist(), n[n >= hot].tolist(), strict=True):
+                    ends += [a + int(c[a : a + k].argmin()), a + int(c[a : a + k].argmax())]
+                keep = np.sort(np.r_[np.flatnonzero(np.repeat(n < hot, n)), np.unique(ends)])
+                sig, i, c = sig[keep], i[keep], c[keep]
+            yield _pack(buckets, sig, i, c)
+
+    return run
+
+
+def _hot(pack: int, hot: int):
+    """(sig, id) of what _packed left out, among others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sig, i, _, starts in _sorted(batches, pack):
+            n = np.diff(np.r_[starts, len(sig)])
+            keep = np.repeat(n >= hot, n)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(i[keep])], ["sig", "id"])
+
+    return run
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(sig, id, comp) of one bucket after the other, sorted by sig, those of several ids alone. Rows come sorted by bucket."""
     parts: tuple[list, list, list] = ([], [], [])
+
+    def flush():
+        sig = np.concatenate(parts[0])
+        order = np.argsort(sig, kind="stable")
+        sig = sig[order]
+        same = sig[1:] == sig[:-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        order = order[keep]
+        out = sig[keep], np.concatenate(parts[1])[order], np.concatenate(parts[2])[order]
+        for p in parts:
+            p.clear()
+        return out
+
+    own = None
     for b in batches:
-        for s, i, c in zip(b.column(0), b.column(1), b.column(2), strict=True):
+        for k, s, i, c in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3), strict=True):
+            if k != own and parts[0] and len((got := flush())[0]):
+                yield got
+            own = k
             ids = np.cumsum(np.frombuffer(i.as_py(), np.int64))
             parts[0].append(np.frombuffer(s.as_py(), np.int64))
             parts[1].append(ids)
             parts[2].append(ids + np.frombuffer(c.as_py(), np.int64))
-    if not parts[0]:
-        return None
-    sig = np.concatenate(parts[0])
-    order = np.argsort(sig, kind="stable")
-    sig = sig[order]
-    same = sig[1:] == sig[:-1]
-    keep = np.r_[same, False] | np.r_[False, same]
-    order = order[keep]
-    return sig[keep], np.concatenate(parts[1])[order], np.concatenate(parts[2])[order]
+    if parts[0] and len((got := flush())[0]):
+        yield got
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the smallest id of a shared signature and each other one."""
-    if (got := _gathered(batches)) is not None and len(got[0]):
-        sig, ids, _ = got
+    """Pairs (a, b) of the smallest id of a shared signature and each other one; stars that come as such go on."""
+
+    def rest() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            star = np.array(b.column(0)) < 0
+            for a, z in zip(b.column(1).filter(pa.array(star)), b.column(2).filter(pa.array(star)), strict=True):
+                stars.append(pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (a, z)], ["a", "b"]))
+            yield b.filter(pa.array(~star))
+
+    stars: list[pa.RecordBatch] = []
+    for sig, ids, _ in _buckets(rest()):
+        yield from stars
+        stars.clear()
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         hub = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.r_[starts, len(sig)]))
         pairs = np.unique(np.stack([hub, ids], 1)[hub != ids], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    yield from stars
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(sig, id) of the signatures that several components share."""
-    if (got := _gathered(batches)) is not None and len(got[0]):
-        sig, ids, comp = got
+    for sig, ids, comp in _buckets(batches):
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         sizes = np.diff(np.r_[starts, len(sig)])
         keep = np.repeat(np.minimum.reduceat(comp, starts) < np.maximum.reduceat(comp, starts), sizes)
@@ -285,6 +340,12 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(sig[at : at + 500_000]), pa.array(ids[at : at + 500_000])], ["sig", "id"])
 
 
+def _dealt(packed: DataFrame, n: int, buckets: int) -> DataFrame:
+    """PACKED with the rows of a bucket together, few buckets a task; rows of no bucket are spread."""
+    spread = F.when(F.col("bucket") < 0, F.xxhash64("ids"))
+    return packed.repartition(max(n, min(20_000, buckets)), "bucket", spread).sortWithinPartitions("bucket")
+
+
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,28 +419,32 @@ def _verify(words: int):
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, r, c, side, id, comp, n, sketch, dead) sorted by tile: pairs of different components
-    within the bound and not dead; a spanning forest of the components, then the closest others, as many
-    as there are rows; a row (null, null) tells that there were more. A tile off the diagonal compares its
-    two sides, one on it all its rows."""
+    """Of rows (sig, r, c, side, id, comp, n, sketch, far, pa, pb) sorted by tile: pairs of different components within
+    the bound. They are in order of distance and ids; those up to (far, pa, pb), if given, were given before. Of the
+    others a spanning forest of the components and the closest, as many as there are rows. If there were more, a last
+    row (sig, r, c, far, a, b) with the tile tells where to go on. A tile off the diagonal compares its two sides, one
+    on it all its rows."""
     for t, starts in whole_groups(batches, 3):
+        tile = [t.column(k).to_numpy() for k in range(3)]
         r, c, side, ids, comp, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
         sk = _Sketches(t.column(7))
         tiny = np.stack([fold(np.frombuffer(x.as_py(), _U), 4) for x in t.column(7)])
-        dead = {(i, j) for i, x in zip(ids.tolist(), t.column(8), strict=True) if x.is_valid for j in x.as_py()}
+        since = [np.nan_to_num(t.column(8).to_numpy(), nan=-1.0), *(t.column(k).fill_null(-1).to_numpy() for k in (9, 10))]
         found: list[tuple[np.ndarray, ...]] = []
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
             """Of rows i, j that differ in component and pass the shortest sketch."""
-            pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)  # noqa: B023
-            pair, first = np.unique(pair, axis=0, return_index=True)
-            i, j = i[first], j[first]
-            ham = _hamming(sk, i, sk, j)  # noqa: B023
-            ok = within(n[i], n[j], ham)  # noqa: B023
-            if dead and ok.any():  # noqa: B023
-                ok[ok] = [(a, b) not in dead for a, b in pair[ok].tolist()]  # noqa: B023
+            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])  # noqa: B023
+            # a pair that shares many signatures is measured once
+            _, one, back = np.unique(np.stack([a, b], 1), axis=0, return_index=True, return_inverse=True)
+            ham = _hamming(sk, i[one], sk, j[one])[back]  # noqa: B023
+            far = ham / (n[i] + n[j])  # noqa: B023
+            last = [x[i] for x in since]  # noqa: B023
+            new = (far > last[0]) | ((far == last[0]) & ((a > last[1]) | ((a == last[1]) & (b > last[2]))))
+            ok = within(n[i], n[j], ham) & new & (a != b)  # noqa: B023
             if ok.any():
-                found.append((pair[ok], comp[i][ok], comp[j][ok], (ham / (n[i] + n[j]))[ok]))  # noqa: B023
+                g = np.searchsorted(starts, i[ok], side="right") - 1  # noqa: B023
+                found.append((g, far[ok], a[ok], b[ok], comp[i][ok], comp[j][ok]))  # noqa: B023
 
         ends = np.r_[starts[1:], t.num_rows]
         sizes = ends - starts
@@ -410,25 +475,32 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     test(i[p], there[q])
         if not found:
             continue
-        pair, ca, cb, far = (np.concatenate(x) for x in zip(*found, strict=True))
-        pair, first = np.unique(pair, axis=0, return_index=True)
-        ca, cb, far = ca[first], cb[first], far[first]
-        order = np.argsort(far, kind="stable")
-        root: dict[int, int] = {}
-        tree, others = [], []
-        for k in order.tolist():
-            a, b = int(ca[k]), int(cb[k])
-            while (x := root.get(a, a)) != a:
-                a = root[a] = root.get(x, x)
-            while (x := root.get(b, b)) != b:
-                b = root[b] = root.get(x, x)
-            (tree if a != b else others).append(k)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-        keep = [*tree, *others[: max(0, t.num_rows - len(tree))]]
-        more = len(keep) < len(pair)
-        a, b = ([int(x) for x in pair[keep, s]] + [None] * more for s in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        group, far, pa_, pb_, ca, cb = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((pb_, pa_, far, group))
+        out: list[tuple] = []
+        given: set[tuple[int, int]] = set()
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            rows = int(sizes[group[own[0]]])
+            root: dict[int, int] = {}
+            tree = []
+            for k in own.tolist():
+                a, b = int(ca[k]), int(cb[k])
+                while (x := root.get(a, a)) != a:
+                    a = root[a] = root.get(x, x)
+                while (x := root.get(b, b)) != b:
+                    b = root[b] = root.get(x, x)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    tree.append(k)
+            given.update((int(pa_[k]), int(pb_[k])) for k in [*tree, *own[:rows].tolist()])
+            if rows < len(own):
+                k, at = own[rows - 1], starts[group[own[0]]]
+                out.append((int(tile[0][at]), int(tile[1][at]), int(tile[2][at]), float(far[k]), int(pa_[k]), int(pb_[k])))
+        out += [(None, None, None, None, a, b) for a, b in sorted(given)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["sig", "r", "c", "far", "a", "b"])
+
+
+LATE = "sig long, r int, c int, far double, a long, b long"
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -442,10 +514,11 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(_verify(words), "a long, b long")
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, exact: bool = False) -> DataFrame:
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
     """One row per row of docs: id column, n_shingles, rep_id (smallest id with the very same set) and
     component_id (smallest id reachable by links of Jaccard >= 0.8)."""
     spark = docs.sparkSession
+    session.ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     paths: list[str] = []
     base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -461,15 +534,15 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     buckets = min(1 << 23, max(n, size // (8 * BUCKET)))
     with small_batches(spark):
-        feats = cut(base.mapInArrow(_features(exact, words), FEATURES), "parity-features", paths)
+        feats = cut(base.mapInArrow(_features(words), FEATURES), "parity-features", paths)
     known = feats.where("n > 0 and id is not null")
     same = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     twins = cut(same.where("rep < last").select("h1", "h2", "n", "rep"), "parity-twins", paths)
     copies = cut(known.select("id", "h1", "h2", "n").join(twins, ["h1", "h2", "n"]).where("id != rep").select("id").distinct(), "parity-copies", paths)
     own = known.select("id", "sigs").join(_small(copies), "id", "left_anti")
     # candidates from an eighth of the signatures
-    some = own.withColumn("comp", F.col("id")).mapInArrow(_packed(buckets, 8), PACKED).repartition(n, "bucket").select("sigs", "ids", "comps")
-    stars = cut(some.mapInArrow(_stars, "a long, b long").distinct(), "parity-stars", paths)
+    some = own.withColumn("comp", F.col("id")).mapInArrow(_packed_stars(buckets, 8, PACK), PACKED)
+    stars = cut(_dealt(some, n, buckets).mapInArrow(_stars, "a long, b long").distinct(), "parity-stars", paths)
     met = cut(stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct(), "parity-met", paths)
     texts = cut(base.where("id is not null").join(_small(met), "id", "left_semi"), "parity-texts", paths)
     short = cut(texts.mapInArrow(_sketch(words), SKETCHES).dropDuplicates(["id"]), "parity-sketches", paths)
@@ -485,30 +558,36 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     # all signatures, with the components so far
     label = components(links)
     own = own.join(_small(label), "id", "left").select("id", "sigs", F.coalesce("component_id", "id").alias("comp"))
-    groups = own.mapInArrow(_packed(buckets, 1), PACKED).repartition(n, "bucket").select("sigs", "ids", "comps").mapInArrow(_mixed, "sig long, id long")
+    groups = _dealt(own.mapInArrow(_packed(buckets, PACK, HOT), PACKED), n, buckets).mapInArrow(_mixed, "sig long, id long")
     groups = cut(groups, "parity-groups", paths)
+    several = cut(groups.select("sig").distinct(), "parity-several", paths)
+    if not several.isEmpty():  # the ids that hot signatures left out, where these are mixed
+        more = cut(own.mapInArrow(_hot(PACK, HOT), "sig long, id long").join(_small(several), "sig", "left_semi"), "parity-hot", paths)
+        groups = groups.unionByName(more).distinct()
     late_ids = groups.select("id").distinct().join(met, "id", "left_anti")
     late_ids = cut(late_ids, "parity-met", paths)
     late_texts = cut(base.where("id is not null").join(_small(late_ids), "id", "left_semi"), "parity-texts", paths)
     texts = texts.unionByName(late_texts)
     short = short.unionByName(cut(late_texts.mapInArrow(_sketch(words), SKETCHES).dropDuplicates(["id"]), "parity-sketches", paths))
+    since = None
     while True:
         sig = groups.join(label, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
         mixed = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
         rows = sig.join(mixed, "sig").withColumn("t", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         rows = rows.select("sig", F.least("t", "o").alias("r"), F.greatest("t", "o").alias("c"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"), "id", "comp")
-        dead = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("dead"))
-        rows = rows.join(short.join(dead, "id", "left"), "id").select("sig", "r", "c", "side", "id", "comp", "n", "brief", "dead")
+        if since is not None:  # tiles that have more, from where they stopped
+            rows = rows.join(since, ["sig", "r", "c"])
+        else:
+            rows = rows.select("*", F.lit(None).cast("double").alias("far"), F.lit(None).cast("long").alias("la"), F.lit(None).cast("long").alias("lb"))
+        rows = rows.join(short, "id").select("sig", "r", "c", "side", "id", "comp", "n", "brief", "far", "la", "lb")
         rows = rows.repartition(n, "sig", "r", "c").sortWithinPartitions("sig", "r", "c")
-        late = cut(rows.mapInArrow(_tiles, "a long, b long").distinct(), "parity-late", paths)
-        left = not late.where("a is null").isEmpty()
-        late = late.where("a is not null")
-        more = cut(_links(_near(late, short), texts, words), "parity-links", paths)
-        failed = failed.unionByName(late.join(more, ["a", "b"], "left_anti"))
-        links = links.unionByName(more)
+        found = cut(rows.mapInArrow(_tiles, LATE), "parity-late", paths)
+        late = cut(found.where("sig is null").select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"), "parity-late", paths)
+        since = cut(found.where("sig is not null").select("sig", "r", "c", "far", F.col("a").alias("la"), F.col("b").alias("lb")), "parity-since", paths)
+        links = links.unionByName(cut(_links(_near(_across(late, label), short), texts, words), "parity-links", paths))
         label = components(links)
-        if not left:
+        if since.isEmpty():
             break
     rows = feats.select("id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     if repeated:

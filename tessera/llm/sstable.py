@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm.common import cut, new_path, small_batches
 
 MAGIC = b"TSST0001"
@@ -298,6 +299,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int | None = 1, folder: str |
     partitions of the keys (default: the session's shuffle partitions); each streams through one task.
     """
     spark = docs.sparkSession
+    session.ship(spark)
     folder = folder or new_path(spark, "sst")
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = "string" if docs.schema[key].dataType.simpleString() == "string" else "long"

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm.common import cut
 
 ROLES = ("system", "user", "assistant")
@@ -132,6 +133,7 @@ def parse(lines: DataFrame, model: Model, id: str, line: str, text: str, chunk:
     an id or number are left out; of lines that repeat a number the order is that of their texts. A turn's
     text is its lines, the first one without its marker, joined by line ends. An empty table gives an empty result.
     """
+    session.ship(lines.sparkSession)
     rows = lines.where(F.col(id).isNotNull() & F.col(line).isNotNull()).select(F.col(id).alias("id"), F.col(line).cast("long").alias("line"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.select("id", F.floor(F.col("line") / chunk).cast("long").alias("chunk"), F.struct("line", "text", symbol(F.col("text")).alias("o")).alias("x"))
     chunks = cut(rows.groupBy("id", "chunk").agg(F.array_sort(F.collect_list("x")).alias("x")).withColumn("o", F.transform("x", lambda x: x["o"])), "hmm-chunks")
