@@ -17,8 +17,8 @@ block, and blocks are joined by equality. Steps:
 4. All signatures are met, now with the components known: a bucket keeps only groups that hold several
    components. They are compared pairwise by shortened sketch in tiles of bounded size. Of the pairs
    within the bound a tile emits a spanning forest and the closest others, no more pairs than it has
-   rows; these are verified and components grow. If a tile had more, it goes on from the last of the closest
-   pairs it gave (one row a tile tells where) until no tile has a pair left.
+   rows; these are verified and components grow. If a tile had more, those that failed are set aside and this
+   is repeated until no tile has a pair left.
 
 Every link thus lies inside a final component, and only verified links build it.
 
@@ -419,32 +419,28 @@ def _verify(words: int):
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (sig, r, c, side, id, comp, n, sketch, far, pa, pb) sorted by tile: pairs of different components within
-    the bound. They are in order of distance and ids; those up to (far, pa, pb), if given, were given before. Of the
-    others a spanning forest of the components and the closest, as many as there are rows. If there were more, a last
-    row (sig, r, c, far, a, b) with the tile tells where to go on. A tile off the diagonal compares its two sides, one
-    on it all its rows."""
+    """Of rows (sig, r, c, side, id, comp, n, sketch, dead) sorted by tile: pairs of different components
+    within the bound and not dead; a spanning forest of the components, then the closest others, as many
+    as there are rows; a row (null, null) tells that there were more. A tile off the diagonal compares its
+    two sides, one on it all its rows."""
     for t, starts in whole_groups(batches, 3):
-        tile = [t.column(k).to_numpy() for k in range(3)]
         r, c, side, ids, comp, n = (t.column(k).to_numpy() for k in (1, 2, 3, 4, 5, 6))
         sk = _Sketches(t.column(7))
         tiny = np.stack([fold(np.frombuffer(x.as_py(), _U), 4) for x in t.column(7)])
-        since = [np.nan_to_num(t.column(8).to_numpy(), nan=-1.0), *(t.column(k).fill_null(-1).to_numpy() for k in (9, 10))]
+        dead = {(i, j) for i, x in zip(ids.tolist(), t.column(8), strict=True) if x.is_valid for j in x.as_py()}
         found: list[tuple[np.ndarray, ...]] = []
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
             """Of rows i, j that differ in component and pass the shortest sketch."""
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])  # noqa: B023
-            # a pair that shares many signatures is measured once
-            _, one, back = np.unique(np.stack([a, b], 1), axis=0, return_index=True, return_inverse=True)
-            ham = _hamming(sk, i[one], sk, j[one])[back]  # noqa: B023
-            far = ham / (n[i] + n[j])  # noqa: B023
-            last = [x[i] for x in since]  # noqa: B023
-            new = (far > last[0]) | ((far == last[0]) & ((a > last[1]) | ((a == last[1]) & (b > last[2]))))
-            ok = within(n[i], n[j], ham) & new & (a != b)  # noqa: B023
+            pair = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1)  # noqa: B023
+            pair, first = np.unique(pair, axis=0, return_index=True)
+            i, j = i[first], j[first]
+            ham = _hamming(sk, i, sk, j)  # noqa: B023
+            ok = within(n[i], n[j], ham)  # noqa: B023
+            if dead and ok.any():  # noqa: B023
+                ok[ok] = [(a, b) not in dead for a, b in pair[ok].tolist()]  # noqa: B023
             if ok.any():
-                g = np.searchsorted(starts, i[ok], side="right") - 1  # noqa: B023
-                found.append((g, far[ok], a[ok], b[ok], comp[i][ok], comp[j][ok]))  # noqa: B023
+                found.append((pair[ok], comp[i][ok], comp[j][ok], (ham / (n[i] + n[j]))[ok]))  # noqa: B023
 
         ends = np.r_[starts[1:], t.num_rows]
         sizes = ends - starts
@@ -475,32 +471,25 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     test(i[p], there[q])
         if not found:
             continue
-        group, far, pa_, pb_, ca, cb = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((pb_, pa_, far, group))
-        out: list[tuple] = []
-        given: set[tuple[int, int]] = set()
-        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
-            rows = int(sizes[group[own[0]]])
-            root: dict[int, int] = {}
-            tree = []
-            for k in own.tolist():
-                a, b = int(ca[k]), int(cb[k])
-                while (x := root.get(a, a)) != a:
-                    a = root[a] = root.get(x, x)
-                while (x := root.get(b, b)) != b:
-                    b = root[b] = root.get(x, x)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    tree.append(k)
-            given.update((int(pa_[k]), int(pb_[k])) for k in [*tree, *own[:rows].tolist()])
-            if rows < len(own):
-                k, at = own[rows - 1], starts[group[own[0]]]
-                out.append((int(tile[0][at]), int(tile[1][at]), int(tile[2][at]), float(far[k]), int(pa_[k]), int(pb_[k])))
-        out += [(None, None, None, None, a, b) for a, b in sorted(given)]
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()], strict=True)], ["sig", "r", "c", "far", "a", "b"])
-
-
-LATE = "sig long, r int, c int, far double, a long, b long"
+        pair, ca, cb, far = (np.concatenate(x) for x in zip(*found, strict=True))
+        pair, first = np.unique(pair, axis=0, return_index=True)
+        ca, cb, far = ca[first], cb[first], far[first]
+        order = np.argsort(far, kind="stable")
+        root: dict[int, int] = {}
+        tree, others = [], []
+        for k in order.tolist():
+            a, b = int(ca[k]), int(cb[k])
+            while (x := root.get(a, a)) != a:
+                a = root[a] = root.get(x, x)
+            while (x := root.get(b, b)) != b:
+                b = root[b] = root.get(x, x)
+            (tree if a != b else others).append(k)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+        keep = [*tree, *others[: max(0, t.num_rows - len(tree))]]
+        more = len(keep) < len(pair)
+        a, b = ([int(x) for x in pair[keep, s]] + [None] * more for s in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -569,26 +558,28 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     late_texts = cut(base.where("id is not null").join(_small(late_ids), "id", "left_semi"), "parity-texts", paths)
     texts = texts.unionByName(late_texts)
     short = short.unionByName(cut(late_texts.mapInArrow(_sketch(words), SKETCHES).dropDuplicates(["id"]), "parity-sketches", paths))
-    since = None
+    dead = None  # pairs that tiles gave and that do not link
     while True:
         sig = groups.join(label, "id", "left").select("sig", "id", F.coalesce("component_id", "id").alias("comp"))
         mixed = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig", F.ceil(F.col("c") / TILE).cast("int").alias("k"))
         rows = sig.join(mixed, "sig").withColumn("t", F.pmod(F.xxhash64("id"), F.col("k").cast("long")).cast("int"))
         rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         rows = rows.select("sig", F.least("t", "o").alias("r"), F.greatest("t", "o").alias("c"), F.when(F.col("t") <= F.col("o"), 0).otherwise(1).alias("side"), "id", "comp")
-        if since is not None:  # tiles that have more, from where they stopped
-            rows = rows.join(since, ["sig", "r", "c"])
-        else:
-            rows = rows.select("*", F.lit(None).cast("double").alias("far"), F.lit(None).cast("long").alias("la"), F.lit(None).cast("long").alias("lb"))
-        rows = rows.join(short, "id").select("sig", "r", "c", "side", "id", "comp", "n", "brief", "far", "la", "lb")
+        about = short.withColumn("dead", F.lit(None).cast("array<long>"))
+        if dead is not None:
+            about = short.join(dead.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("dead")), "id", "left")
+        rows = rows.join(about, "id").select("sig", "r", "c", "side", "id", "comp", "n", "brief", "dead")
         rows = rows.repartition(n, "sig", "r", "c").sortWithinPartitions("sig", "r", "c")
-        found = cut(rows.mapInArrow(_tiles, LATE), "parity-late", paths)
-        late = cut(found.where("sig is null").select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"), "parity-late", paths)
-        since = cut(found.where("sig is not null").select("sig", "r", "c", "far", F.col("a").alias("la"), F.col("b").alias("lb")), "parity-since", paths)
-        links = links.unionByName(cut(_links(_near(_across(late, label), short), texts, words), "parity-links", paths))
+        late = cut(rows.mapInArrow(_tiles, "a long, b long").distinct(), "parity-late", paths)
+        left = not late.where("a is null").isEmpty()
+        late = late.where("a is not null")
+        more = cut(_links(_near(late.join(failed, ["a", "b"], "left_anti"), short), texts, words), "parity-links", paths)
+        links = links.unionByName(more)
         label = components(links)
-        if since.isEmpty():
+        if not left:
             break
+        lost = cut(late.join(more, ["a", "b"], "left_anti"), "parity-dead", paths)
+        dead = lost if dead is None else dead.unionByName(lost)
     rows = feats.select("id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     if repeated:
         real = lambda df, c: df.join(names.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("given", c)).drop("given")

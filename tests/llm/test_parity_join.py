@@ -98,28 +98,3 @@ def test_small_tiles_hubs_and_hot_signatures(spark, monkeypatch):
         rows.append((1000 + i, " ".join(base)))
     got = pj.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
-
-
-def test_a_tile_goes_on_from_where_it_stopped():
-    import pyarrow as pa
-
-    rnd = np.random.default_rng(2)
-    core = rnd.integers(0, 2**63, 100, dtype=np.uint64)
-    sets = [np.unique(np.r_[core[i:], rnd.integers(0, 2**63, i, dtype=np.uint64)]) for i in range(12)]
-    brief = [pj.fold(pj.sketch(s), 16).tobytes() for s in sets]
-    seen, since = set(), (None, None, None)
-    for _ in range(20):
-        cols = {"sig": [7] * 12, "r": [0] * 12, "c": [0] * 12, "side": [0] * 12, "id": list(range(12)), "comp": list(range(12)), "n": [len(s) for s in sets], "brief": brief}
-        cols |= {k: [v] * 12 for k, v in zip(("far", "la", "lb"), since, strict=True)}
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.int64(), pa.int64()]
-        batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), types, strict=True)], list(cols))
-        out = [r for b in pj._tiles(iter([batch])) for r in b.to_pylist()]
-        new = {(r["a"], r["b"]) for r in out if r["sig"] is None}
-        seen |= new
-        more = [r for r in out if r["sig"] is not None]
-        assert len(new) <= 24
-        if not more:
-            break
-        since = (more[0]["far"], more[0]["a"], more[0]["b"])
-    want = {(i, j) for i in range(12) for j in range(i + 1, 12) if pj.within(len(sets[i]), len(sets[j]), int(np.bitwise_count(np.frombuffer(brief[i], np.uint64) ^ np.frombuffer(brief[j], np.uint64)).sum()))}
-    assert not more and seen == want and len(want) > 24
