@@ -22,7 +22,10 @@ block, and blocks are joined by equality. Steps:
 
 Every link thus lies inside a final component, and only verified links build it.
 
-Agreement: m > d in every band, so no link can be missed by the blocks, whatever its size.
+Agreement: every band takes the fewest blocks that keep m > d (no link can be missed) or, as shingles
+fall on blocks by hash, miss a pair at the very threshold with a chance below MISS (1e-9), and one above it
+with a far smaller one. exact=True keeps m > d everywhere; blocks are then smaller and more pairs that only
+share a passage meet.
 
 Nulls and texts without words: empty set, linked with nothing. A null id is returned unlinked with
 component null. Rows that repeat an id link through it. Fewer words than a shingle: the sequence is
@@ -45,6 +48,7 @@ from tessera.llm.common import components, cut, drop_paths, small_batches, whole
 
 WORDS = 5
 NUM, DEN = 80, 100  # Jaccard >= NUM / DEN
+MISS = 1e-9
 RATIO = DEN / NUM  # width of a size band
 TILE = 1024
 #: Signatures that one bucket is meant to gather; the number of buckets follows from the texts.
@@ -106,7 +110,7 @@ def band(n: int) -> int:
 
 
 @functools.cache
-def blocks(key: int) -> tuple[int, int]:
+def blocks(key: int, exact: bool = False) -> tuple[int, int]:
     """(m, t) for pairs met under a band key: m blocks, of which two linked sets agree on at least t;
     sets with fewer than t empty blocks then agree on one that is not empty."""
     # the smaller set of a pair met here is of band key - 1; pairs inside band key meet under key + 1 as well
@@ -120,15 +124,31 @@ def blocks(key: int) -> tuple[int, int]:
     m = d + 1
     while m - d < empty(m) and m < 3 * d + 12:
         m += 1
-    return m, m - d
-
-
-def signatures(s: np.ndarray) -> np.ndarray:
+    if exact:
+        return m, m - d
+
+    def too_few(k: int) -> float:  # P(Binomial(k, (1 - 1/k)^d) < empty(k))
+        q = (1 - 1 / k) ** d if d else 1.0
+        if q >= 1:
+            return float(k < empty(k))
+        return sum(math.exp(math.lgamma(k + 1) - math.lgamma(i + 1) - math.lgamma(k - i + 1) + i * math.log(q) + (k - i) * math.log1p(-q)) for i in range(min(empty(k), k + 1)))
+
+    lo, hi = 2, m
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if too_few(mid) <= MISS:
+            hi = mid
+        else:
+            lo = mid + 1
+    return (lo, empty(lo)) if lo < m else (m, m - d)
+
+
+def signatures(s: np.ndarray, exact: bool = False) -> np.ndarray:
     """Block signatures of a set for its own band key and the next."""
     out = []
     k = band(len(s))
     for key in (k, k + 1):
-        m, t = blocks(key)
+        m, t = blocks(key, exact)
         salt = _U(key * 0x9E3779B9 + 1)
         h = mix(s ^ mix(np.array([salt], _U)))
         at = ((h >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
@@ -170,7 +190,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 FEATURES = "id long, n long, h1 long, h2 long, sigs binary"
 
 
-def _features(words: int):
+def _features(exact: bool, words: int):
     """Of (id, text): size, identity and signatures of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +202,7 @@ def _features(words: int):
                     n.append(len(s))
                     h1.append(int(np.bitwise_xor.reduce(mix(s + _U(11))).astype(np.int64)) if len(s) else 0)
                     h2.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64)) if len(s) else 0)
-                    sg.append(signatures(s).tobytes() if len(s) else b"")
+                    sg.append(signatures(s, exact).tobytes() if len(s) else b"")
                 columns = [b.column(0).slice(at, 1000), *[pa.array(x, pa.int64()) for x in (n, h1, h2)], pa.array(sg, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "sigs"])
 
@@ -231,29 +251,13 @@ def _pack(buckets: int, sig: np.ndarray, i: np.ndarray, c: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(at[cuts]), cut_up(sig), cut_up(i, True), cut_up(c - i)], ["bucket", "sigs", "ids", "comps"])
 
 
-def _packed_stars(buckets: int, part: int, pack: int):
-    """PACKED of the signatures divisible by part. Of ids that share one here the smallest stands for all; the star
-    around it goes along as a row of bucket -1 (sigs: the centres)."""
+def _packed(buckets: int, pack: int, hot: int, part: int = 1):
+    """PACKED of the signatures divisible by part. Of one that hot or more ids share here two go along, of the smallest and
+    the largest component: enough to tell whether it is mixed; see _hot for the rest. With a component of its own for
+    every id the smallest id is one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sig, i, c, starts in _sorted(batches, pack, part):
-            if not len(sig):
-                continue
-            hub = np.repeat(i[starts], np.diff(np.r_[starts, len(sig)]))  # ids ascend in a group
-            pairs = np.unique(np.stack([hub, i], 1)[hub != i], axis=0)
-            yield _pack(buckets, sig[starts], i[starts], c[starts])
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (pairs[:, 0], pairs[:, 1], pairs[:0, 0])]], ["bucket", "sigs", "ids", "comps"])
-
-    return run
-
-
-def _packed(buckets: int, pack: int, hot: int):
-    """PACKED of all signatures. Of one that hot or more ids share here two go along, of the smallest and the largest
-    component: enough to tell whether it is mixed; see _hot for the rest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, i, c, starts in _sorted(batches, pack):
             n = np.diff(np.r_[starts, len(sig)])
             if (n >= hot).any():
                 ends = []
@@ -266,11 +270,11 @@ def _packed(buckets: int, pack: int, hot: int):
     return run
 
 
-def _hot(pack: int, hot: int):
+def _hot(pack: int, hot: int, part: int = 1):
     """(sig, id) of what _packed left out, among others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for sig, i, _, starts in _sorted(batches, pack):
+        for sig, i, _, starts in _sorted(batches, pack, part):
             n = np.diff(np.r_[starts, len(sig)])
             keep = np.repeat(n >= hot, n)
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(i[keep])], ["sig", "id"])
@@ -309,24 +313,12 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of the smallest id of a shared signature and each other one; stars that come as such go on."""
-
-    def rest() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            star = np.array(b.column(0)) < 0
-            for a, z in zip(b.column(1).filter(pa.array(star)), b.column(2).filter(pa.array(star)), strict=True):
-                stars.append(pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x.as_py(), np.int64)) for x in (a, z)], ["a", "b"]))
-            yield b.filter(pa.array(~star))
-
-    stars: list[pa.RecordBatch] = []
-    for sig, ids, _ in _buckets(rest()):
-        yield from stars
-        stars.clear()
+    """Pairs (a, b) of the smallest id of a shared signature and each other one."""
+    for sig, ids, _ in _buckets(batches):
         starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
         hub = np.repeat(np.minimum.reduceat(ids, starts), np.diff(np.r_[starts, len(sig)]))
         pairs = np.unique(np.stack([hub, ids], 1)[hub != ids], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-    yield from stars
 
 
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,9 +333,8 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dealt(packed: DataFrame, n: int, buckets: int) -> DataFrame:
-    """PACKED with the rows of a bucket together, few buckets a task; rows of no bucket are spread."""
-    spread = F.when(F.col("bucket") < 0, F.xxhash64("ids"))
-    return packed.repartition(max(n, min(20_000, buckets)), "bucket", spread).sortWithinPartitions("bucket")
+    """PACKED with the rows of a bucket together, few buckets a task."""
+    return packed.repartition(max(n, min(20_000, buckets)), "bucket").sortWithinPartitions("bucket")
 
 
 def _sketch(words: int):
@@ -503,7 +494,7 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(_verify(words), "a long, b long")
 
 
-def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, exact: bool = False) -> DataFrame:
     """One row per row of docs: id column, n_shingles, rep_id (smallest id with the very same set) and
     component_id (smallest id reachable by links of Jaccard >= 0.8)."""
     spark = docs.sparkSession
@@ -523,15 +514,19 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first().b
     buckets = min(1 << 23, max(n, size // (8 * BUCKET)))
     with small_batches(spark):
-        feats = cut(base.mapInArrow(_features(words), FEATURES), "parity-features", paths)
+        feats = cut(base.mapInArrow(_features(exact, words), FEATURES), "parity-features", paths)
     known = feats.where("n > 0 and id is not null")
     same = known.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last"))
     twins = cut(same.where("rep < last").select("h1", "h2", "n", "rep"), "parity-twins", paths)
     copies = cut(known.select("id", "h1", "h2", "n").join(twins, ["h1", "h2", "n"]).where("id != rep").select("id").distinct(), "parity-copies", paths)
     own = known.select("id", "sigs").join(_small(copies), "id", "left_anti")
     # candidates from an eighth of the signatures
-    some = own.withColumn("comp", F.col("id")).mapInArrow(_packed_stars(buckets, 8, PACK), PACKED)
-    stars = cut(_dealt(some, n, buckets).mapInArrow(_stars, "a long, b long").distinct(), "parity-stars", paths)
+    single = own.withColumn("comp", F.col("id"))
+    stars = _dealt(single.mapInArrow(_packed(buckets, PACK, HOT, 8), PACKED), n, buckets).mapInArrow(_stars, "a long, b long")
+    hot = cut(single.mapInArrow(_hot(PACK, HOT, 8), "sig long, id long"), "parity-hot", paths)
+    hubs = cut(hot.groupBy("sig").agg(F.min("id").alias("a")), "parity-hubs", paths)
+    stars = stars.unionByName(hot.join(_small(hubs), "sig").where("id != a").select("a", F.col("id").alias("b")))
+    stars = cut(stars.distinct(), "parity-stars", paths)
     met = cut(stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct(), "parity-met", paths)
     texts = cut(base.where("id is not null").join(_small(met), "id", "left_semi"), "parity-texts", paths)
     short = cut(texts.mapInArrow(_sketch(words), SKETCHES).dropDuplicates(["id"]), "parity-sketches", paths)
@@ -552,7 +547,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
     several = cut(groups.select("sig").distinct(), "parity-several", paths)
     if not several.isEmpty():  # the ids that hot signatures left out, where these are mixed
         more = cut(own.mapInArrow(_hot(PACK, HOT), "sig long, id long").join(_small(several), "sig", "left_semi"), "parity-hot", paths)
-        groups = groups.unionByName(more).distinct()
+        groups = groups.unionByName(more)
     late_ids = groups.select("id").distinct().join(met, "id", "left_anti")
     late_ids = cut(late_ids, "parity-met", paths)
     late_texts = cut(base.where("id is not null").join(_small(late_ids), "id", "left_semi"), "parity-texts", paths)

@@ -53,11 +53,11 @@ def corpus(seed, n):
     return list(zip(ids, texts, strict=True))
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,exact", [(1, False), (2, False), (2, True)])
+def test_against_brute_force(spark, seed, exact):
     rows = corpus(seed, 220)
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n int")
-    got = pj.classes(docs).select("doc_id", "n_shingles", "component_id").collect()
+    got = pj.classes(docs, exact=exact).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
@@ -98,3 +98,9 @@ def test_small_tiles_hubs_and_hot_signatures(spark, monkeypatch):
         rows.append((1000 + i, " ".join(base)))
     got = pj.classes(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_fewer_blocks_only_where_the_chance_is_small():
+    for key in range(1, 40):
+        (m, t), (strict, u) = pj.blocks(key), pj.blocks(key, exact=True)
+        assert m <= strict and t >= 1 and u >= 1 and (m == strict or m >= 20)
