@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 
 def stitch(bars: DataFrame) -> DataFrame:
-    """bars (contract, expiry, d, close), each contract owning its dates, with adj: closes scaled so that the
-    series has no step at a seam. Factors (first of the next over last of this) accumulate backwards over one
+    """bars (sym, contract, expiry, d, close), each contract owning its dates, with adj: closes scaled so that the
+    series of an asset has no step at a seam. Factors (first of the next over last of this) accumulate backwards over one
     row a contract."""
-    ends = bars.groupBy("contract", "expiry").agg(F.min_by("close", "d").alias("first"), F.max_by("close", "d").alias("last"))
-    w = Window.orderBy("expiry")
+    ends = bars.groupBy("sym", "contract", "expiry").agg(F.min_by("close", "d").alias("first"), F.max_by("close", "d").alias("last"))
+    w = Window.partitionBy("sym").orderBy("expiry")
     ratio = F.coalesce(F.lead("first").over(w) / F.col("last"), F.lit(1.0))
     ends = ends.withColumn("ratio", ratio).withColumn("factor", F.exp(F.sum(F.log("ratio")).over(w.rowsBetween(0, Window.unboundedFollowing))))
-    return bars.join(ends.select("contract", "factor"), "contract").withColumn("adj", F.col("close") * F.col("factor"))
+    return bars.join(ends.select("sym", "contract", "factor"), ["sym", "contract"]).withColumn("adj", F.col("close") * F.col("factor"))
 
 
 def triple_barrier(bars: DataFrame, horizon: int = 12, mult: float = 1.5, vol_window: int = 20) -> DataFrame:

@@ -148,15 +148,15 @@ def position_size(rows: DataFrame, threshold: float = 0.55, target_pct: float =
 
 
 def purged_folds(labels: DataFrame, splits: int = 5, embargo: int = 0) -> DataFrame:
-    """(fold, i, part) of labels (i, start, end): contiguous test parts by i; training rows whose life meets the
-    test part's span (plus embargo) are left out. One row a fold joins every label, no interval pairs."""
-    n = labels.agg(F.max("i")).first()[0] + 1
-    cut = F.floor(F.col("i") * splits / n).cast("int")
-    d = labels.withColumn("own", cut)
-    span = d.groupBy(F.col("own").alias("fold")).agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
-    x = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).join(F.broadcast(span), "fold")
+    """(sym, fold, i, part) of labels (sym, i, start, end): contiguous test parts of each symbol by i; training rows
+    whose life meets the test part's span (plus embargo) are left out. One row a fold joins every label of its symbol,
+    no interval pairs."""
+    n = labels.groupBy("sym").agg((F.max("i") + 1).alias("n"))
+    d = labels.join(n, "sym").withColumn("own", F.floor(F.col("i") * splits / F.col("n")).cast("int"))
+    span = d.groupBy("sym", F.col("own").alias("fold")).agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
+    x = d.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).join(span, ["sym", "fold"])
     part = F.when(F.col("own") == F.col("fold"), "test").when((F.col("end") < F.col("lo")) | (F.col("start") > F.col("hi") + embargo), "train")
-    return x.select("fold", "i", part.alias("part")).where("part is not null")
+    return x.select("sym", "fold", "i", part.alias("part")).where("part is not null")
 
 
 def shift_back(levels: DataFrame, k: int = 2) -> DataFrame:

@@ -159,14 +159,16 @@ def ewma_volatility(spark, sf_dir):
 
 @register("price_move_alerts", f"""with recursive {BARS}, {EWMA},
 m as (select sym, d, (close - lag(close) over {W}) / nullif(lag(close) over {W}, 0) * 100 as change_pct from bars)
-select m.sym, m.d, round(change_pct, 6) as change_pct, round(ewma_vol, 6) as sigma_pct, coalesce(abs(change_pct) >= greatest(3.0, 2.5 * coalesce(ewma_vol, 0)), false) as alert
+select m.sym, m.d, round(change_pct, 6) as change_pct, round(ewma_vol, 6) as sigma_pct, coalesce(case when ewma_vol > 0 then round(abs(change_pct) / ewma_vol, 2) >= 3.0 and abs(change_pct) >= 1.5 else abs(change_pct) >= 5.0 end, false) as alert
 from m left join vol using (sym) qualify row_number() over (partition by m.sym order by m.d desc) = 1""")
 def price_move_alerts(spark, sf_dir):
     """The last move of each symbol against its own volatility: bars, returns, a fold and a rule in one."""
     bars = bars_1d(spark, sf_dir)
     move = prices.newest(bars.withColumn("change_pct", ind.change_pct(F.col("close"), 1)), ["sym"], [F.desc("d")])
     d = move.join(ind.ewma_volatility(bars), "sym", "left").withColumnRenamed("ewma_vol", "sigma_pct")
-    alert = F.abs("change_pct") >= F.greatest(F.lit(3.0), 2.5 * F.coalesce("sigma_pct", F.lit(0.0)))
+    move_size = F.abs("change_pct")
+    # against the symbol's own volatility, with a floor; without one a fixed threshold
+    alert = F.when(F.col("sigma_pct") > 0, (F.round(move_size / F.col("sigma_pct"), 2) >= 3.0) & (move_size >= 1.5)).otherwise(move_size >= 5.0)
     return d.select("sym", "d", F.round("change_pct", 6).alias("change_pct"), F.round("sigma_pct", 6).alias("sigma_pct"), F.coalesce(alert, F.lit(False)).alias("alert"))
 
 

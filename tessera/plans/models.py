@@ -53,12 +53,11 @@ def position_sizes(spark, sf_dir):
     return models.position_size(e, ref=0.7).select("event_id", "qty")
 
 
-@register("purged_folds", f"""with {BARS}, l as (select row_number() over (order by d) - 1 as i, d as start, d + 5 as "end" from bars where sym = '1-URGENT'), o as (select *, floor(i * 5 / (select count(*) from l)::double)::int as own from l),
-s as (select own as fold, min(start) as lo, max("end") as hi from o group by 1)
-select fold, i, case when own = fold then 'test' else 'train' end as part from o, s where own = fold or "end" < lo or start > hi""")
+@register("purged_folds", f"""with {BARS}, l as (select sym, row_number() over {W} - 1 as i, d as start, d + 5 as "end" from bars), o as (select *, floor(i * 5 / count(*) over (partition by sym)::double)::int as own from l),
+s as (select sym, own as fold, min(start) as lo, max("end") as hi from o group by 1, 2)
+select sym, fold, i, case when own = fold then 'test' else 'train' end as part from o join s using (sym) where own = fold or "end" < lo or start > hi""")
 def purged_folds(spark, sf_dir):
-    b = bars_1d(spark, sf_dir).where("sym = '1-URGENT'")
-    rows = b.select((F.row_number().over(ind.by_symbol()) - 1).cast("long").alias("i"), F.col("d").alias("start"), F.date_add("d", 5).alias("end"))
+    rows = bars_1d(spark, sf_dir).select("sym", (F.row_number().over(ind.by_symbol()) - 1).cast("long").alias("i"), F.col("d").alias("start"), F.date_add("d", 5).alias("end"))
     return models.purged_folds(rows)
 
 

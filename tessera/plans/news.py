@@ -166,16 +166,15 @@ def revenue_growth(spark, sf_dir):
     return rounded(rel.growth(y), "growth_pct")
 
 
-CON = "con as (select 'y' || year(d) as contract, (date_trunc('year', d) + interval 1 year)::date as expiry, d, close from bars where sym = '1-URGENT')"
+CON = "con as (select sym, 'y' || year(d) as contract, (date_trunc('year', d) + interval 1 year)::date as expiry, d, close from bars)"
 
 
-@register("continuous_futures", f"""with {BARS}, {CON}, e as (select contract, expiry, arg_min(close, d) as f, arg_max(close, d) as l from con group by 1, 2), r as (select *, coalesce(lead(f) over (order by expiry) / l, 1.0) as ratio from e),
-x as (select contract, exp(sum(ln(ratio)) over (order by expiry rows between current row and unbounded following)) as factor from r)
-select contract, d, close, round(close * factor, 4) as adj from con join x using (contract)""")
+@register("continuous_futures", f"""with {BARS}, {CON}, e as (select sym, contract, expiry, arg_min(close, d) as f, arg_max(close, d) as l from con group by 1, 2, 3), r as (select *, coalesce(lead(f) over (partition by sym order by expiry) / l, 1.0) as ratio from e),
+x as (select sym, contract, exp(sum(ln(ratio)) over (partition by sym order by expiry rows between current row and unbounded following)) as factor from r)
+select sym, contract, d, close, round(close * factor, 4) as adj from con join x using (sym, contract)""")
 def continuous_futures(spark, sf_dir):
-    b = bars_1d(spark, sf_dir).where(F.col("sym") == SYMS[0])
-    con = b.select(F.concat(F.lit("y"), F.year("d")).alias("contract"), F.add_months(F.trunc("d", "year"), 12).alias("expiry"), "d", "close")
-    return rounded(futures.stitch(con).select("contract", "d", "close", "adj"), "adj", at=4)
+    con = bars_1d(spark, sf_dir).select("sym", F.concat(F.lit("y"), F.year("d")).alias("contract"), F.add_months(F.trunc("d", "year"), 12).alias("expiry"), "d", "close")
+    return rounded(futures.stitch(con).select("sym", "contract", "d", "close", "adj"), "adj", at=4)
 
 
 @register("triple_barrier", f"""with {BARS}, r as (select *, close / lag(close) over {W} - 1 as r, row_number() over {W} as i from bars),
@@ -187,12 +186,12 @@ def triple_barrier(spark, sf_dir):
     return futures.triple_barrier(bars_1d(spark, sf_dir))
 
 
-@register("uniqueness_weights", f"""with {BARS}, l as (select sym, row_number() over {W} as i, d from bars), k as (select sym, i from l where i % 3 <> 0), s as (select sym, i, unnest(range(i, i + 5)) as t from k),
+@register("uniqueness_weights", f"""with {BARS}, l as (select sym, row_number() over {W} as i, d from bars), k as (select sym, i from l), s as (select sym, i, unnest(range(i, i + 5)) as t from k),
 c as (select sym, t, count(*) as c from s group by 1, 2), u as (select sym, i, avg(1 / c::double) as u from s join c using (sym, t) group by 1, 2)
 select sym, i, round(u / (select avg(u) from u), 6) as weight from u""")
 def uniqueness_weights(spark, sf_dir):
     i = F.row_number().over(ind.by_symbol())
-    return rounded(futures.uniqueness(bars_1d(spark, sf_dir).select("sym", i.cast("long").alias("i")).where("i % 3 <> 0")), "weight")
+    return rounded(futures.uniqueness(bars_1d(spark, sf_dir).select("sym", i.cast("long").alias("i"))), "weight")
 
 
 @register("feature_psi", f"""with v as (select event_type as feature, case when ts < timestamp '2024-01-20' then 'base' else 'live' end as side, value from events),
