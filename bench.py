@@ -15,6 +15,7 @@ from tessera.plans import registry  # noqa: E402
 HEADLINE = (
     "price_move_alerts", "bollinger", "rsi", "candlestick_patterns", "backtest_sma_cross", "walk_forward", "correlation_matrix", "historical_var",
     "sentiment_ewma", "news_outcomes", "event_study", "triple_barrier", "continuous_futures", "feature_psi", "factor_zscores", "first_of_equal_texts", "semantic_search", "graph_neighbours",
+    "stories", "market_regimes", "signals_directional", "macd_history",
 )
 
 
