@@ -36,10 +36,11 @@ from __future__ import annotations
 
 import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,7 +62,10 @@ BRIEF = 16
 BROADCAST_IDS = 1 << 20
 #: Members of one verification task around one document.
 SPOKES = 64
-WORD_CACHE = 500_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+#: Bytes of texts that are cut into shingles at a time.
+CHUNK = 1 << 20
 #: Signatures that a task sorts at a time, and how many ids of one signature among them make it hot.
 PACK, HOT = 2 * 10**6, 32
 
@@ -76,32 +80,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_hashes(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of many texts, A-Z lower-cased, text after text; how many words each text has.
+    Words are taken eight bytes at a time, all words together; those beyond LONG_WORD one by one."""
+    ends = np.cumsum([0 if t is None else len(t) for t in texts]) + np.arange(len(texts))  # of the line feed behind each text
+    raw = b"\n".join([b"" if t is None else t for t in texts]).lower() + b"\n" + bytes(8)  # bytes.lower() changes A-Z alone
+    space = _SPACE[np.frombuffer(raw, np.uint8, len(raw) - 8)]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = edge if space[0] else np.r_[0, edge]
+    at, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(raw) - 7,), np.dtype("<u8"), raw, 0, (1,))
+    tail = lambda x, left: x & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(8) * (_U(8) - np.minimum(left, 8).astype(_U))))
+    h = mix(mix(tail(eight[at], size)) + size.astype(_U))
+    rest = np.flatnonzero((size > 8) & (size <= LONG_WORD))
+    done = 8
+    while len(rest):
+        h[rest] = mix(h[rest] * _MULT[0] + mix(tail(eight[at[rest] + done], size[rest] - done)))
+        done += 8
+        rest = rest[size[rest] > done]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[at[i] : at[i] + size[i]])
+    return h, np.diff(np.searchsorted(at, ends), prepend=0)
+
+
+def _shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all k consecutive words of a sequence of word hashes."""
+    n = len(h) - k + 1
+    acc = np.full(n, k, _U)
+    for i in range(k):
+        acc = mix(acc * _MULT[i % len(_MULT)] + h[i : i + n]) if k > len(_MULT) else acc + h[i : i + n] * _MULT[i]
+    return mix(acc)
+
+
+def shingle_sets(texts: Sequence[bytes | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many whole texts (UTF-8), A-Z lower-cased: the sorted distinct 64-bit hashes of their word shingles,
+    text after text; how many each text has; its number of words."""
+    h, count = word_hashes(texts)
+    first = np.cumsum(count) - count
+    size = np.where(count >= words, count - words + 1, np.minimum(count, 1))
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), _U)
+    long = count >= words
+    if long.any():
+        inside = np.arange(len(h)) - np.repeat(first, count) <= np.repeat(count - words, count)
+        out[np.repeat(long, size)] = _shingles(h, words)[inside[: len(h) - words + 1]]
+    for i in np.flatnonzero((count > 0) & ~long):
+        out[start[i]] = _shingles(h[first[i] : first[i] + count[i]], int(count[i]))[0]
+    for a, z in zip(start.tolist(), (start + size).tolist(), strict=True):
+        out[a:z].sort()
+    new = np.r_[True, out[1:] != out[:-1]][: len(out)]
+    new[start[size > 0]] = True
+    n = np.zeros(len(texts), np.int64)
+    if len(out):
+        n[size > 0] = np.add.reduceat(new, start[size > 0], dtype=np.int64)
+    return out[new], n, count
 
-        if len(self) > WORD_CACHE:
-            self.clear()
-        self[w] = h = xxhash.xxh3_64_intdigest(w) >> 1
-        return h
 
+def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The hashes of one text."""
+    return shingle_sets([(text or "").encode("utf-8", "surrogatepass")], words)[0]
 
-_WORDS = _Words()
 
+def _chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about CHUNK bytes together."""
+    far = np.cumsum([len(t.as_buffer()) if t.is_valid else 0 for t in texts]) // CHUNK if len(texts) else np.empty(0, int)
+    cuts = [0, *(np.flatnonzero(far[1:] != far[:-1]) + 1).tolist(), len(texts)]
+    return ((a, z) for a, z in zip(cuts, cuts[1:], strict=False) if z > a)
 
-def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles of the whole text, A-Z lower-cased."""
-    # bytes.split() cuts at exactly the six ASCII white-space characters, bytes.lower() changes A-Z alone
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, _U)
-    h = np.fromiter(map(_WORDS.__getitem__, parts), np.int64, len(parts)).astype(_U)
-    k = min(words, len(h))
-    n = len(h) - k + 1
-    acc = np.full(n, k, _U)
-    for i in range(k):
-        acc = mix(acc * _MULT[i % len(_MULT)] + h[i : i + n]) if k > len(_MULT) else acc + h[i : i + n] * _MULT[i]
-    return np.unique(mix(acc))
+
+def _sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """The hashes of each text."""
+    for a, z in _chunks(texts):
+        s, n, _ = shingle_sets([t.as_buffer().to_pybytes() if t.is_valid else None for t in texts[a:z]], words)
+        yield from np.split(s, np.cumsum(n)[:-1])
 
 
 def band(n: int) -> int:
@@ -143,24 +198,37 @@ def blocks(key: int, exact: bool = False) -> tuple[int, int]:
     return (lo, empty(lo)) if lo < m else (m, m - d)
 
 
-def signatures(s: np.ndarray, exact: bool = False) -> np.ndarray:
-    """Block signatures of a set for its own band key and the next."""
-    out = []
-    k = band(len(s))
-    for key in (k, k + 1):
-        m, t = blocks(key, exact)
-        salt = _U(key * 0x9E3779B9 + 1)
-        h = mix(s ^ mix(np.array([salt], _U)))
-        at = ((h >> _U(32)) * _U(m) >> _U(32)).astype(np.int64)
-        acc = np.zeros(m, _U)
-        order = np.argsort(at, kind="stable")
-        at, v = at[order], mix(h & _U(0xFFFFFFFF))[order]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        acc[at[starts]] = np.bitwise_xor.reduceat(v, starts)
-        sig = mix(acc ^ mix(np.arange(m, dtype=_U) + (salt << _U(32))))
+def signature_lists(s: np.ndarray, n: np.ndarray, exact: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Block signatures of many sets, not empty, that stand one after the other (n: their sizes), for each set's own
+    band key and the next; how many each set has."""
+    sizes, which = np.unique(n, return_inverse=True)
+    own = np.array([band(x) for x in sizes.tolist()], np.int64)[which]
+    lists = []
+    for key in (own, own + 1):
+        names, which = np.unique(key, return_inverse=True)
+        m, t = (x[which] for x in np.array([blocks(k, exact) for k in names.tolist()], np.int64).T)
+        salt = (names * 0x9E3779B9 + 1).astype(_U)
+        h = mix(s ^ np.repeat(mix(salt)[which], n))
+        base = np.cumsum(m) - m
+        at = np.repeat(base, n) + ((h >> _U(32)) * np.repeat(m, n).astype(_U) >> _U(32)).astype(np.int64)
+        acc = np.zeros(int(m.sum()), _U)
+        np.bitwise_xor.at(acc, at, mix(h & _U(0xFFFFFFFF)))
+        block = (np.arange(len(acc)) - np.repeat(base, m)).astype(_U)
+        sig = mix(acc ^ mix(block + np.repeat((salt << _U(32))[which], m)))
         full = acc != 0
-        out.append(sig if m - full.sum() >= t else sig[full])
-    return np.concatenate(out)
+        few = m - np.add.reduceat(full, base, dtype=np.int64) < t
+        keep = full | ~np.repeat(few, m)
+        lists.append((sig[keep], np.add.reduceat(keep, base, dtype=np.int64)))
+    (x, nx), (y, ny) = lists
+    mine = np.repeat(np.tile([True, False], len(n)), np.stack([nx, ny], 1).ravel())
+    out = np.empty(len(x) + len(y), _U)
+    out[mine], out[~mine] = x, y
+    return out, nx + ny
+
+
+def signatures(s: np.ndarray, exact: bool = False) -> np.ndarray:
+    """Block signatures of one set."""
+    return signature_lists(s, np.array([len(s)]), exact)[0]
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -187,24 +255,28 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 # ---- passes ----
 
-FEATURES = "id long, n long, h1 long, h2 long, sigs binary"
+FEATURES = "id long, words long, n long, h1 long, h2 long, sigs binary"
 
 
 def _features(exact: bool, words: int):
-    """Of (id, text): size, identity and signatures of the set."""
+    """Of (id, text): number of words; size, identity and signatures of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                n, h1, h2, sg = [], [], [], []
-                for t in b.column(1).slice(at, 1000):
-                    s = shingle_set(t.as_py(), words)
-                    n.append(len(s))
-                    h1.append(int(np.bitwise_xor.reduce(mix(s + _U(11))).astype(np.int64)) if len(s) else 0)
-                    h2.append(int(mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).astype(np.int64)) if len(s) else 0)
-                    sg.append(signatures(s, exact).tobytes() if len(s) else b"")
-                columns = [b.column(0).slice(at, 1000), *[pa.array(x, pa.int64()) for x in (n, h1, h2)], pa.array(sg, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n", "h1", "h2", "sigs"])
+            texts = b.column(1)
+            for a, z in _chunks(texts):
+                s, n, count = shingle_sets([t.as_buffer().to_pybytes() if t.is_valid else None for t in texts[a:z]], words)
+                some = n > 0
+                h1, h2, each = (np.zeros(len(n), np.int64) for _ in range(3))
+                sigs = np.empty(0, _U)
+                if len(s):
+                    at = (np.cumsum(n) - n)[some]
+                    h1[some] = np.bitwise_xor.reduceat(mix(s + _U(11)), at).view(np.int64)
+                    h2[some] = np.add.reduceat(mix(s ^ _U(0x5851F42D4C957F2D)), at).view(np.int64)
+                    sigs, each[some] = signature_lists(s, n[some], exact)
+                ends = pa.py_buffer(np.r_[0, np.cumsum(each) * 8].astype(np.int32))
+                lists = pa.Array.from_buffers(pa.binary(), len(n), [None, ends, pa.py_buffer(sigs)])
+                yield pa.RecordBatch.from_arrays([b.column(0)[a:z], *map(pa.array, (count, n, h1, h2)), lists], ["id", "words", "n", "h1", "h2", "sigs"])
 
     return run
 
@@ -340,7 +412,7 @@ def _dealt(packed: DataFrame, n: int, buckets: int) -> DataFrame:
 def _sketch(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column(1)]
+            sets = list(_sets(b.column(1), words))
             full = [sketch(s) for s in sets]
             brief = [fold(x, min(len(x), BRIEF)).tobytes() for x in full]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.tobytes() for x in full], pa.binary()), pa.array(brief, pa.binary())], ["id", "n", "sketch", "brief"])
@@ -396,9 +468,7 @@ def _verify(words: int):
         hub, hub_set = None, None
         for b in batches:
             a, z = [], []
-            for h, _, i, t in zip(*(b.column(c) for c in range(4)), strict=True):
-                h, i = h.as_py(), i.as_py()
-                s = shingle_set(t.as_py(), words)
+            for h, i, s in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), _sets(b.column(3), words), strict=True):
                 if h == i:
                     hub, hub_set = h, s
                 elif hub == h and linked(hub_set, s):

@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -7,8 +8,6 @@ from tessera.llm import parity_join as pj
 
 
 def brute(rows):
-    import re
-
     sets = []
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
@@ -104,3 +103,23 @@ def test_fewer_blocks_only_where_the_chance_is_small():
     for key in range(1, 40):
         (m, t), (strict, u) = pj.blocks(key), pj.blocks(key, exact=True)
         assert m <= strict and t >= 1 and u >= 1 and (m == strict or m >= 20)
+
+
+def test_words_and_shingles_of_many_texts():
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("aAbB\u00e9\x1f\x85\x00z \t\n\x0b\x0c\r") for _ in range(rnd.choice([0, 1, 5, 40, 300]))) for _ in range(2000)]
+    texts += [f"{'q' * n} {'Q' * n} {'q' * n}x" for n in (7, 8, 9, 16, 255, 256, 257, 5000)] + ["qqqqqqqq qqqqqqq\x00"]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    h, count = pj.word_hashes([t.encode() for t in texts])
+    assert count.tolist() == [len(w) for w in words]
+    of = dict(zip([w for ws in words for w in ws], h.tolist(), strict=True))
+    assert [of[w] for ws in words for w in ws] == h.tolist() and len(set(of.values())) == len(of)
+    assert pj.word_hashes([None, b""])[1].tolist() == [0, 0]
+    for k in (1, 3, 5, 9):
+        s, n, _ = pj.shingle_sets([t.encode() for t in texts], k)
+        assert n.tolist() == [len({tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))}) if ws else 0 for ws in words]
+        own = np.split(s, np.cumsum(n)[:-1])
+        assert all((a == pj.shingle_set(t, k)).all() for a, t in zip(own, texts, strict=True))
+    sets = [x for x in own if len(x)]
+    sigs, each = pj.signature_lists(np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert all((a == pj.signatures(x)).all() for a, x in zip(np.split(sigs, np.cumsum(each)[:-1]), sets, strict=True))
