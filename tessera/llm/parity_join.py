@@ -565,7 +565,7 @@ def _links(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 
 
 def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, exact: bool = False) -> DataFrame:
-    """One row per row of docs: id column, n_shingles, rep_id (smallest id with the very same set) and
+    """One row per row of docs: id column, n_words, n_shingles, rep_id (smallest id with the very same set) and
     component_id (smallest id reachable by links of Jaccard >= 0.8)."""
     spark = docs.sparkSession
     session.ship(spark)
@@ -645,7 +645,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
             break
         lost = cut(late.join(more, ["a", "b"], "left_anti"), "parity-dead", paths)
         dead = lost if dead is None else dead.unionByName(lost)
-    rows = feats.select("id", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
+    rows = feats.select("id", "words", "n", "h1", "h2").join(twins, ["h1", "h2", "n"], "left").withColumn("rep", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("rep", "id")).otherwise(F.col("id")))
     if repeated:
         real = lambda df, c: df.join(names.withColumnRenamed("id", c), c, "left").withColumn(c, F.coalesce("given", c)).drop("given")
         rows = rows.where("id is null").unionByName(real(real(rows.where("id is not null"), "id"), "rep"))
@@ -653,7 +653,7 @@ def classes(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
         same_set = rows.where("id is not null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
         label = components(edges.select("a", "b").unionByName(same_set))
     out = rows.join(label.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    out = out.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.col("rep").alias("rep_id"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = out.select(F.col("id").alias(id), F.col("words").alias("n_words"), F.col("n").alias("n_shingles"), F.col("rep").alias("rep_id"), F.coalesce("component_id", "rep").alias("component_id"))
     out = cut(out, "parity-classes")
     drop_paths(spark, paths)
     return out

@@ -68,11 +68,14 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into bins of 2048 words, sources and near copies (classes of op6_parity_join) apart."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # rows by number: ids may repeat or be null
-    rows = common.cut(docs.withColumn("row", F.monotonically_increasing_id()), "pack-rows")
-    items = rows.select("doc_id", "row", "source", raking.tokens(F.col("text")).alias("size"))
-    items = items.join(parity_join.classes(rows, id="row").select("row", "component_id"), "row")
-    return packing.pack(items, "doc_id", F.col("size"), F.col("source"), F.col("component_id"))
+    # rows by number where ids repeat or are null
+    unclear = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1 or doc_id is null")
+    if unclear.isEmpty():
+        rows = docs.withColumn("row", F.col("doc_id"))
+    else:
+        rows = common.cut(docs.withColumn("row", F.monotonically_increasing_id()), "pack-rows")
+    items = rows.select("doc_id", "row", "source").join(parity_join.classes(rows, id="row").select("row", "n_words", "component_id"), "row")
+    return packing.pack(items, "doc_id", F.col("n_words"), F.col("source"), F.col("component_id"))
 
 
 def op5_vp_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
