@@ -5,11 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.llm import common, ordinal, packing, parity_join, pii, rabitq, raking, sstable, transcript, url_filter, vptree
+from tessera.llm import common, fim, ordinal, packing, parity_join, pii, postings, rabitq, raking, runs, sstable, transcript, url_filter, vptree
 
 URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: URLs that carry a tracking parameter make the list: every page at such an address is blocked.
@@ -198,6 +198,81 @@ from d left join p using (source, lang, topic)""")
 OP10_SQL = _op10_sql()
 
 
+def with_period(id: Column, text: Column) -> Column:
+    """The text; of every tenth id by crc32 its words, from word n - or the crc32 picks where - on repeating with a period."""
+    h = F.crc32(F.coalesce(id.cast("string"), F.lit("null")))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+    def repeat(ws: Column) -> Column:
+        n, g = F.size(ws), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(ws, lambda w, i: F.when(i < a, w).otherwise(F.get(ws, (a + (i - a) % p).cast("int")))), " ")
+
+    # an array of one element, so that the words are cut once
+    some = F.transform(F.array(words), lambda ws: F.when(F.size(ws) > 0, repeat(ws)).otherwise(F.lit("")))[0]
+    return F.when(h % 10 == 0, some).otherwise(text)
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document, a tenth of which are made to end in one."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", with_period(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.find(docs).select("doc_id", "found.*")
+    # the greatest length / period: products compared exactly; runs are in order of start and period
+    better = lambda a, b: F.when(b["length"] * a["period"] > a["length"] * b["period"], b).otherwise(a)
+    best = F.when(F.size("runs") > 0, F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs"), F.lit(1))), F.get("runs", F.lit(0)), better))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = found.withColumn("best", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark windows, from an index over all documents."""
+    index = postings.index(_t(spark, sf_dir, "documents"))
+    out = postings.report(index, postings.search(index, _t(spark, sf_dir, "benchmark")))
+    items = F.col("items")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP12_SQL = r"""
+with d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+p as (select item_id, w, least(10, len(w)) as k, unnest(range(1, greatest(1, len(w) - 9) + 1)) as i from b where len(w) > 0),
+win as (select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') as g from p),
+ks as (select distinct k from win),
+g as (select r, k, i, array_to_string(w[i:i + k - 1], ' ') as g from (select r, k, w, unnest(range(1, len(w) - k + 2)) as i from d, ks where len(w) >= k)),
+m as (select r, item_id, k, i from g join win using (k, g)),
+hits as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + k)) as j from (select distinct r, i, k from m)) group by r),
+items as (select r, count(*) as n_items, string_agg(item_id, ',' order by item_id) as s from (select distinct r, item_id from m where item_id is not null) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(s, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (r) left join items using (r)
+"""
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at line ends and turned round; both digests are taken in the tasks."""
+    docs = fim.transform(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = fim.restore(docs.select("doc_id", "fim.*"), F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.col("digest").alias("output_sha256"), F.col("restored.digest").alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256('7:' || coalesce(doc_id::varchar, 'null')) as s from documents),
+u as (select *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') as u, ('0x' || s[1:8])::bigint as h1, ('0x' || s[9:16])::bigint as h2, ('0x' || s[17:24])::bigint as h3, ('0x' || s[25:32])::bigint as h4 from d),
+c as (select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as z,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from u),
+x as (select *, array_to_string(u[1:a], '') as p, array_to_string(u[a + 1:z], '') as m, array_to_string(u[z + 1:], '') as f from c)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(p) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || f || '<M>' || m else '<S>' || f || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from x
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 

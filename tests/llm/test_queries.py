@@ -14,7 +14,7 @@ Q, SQL = queries.queries(), queries.oracle_sql()
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(k[2:].split("_")[0]) for k in Q) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in Q) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
