@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.operators.indicators import bollinger, by_symbol, last, rsi_simple, sma
 
 
@@ -27,6 +28,8 @@ def ema_seeded(v, n: int):
 def macd_history(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     """(sym, d, macd_hist): line less signal on every bar, null in the first slow + signal - 2."""
 
+    session.ship(bars.sparkSession)
+
     def run(pdf):
         pdf = pdf.sort_values("d").reset_index(drop=True)
         line = (ema_seeded(pdf["close"], fast) - ema_seeded(pdf["close"], slow)).iloc[slow - 1 :]
@@ -57,6 +60,8 @@ def momentum_directional(bars: DataFrame, lookback: int = 20) -> DataFrame:
 def reversal(rows: DataFrame, long: Column, short: Column, leave_long: Column, leave_short: Column) -> DataFrame:
     """(sym, d, signal) of a position that enters long or short from flat and leaves to flat; a null condition does not hold."""
 
+    session.ship(rows.sparkSession)
+
     def run(pdf):
         pdf = pdf.sort_values("d")
         at, out = 0, []

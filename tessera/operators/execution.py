@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.operators.indicators import by_symbol
 
+# Hard limits of an account that trades without an operator, in percent.
+DAILY_LOSS, GROSS_MARGIN, PRICE_JUMP = 6.0, 80.0, 25.0
+
 
 def slippage_ticks(qty: Column, vol_z: Column, base: float = 1.0, impact: float = 0.5, k: float = 0.5, cap: float = 3.0) -> Column:
     """(base + impact * (|qty| - 1)) times a multiplier that rises to cap as volume falls below its mean."""
@@ -30,17 +33,22 @@ def decisions(bars: DataFrame, window: int = 20) -> DataFrame:
     return d.where("signal <> prev").drop("prev")
 
 
-def jumps(bars: DataFrame, max_pct: float = 10.0) -> DataFrame:
-    """bars with jump: the move from the bar before is beyond the limit."""
+def jumps(bars: DataFrame, max_pct: float = PRICE_JUMP) -> DataFrame:
+    """bars with jump: the move from the bar before, if that has a price above 0, is beyond the limit."""
     p = F.lag("close").over(by_symbol())
-    return bars.withColumn("jump", F.coalesce(F.abs(F.col("close") / F.nullif(p, F.lit(0.0)) - 1) * 100 > max_pct, F.lit(False)))
+    return bars.withColumn("jump", F.coalesce(F.when(p > 0, F.abs(F.col("close") / p - 1) * 100 > max_pct), F.lit(False)))
+
+
+def loss_reached(peak: Column, equity: Column, max_pct: float = DAILY_LOSS) -> Column:
+    """A fall from the day's peak of at least the limit; never with a peak of 0 or less."""
+    return F.coalesce((peak > 0) & (peak - equity >= max_pct / 100 * peak), F.lit(False))
 
 
-def daily_loss(equity: DataFrame, max_pct: float = 3.0) -> DataFrame:
-    """equity (account, ts, equity) with halted: a fall from the day's running peak of at least the limit."""
+def daily_loss(equity: DataFrame, max_pct: float = DAILY_LOSS) -> DataFrame:
+    """equity (account, ts, equity) with halted: the loss limit is reached against the day's running peak."""
     w = Window.partitionBy("account", F.to_date("ts")).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     peak = F.max("equity").over(w)
-    return equity.withColumn("halted", F.coalesce((peak - F.col("equity")) / F.nullif(peak, F.lit(0.0)) * 100 >= max_pct, F.lit(False)))
+    return equity.withColumn("halted", loss_reached(peak, F.col("equity"), max_pct))
 
 
 def margin_budget(rows: DataFrame, max_pct: float = 60.0) -> DataFrame:

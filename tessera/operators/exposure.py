@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.execution import DAILY_LOSS, GROSS_MARGIN, loss_reached
+
 
 def scenario(betas: DataFrame, shocks: DataFrame) -> DataFrame:
     """(asset, move_pct, missing): betas (asset, factor, beta) times shocks (factor, shock), each contribution and
@@ -35,8 +37,11 @@ def contract_risk(price: Column, vol: Column, tick: Column, tick_value: Column,
 
 
 def conviction(p: Column, payoff: float = 1.0, ref: float = 0.7) -> Column:
-    """Kelly fraction of p over that of ref, within 0 and 1."""
+    """Kelly fraction of p over that of ref, within 0 and 1; where that of ref is not above 0: 1 for any edge, else 0."""
+    payoff = max(1e-9, payoff)
     kelly = lambda x: (x * (payoff + 1) - 1) / payoff
+    if kelly(ref) <= 0:
+        return F.when(kelly(p) > 0, 1.0).otherwise(0.0)
     return F.greatest(F.lit(0.0), F.least(kelly(p) / kelly(ref), F.lit(1.0)))
 
 
@@ -45,32 +50,38 @@ def vol_target_qty(equity: Column, risk: Column, target_pct: float, most: int) -
     return F.when(risk <= 0, min(1, most)).otherwise(F.floor(F.least(F.greatest(raw, F.lit(0.0)), F.lit(float(most))))).cast("int")
 
 
+def sized_qty(base: Column, p_win: Column, threshold: float = 0.55, most: int = 5, ref: float = 0.7) -> Column:
+    """The base by volatility times the weight of conviction, halves to even, at least 1 where the base is and the
+    weight is not 0; 0 below the threshold."""
+    w = conviction(p_win, ref=ref)
+    qty = F.bround(base * w).cast("int")
+    qty = F.when((qty < 1) & (base >= 1) & (w > 0), 1).otherwise(qty)
+    return F.when(p_win < threshold, 0).otherwise(F.least(qty, F.lit(most)))
+
+
 def sized(rows: DataFrame, threshold: float = 0.55, target_pct: float = 1.0, most: int = 5) -> DataFrame:
-    """rows (p_win, equity, price, vol, tick, tick_value) with risk, base and qty: the base by volatility times the
-    weight of conviction, halves to even, at least 1 where the base is and the weight is not 0; 0 below the threshold."""
+    """rows (p_win, equity, price, vol, tick, tick_value) with risk, base and qty (see sized_qty)."""
     d = rows.withColumn("risk", contract_risk(F.col("price"), F.col("vol"), F.col("tick"), F.col("tick_value")))
     d = d.withColumn("base", vol_target_qty(F.col("equity"), F.col("risk"), target_pct, most))
-    w = conviction(F.col("p_win"))
-    qty = F.bround(F.col("base") * w).cast("int")
-    qty = F.when((qty < 1) & (F.col("base") >= 1) & (w > 0), 1).otherwise(qty)
-    return d.withColumn("qty", F.when(F.col("p_win") < threshold, 0).otherwise(F.least(qty, F.lit(most))))
+    return d.withColumn("qty", sized_qty(F.col("base"), F.col("p_win"), threshold, most))
 
 
 def drawdowns(equity: DataFrame, limit_pct: float = 20.0) -> DataFrame:
     """equity (account, at, equity) with drawdown_pct from the peak so far, scale (1 at none, 0 at the limit) and
-    breached (the largest drawdown so far has reached the limit)."""
+    breached (the largest drawdown so far has reached the limit); without a limit above 0 nothing is scaled or breached."""
     w = Window.partitionBy("account").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     peak = F.max("equity").over(w)
     d = equity.withColumn("drawdown_pct", F.when(peak > 0, (peak - F.col("equity")) / peak * 100).otherwise(0.0))
+    if limit_pct <= 0:
+        return d.withColumns({"scale": F.lit(1.0), "breached": F.lit(False)})
     d = d.withColumn("scale", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("drawdown_pct") / limit_pct)))
     return d.withColumn("breached", (F.count(F.lit(1)).over(w) >= 2) & (F.max("drawdown_pct").over(w) >= limit_pct))
 
 
-def account_checks(rows: DataFrame, daily_pct: float = 5.0, margin_pct: float = 80.0) -> DataFrame:
+def account_checks(rows: DataFrame, daily_pct: float = DAILY_LOSS, margin_pct: float = GROSS_MARGIN) -> DataFrame:
     """rows (day_peak, equity, margin_used) with daily_loss, gross_margin and halt."""
-    loss = (F.col("day_peak") > 0) & (F.col("day_peak") - F.col("equity") >= daily_pct / 100 * F.col("day_peak"))
     margin = (F.col("equity") > 0) & (F.col("margin_used") >= margin_pct / 100 * F.col("equity"))
-    flags = {"daily_loss": F.coalesce(loss, F.lit(False)), "gross_margin": F.coalesce(margin, F.lit(False))}
+    flags = {"daily_loss": loss_reached(F.col("day_peak"), F.col("equity"), daily_pct), "gross_margin": F.coalesce(margin, F.lit(False))}
     return rows.withColumns(flags).withColumn("halt", F.col("daily_loss") | F.col("gross_margin"))
 
 

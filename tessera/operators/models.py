@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.exposure import sized_qty, vol_target_qty
+
 
 def none(**types) -> pd.DataFrame:
     """No rows, of these column types."""
@@ -139,12 +141,9 @@ def calibration(rows: DataFrame) -> DataFrame:
 
 
 def position_size(rows: DataFrame, threshold: float = 0.55, target_pct: float = 1.0, most: int = 5, ref: float = 0.7) -> DataFrame:
-    """rows (p_win, equity, risk) with qty: risk target scaled by Kelly weight, at least 1 above the threshold."""
-    kelly = 2 * F.col("p_win") - 1
-    weight = F.greatest(F.lit(0.0), F.least(F.lit(1.0), kelly / (2 * ref - 1)))
-    base = F.least(F.lit(float(most)), F.floor(F.col("equity") * target_pct / 100 / F.nullif("risk", F.lit(0.0))).cast("double"))
-    qty = F.when(F.col("p_win") < threshold, 0).when(base <= 0, 0).otherwise(F.greatest(F.lit(1.0), F.floor(base * weight).cast("double")))
-    return rows.withColumn("qty", F.coalesce(qty, F.lit(0)).cast("int"))
+    """rows (p_win, equity, risk) with qty, by the rule of exposure.sized()."""
+    base = vol_target_qty(F.col("equity"), F.col("risk"), target_pct, most)
+    return rows.withColumn("qty", F.coalesce(sized_qty(base, F.col("p_win"), threshold, most, ref), F.lit(0)))
 
 
 def purged_folds(labels: DataFrame, splits: int = 5, embargo: int = 0) -> DataFrame:

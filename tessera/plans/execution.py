@@ -34,13 +34,13 @@ def fills(spark, sf_dir):
     return d.select("sym", "d", F.col("qty").cast("int").alias("qty"), F.round(fill, 6).alias("fill"))
 
 
-@register("price_jumps", f"with {BARS} select sym, d, coalesce(abs(close / nullif(lag(close) over {W}, 0) - 1) * 100 > 10, false) as jump from bars")
+@register("price_jumps", f"with {BARS} select sym, d, coalesce(lag(close) over {W} > 0 and abs(close / lag(close) over {W} - 1) * 100 > 25, false) as jump from bars")
 def price_jumps(spark, sf_dir):
     return execution.jumps(bars_1d(spark, sf_dir)).select("sym", "d", "jump")
 
 
 @register("daily_loss_halts", """with e as (select event_id, user_id % 3 as account, ts, 1000 + value as equity from events), p as (select *, max(equity) over (partition by account, ts::date order by ts rows unbounded preceding) as peak from e)
-select event_id, coalesce((peak - equity) / nullif(peak, 0) * 100 >= 3, false) as halted from p""")
+select event_id, coalesce(peak > 0 and peak - equity >= 6 / 100.0::double * peak, false) as halted from p""")
 def daily_loss_halts(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 3).alias("account"), "ts", (1000 + F.col("value")).alias("equity"))
     return execution.daily_loss(e).select("event_id", "halted")

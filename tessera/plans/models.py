@@ -46,8 +46,9 @@ def calibration(spark, sf_dir):
     return rounded(models.calibration(e), "brier", "gap")
 
 
-@register("position_sizes", """select event_id, (case when p < 0.55 then 0 when b <= 0 then 0 else greatest(1, floor(b * greatest(0, least(1, (2 * p - 1) / 0.4::double)))) end)::int as qty
-from (select event_id, value / 500 as p, least(5, floor(100000 * 1.0::double / 100 / (50 + event_id % 900))) as b from events)""")
+@register("position_sizes", """with x as (select event_id, p, greatest(0, least(1, (2 * p - 1) / (2 * 0.7::double - 1))) as w, least(5, floor(100000 * 1.0::double / 100 / (50 + event_id % 900))) as b from (select *, value / 500 as p from events)),
+y as (select *, round_even(b * w, 0) as q from x)
+select event_id, (case when p < 0.55 then 0 when q < 1 and b >= 1 and w > 0 then 1 else least(q, 5) end)::int as qty from y""")
 def position_sizes(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", (F.col("value") / 500).alias("p_win"), F.lit(100000.0).alias("equity"), (50 + F.col("event_id") % 900).cast("double").alias("risk"))
     return models.position_size(e, ref=0.7).select("event_id", "qty")

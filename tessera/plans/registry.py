@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import execution, market, models, news, trading  # noqa: F401
+    from tessera.plans import execution, market, models, news, search, trading  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -169,7 +169,7 @@ def account_drawdowns(spark, sf_dir):
 
 
 @register("account_checks", """with a as (select c_custkey, c_acctbal::double + 1000 as day_peak, c_acctbal::double + 1000 - c_custkey % 300 as equity, (c_custkey % 17) * 100.0::double as margin_used from customer)
-select c_custkey, day_peak > 0 and day_peak - equity >= 0.05 * day_peak as daily_loss, equity > 0 and margin_used >= 0.8 * equity as gross_margin, (day_peak > 0 and day_peak - equity >= 0.05 * day_peak) or (equity > 0 and margin_used >= 0.8 * equity) as halt from a""")
+select c_custkey, day_peak > 0 and day_peak - equity >= 6 / 100.0::double * day_peak as daily_loss, equity > 0 and margin_used >= 80 / 100.0::double * equity as gross_margin, (day_peak > 0 and day_peak - equity >= 6 / 100.0::double * day_peak) or (equity > 0 and margin_used >= 80 / 100.0::double * equity) as halt from a""")
 def account_checks(spark, sf_dir):
     peak = F.col("c_acctbal").cast("double") + 1000
     rows = table(spark, sf_dir, "customer").select("c_custkey", peak.alias("day_peak"), (peak - F.col("c_custkey") % 300).alias("equity"), (F.col("c_custkey") % 17 * 100.0).alias("margin_used"))
