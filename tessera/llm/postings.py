@@ -42,9 +42,20 @@ WINDOW = 10
 SEGMENT, BLOCK, HELD = 4 << 20, 1 << 18, 1 << 20
 
 
-def pack(positions: np.ndarray) -> bytes:
-    """Ascending positions as differences of four bytes, all lowest bytes first: those of higher order are mostly zero."""
-    return np.diff(positions, prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def pack(places: np.ndarray, cuts: np.ndarray) -> pa.BinaryArray:
+    """Lists of ascending positions, one behind the other and cut at cuts, as differences of four bytes; a list has
+    all its lowest bytes first: those of higher order are mostly zero."""
+    n, size = len(places), np.diff(cuts, append=len(places))
+    steps = np.diff(places, prepend=0)
+    steps[cuts] = places[cuts]
+    steps = steps.astype("<i4").view(np.uint8).reshape(-1, 4)
+    start, size = np.repeat(cuts, size), np.repeat(size, size)
+    at = 3 * start + np.arange(n)
+    out = np.empty(4 * n, np.uint8)
+    for k in range(4):
+        out[at + k * size] = steps[:, k]
+    ends = np.r_[4 * cuts, 4 * n].astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(ends), pa.py_buffer(out)])
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -75,10 +86,9 @@ def index(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = S
             order = np.argsort(h, kind="stable")
             s = h[order]
             cuts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
-            lists = [pack(x) for x in np.split(order, cuts[1:])] if len(s) else []
             k = len(cuts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, segment)), pa.array(s[cuts].view(np.int64)), none(k, pa.int32()), none(k, who.type), none(k, pa.int32()), pa.array(np.diff(cuts, append=len(s)).astype(np.int32)), pa.array(lists, pa.binary())], names
+                [pa.array(np.full(k, segment)), pa.array(s[cuts].view(np.int64)), none(k, pa.int32()), none(k, who.type), none(k, pa.int32()), pa.array(np.diff(cuts, append=len(s)).astype(np.int32)), pack(order, cuts)], names
             )
 
         ids, hashes, counts, full = [], [], [], 0
