@@ -8,10 +8,14 @@ itself an entity of the corpus, is drawn anew with the next counter until none c
 DataFrame functions: no Python runs on the executors.
 
 Kinds and what is kept: email (separators, the last label of the host, the last two of public mail hosts; one
-surrogate a host), ipv4 (four octets; private and loopback ranges), card (length, grouping, first digit; the check digit is made valid), phone
-(punctuation, country code), ssn, iban (country, grouping; valid check digits), cloud access keys (prefix), assigned
-secrets such as password=... (the name before the value), hexadecimal digests, and names behind a form
-of address (the form, hence the gender; script; number of names).
+surrogate a host), ipv4 (four octets; private and loopback ranges), ipv6 (groups), card (length, grouping, first digit; the check
+digit is made valid; unbroken runs of 13 to 19 digits count only with a valid one), phone (punctuation, country code; +cc, 3-3-4,
+and national French, German and Spanish forms), ssn, iban (country, grouping; valid check digits), access keys and service tokens (prefix), bearer
+tokens, private key blocks (their first and last line), assigned secrets such as password=... (the name before the value),
+hexadecimal digests, and names behind a form of address (the form, hence the gender; script; number of names). A full name
+that stands behind a form of address anywhere in the corpus is replaced where it stands without one, too.
+
+A value after a colon and without quotes is a secret only if it mixes classes of characters: "secret: nobody knows" stays.
 """
 
 from __future__ import annotations
@@ -23,25 +27,40 @@ from tessera.llm.common import cut, drop_paths
 
 FEMALE = ("Mrs", "Ms", "Miss", "Mme", "Mlle", "Frau", "Señora", "Sra", "г-жа", "госпожа")
 MALE = ("Mr", "Herr", "Señor", "Sr", "г-н", "господин")
-_ADDRESS = "|".join(sorted((*FEMALE, *MALE), key=len, reverse=True))
+#: These tell no gender: given names get an end that shows none, Cyrillic family names that of their own end.
+NEUTRAL = ("Dr", "Prof", "Professor", "Doctor", "д-р", "проф", "профессор", "доктор")
+_ADDRESS = "|".join(sorted((*FEMALE, *MALE, *NEUTRAL), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
-_ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ ]{0,3}[=:][ ]{0,3}"
+_NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?[ ]{0,3}"
+_ASSIGNED = rf"{_NAMED}[=:][ ]{{0,3}}"
+_QUOTED = r"\"(?=[^\"\r\n]{6})[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+(?=\")|'(?=[^'\r\n]{6})[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+(?=')"
+_OPEN = r"[\"']?[^\s\"']\S{4,}[^\s.,;:)\]}>\"']"
+_MIXED = r"(?=\S*(?:[0-9_+=$@#%^&*~]|[a-z][A-Z]))"
+#: Kinds whose surrogate keeps what stands before the value.
+HEADS = {"bearer": r"^(Bearer )", "pem": r"^(-----BEGIN [A-Z ]{1,40}-----)", "service": r"^((?:[spr]k_(?:live|test)_|gh[pousr]_|xox[abeprs]-))"}
 
 #: In order: where two could start at the same place, the first one is taken. A pattern that begins with
 #: an open run of characters looks back first, so that a run is tried once and not from each of its characters.
 KINDS: dict[str, str] = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": rf"(?<![A-Za-z0-9]){_ASSIGNED}(?:\"(?=[^\"\r\n]{{6}})[^\"\\\r\n]*+(?:\\.[^\"\\\r\n]*+)*+(?=\")|'(?=[^'\r\n]{{6}})[^'\\\r\n]*+(?:\\.[^'\\\r\n]*+)*+(?=')|[\"']?[^\s\"']\S{{4,}}[^\s.,;:)\]}}>\"'])",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}0-9-]{1,63}\.){1,8}\p{L}{2,24}",
+    "pem": r"-----BEGIN [A-Z ]{1,40}-----[^-]*+-----END [A-Z ]{1,40}-----",
+    "bearer": r"(?<![A-Za-z0-9])Bearer [A-Za-z0-9._~+/-]{10,}+=*+",
+    "service": r"(?<![A-Za-z0-9])(?:[spr]k_(?:live|test)_[0-9A-Za-z]{10,}+|gh[pousr]_[A-Za-z0-9]{20,}+|xox[abeprs]-[A-Za-z0-9-]{10,}+)",
+    "secret": rf"(?<![A-Za-z0-9]){_NAMED}(?:[=:][ ]{{0,3}}(?:{_QUOTED})|=[ ]{{0,3}}{_OPEN}|:[ ]{{0,3}}{_MIXED}{_OPEN})",
     "akia": r"(?<![A-Za-z0-9])A(?:KIA|SIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ipv4": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:([ -]?)[0-9]{4})(?:\1[0-9]{4}){2}(?![0-9])",
+    "ipv6": r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "card": r"(?<![0-9])(?:[0-9]{4}(?:([ -]?)[0-9]{4})(?:\1[0-9]{4}){2}|3[47][0-9]{2}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
+    "run": r"(?<![0-9A-Za-z_.+-])[3-6][0-9]{12,18}(?![0-9A-Za-z_])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9+(])(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}|\+[1-9](?:[ .()/-]{0,2}[0-9]){6,14}|(?<![A-Za-z_.:/=-])[2-9][0-9]{9}(?![A-Za-z_]))(?![0-9])",
+    "phone": r"(?<![0-9+(])(?<!(?i:order|part|item|invoice|serial)(?: (?i:number|no\.?|nr\.?))?[ :#]{1,3})(?:(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-]?[0-9]{4}|\+[1-9](?:[ .()/-]{0,2}[0-9]){6,14}|(?<![A-Za-z_.:/=,-])(?:[2-9][0-9]{9}|0[1-9][0-9]{8}|0[1-9](?:[ .][0-9]{2}){4}|0[1-9][0-9]{1,4}[ /][0-9]{5,8}|[6-9][0-9]{2}(?: [0-9]{2}){3})(?![A-Za-z_]|[.,][0-9]))(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{40}|[0-9a-f]{32}|[0-9a-f]{64})(?![A-Za-z0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_ADDRESS})\.? \p{{Lu}}[\p{{L}}'’-]{{1,40}}(?: \p{{Lu}}[\p{{L}}'’-]{{1,40}})?",
 }
+#: Words with capitals, one behind the other: where names without a form of address are looked for.
+CAPITALS = r"(?<!\p{L})\p{Lu}[\p{L}'’-]{1,40}+(?: \p{Lu}[\p{L}'’-]{1,40}+)++"
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 SECRET_HEAD = rf"^({_ASSIGNED}[\"']?)"
 #: Country codes of one and two digits; the others have three.
@@ -55,8 +74,9 @@ BROADCAST_BYTES = 8 << 20
 
 LETTERS = {"upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": "abcdefghijklmnopqrstuvwxyz", "digit": "0123456789", "hex": "0123456789abcdef"}
 #: Names are spelled from these: open syllables, then an end that shows the gender.
+LETTERS |= {"cyr": "абвгдежзиклмнопрстуфхцчшэюя", "CYR": "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"}
 LATIN, CYRILLIC = ("b d f g k l m n p r s t v z", "a e i o u"), ("б д ж з к л м н п р с т в х", "а е и о у")
-ENDS = {("latin", "f"): "a ia ella ine", ("latin", "m"): "o an ert us", ("latin", "s"): "er son ski mann", ("cyrillic", "f"): "а ия ина ела", ("cyrillic", "m"): "ан ир ей ор", ("cyrillic", "sf"): "ова ева ина ская", ("cyrillic", "sm"): "ов ев ин ский"}
+ENDS = {("latin", "f"): "a ia ella ine", ("latin", "m"): "o an ert us", ("latin", "n"): "is el in y", ("latin", "s"): "er son ski mann", ("cyrillic", "f"): "а ия ина ела", ("cyrillic", "m"): "ан ир ей ор", ("cyrillic", "n"): "и ель инь ей", ("cyrillic", "sf"): "ова ева ина ская", ("cyrillic", "sm"): "ов ев ин ский"}
 
 
 def _draw(seed: Column, i: Column, n: int) -> Column:
@@ -65,13 +85,13 @@ def _draw(seed: Column, i: Column, n: int) -> Column:
 
 
 def _spell(text: Column, seed: Column, lower: str = "lower") -> Column:
-    """text with every digit and ASCII letter replaced by another of its class; the rest stays."""
+    """text with every digit and letter replaced by another of its class (letters of other alphabets by Latin ones, Cyrillic by Cyrillic); the rest stays."""
 
     def one(c: Column, i: Column) -> Column:
         pick = lambda kind: F.substring(F.lit(LETTERS[kind]), _draw(seed, i, len(LETTERS[kind])) + 1, F.lit(1))
         if lower == "hex":
             return pick("hex")
-        return F.when(c.between("0", "9"), pick("digit")).when(c.between("A", "Z"), pick("upper")).when(c.between("a", "z"), pick("lower")).otherwise(c)
+        return F.when(c.between("0", "9"), pick("digit")).when(c.between("A", "Z"), pick("upper")).when(c.between("a", "z"), pick("lower")).when(F.ascii(c) < 128, c).when(c.rlike(r"\p{IsCyrillic}"), F.when(F.lower(c) != c, pick("CYR")).otherwise(pick("cyr"))).when(c.rlike(r"\p{Lu}"), pick("upper")).when(c.rlike(r"\p{L}"), pick("lower")).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), one), "")
 
@@ -86,9 +106,18 @@ def _syllables(seed: Column, k: Column, script: tuple[str, str], ends: str) -> C
 
 
 #: Kinds of name parts: script and end.
-PARTS = {f"{part}-{script}-{g}": (sounds, ENDS[(script, end)]) for script, sounds in (("latin", LATIN), ("cyrillic", CYRILLIC)) for g in "fm" for part, end in (("given", g), ("family", "s" if script == "latin" else f"s{g}"))}
-PARTS["family-latin"] = PARTS.pop("family-latin-f")
-del PARTS["family-latin-m"]
+PARTS = {f"given-{script}-{g}": (sounds, ENDS[(script, g)]) for script, sounds in (("latin", LATIN), ("cyrillic", CYRILLIC)) for g in "fmn"}
+PARTS |= {"family-latin": (LATIN, ENDS[("latin", "s")]), "family-cyrillic-f": (CYRILLIC, ENDS[("cyrillic", "sf")]), "family-cyrillic-m": (CYRILLIC, ENDS[("cyrillic", "sm")])}
+
+
+def luhn(digits: Column) -> Column:
+    """Sum of digits (an array of int) with every second from the right, but one, doubled: 0 modulo 10 where the last is a check digit."""
+    n = F.size(digits)
+    return F.aggregate(F.transform(digits, lambda d, i: F.when((n - i) % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)), F.lit(0), lambda a, d: a + d)
+
+
+def digits_of(e: Column) -> Column:
+    return F.transform(F.split(F.regexp_replace(e, "[^0-9]", ""), ""), lambda c: c.cast("int"))
 
 
 def canonical(kind: Column, e: Column) -> Column:
@@ -99,15 +128,17 @@ def canonical(kind: Column, e: Column) -> Column:
     phone = F.when(abroad, F.concat(cc, F.lit(":"), F.substring(digits, F.length(cc) + 1, F.length(digits)))).otherwise(F.regexp_replace(digits, "^1(?=[0-9]{10}$)", ""))
     rest = F.regexp_replace(e, rf"^(?:{_ADDRESS})\.? ", "")
     script = F.when(rest.rlike(r"^\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    gender = F.when(F.regexp_extract(e, rf"^({_ADDRESS})", 1).isin(*FEMALE), "f").otherwise("m")
+    title = F.regexp_extract(e, rf"^({_ADDRESS})", 1)
+    gender = F.when(title.isin(*FEMALE), "f").when(title.isin(*NEUTRAL), "n").otherwise("m")
+    own = F.when(gender != "n", gender).when(rest.rlike("[ая]$"), "f").otherwise("m")
     part = lambda kind, c: F.struct(kind.alias("kind"), F.initcap(c).alias("c"))
-    family = part(F.when(script == "latin", "family-latin").otherwise(F.concat(F.lit("family-cyrillic-"), gender)), F.substring_index(rest, " ", -1))
+    family = part(F.when(script == "latin", "family-latin").otherwise(F.concat(F.lit("family-cyrillic-"), own)), F.substring_index(rest, " ", -1))
     name = F.when(rest.contains(" "), F.array(part(F.concat(F.lit("given-"), script, F.lit("-"), gender), F.substring_index(rest, " ", 1)), family)).otherwise(F.array(family))
     c = (
-        F.when(kind == "card", digits).when(kind == "phone", phone).when(kind == "email", F.lower(e))
-        .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_replace(e, SECRET_HEAD, "")).otherwise(e)
+        F.when(kind == "card", digits).when(kind == "phone", phone).when(kind.isin("email", "ipv6"), F.lower(e))
+        .when(kind == "iban", F.replace(e, F.lit(" "), F.lit(""))).when(kind == "secret", F.regexp_replace(e, SECRET_HEAD, "")).when(kind == "bearer", F.substring(e, 8, 1 << 30)).otherwise(e)
     )
-    return F.when(kind == "name", name).otherwise(F.array(F.struct(F.when(kind.isin("akia", "hex"), "secret").otherwise(kind).alias("kind"), c.alias("c"))))
+    return F.when(kind == "name", name).otherwise(F.array(F.struct(F.when(kind.isin("akia", "hex", "bearer", "service"), "secret").otherwise(kind).alias("kind"), c.alias("c"))))
 
 
 def _poured(e: Column, chars: Column, fits: str) -> Column:
@@ -133,17 +164,14 @@ def spelled(kind: Column, e: Column, s: Column) -> Column:
     name = F.array_join(F.zip_with(F.split(rest, " "), s, lambda w, x: F.when((F.upper(w) == w) & (F.length(w) > 2), F.upper(x)).otherwise(x)), " ")
     return (
         F.when(kind == "card", _poured(e, one, "[0-9]")).when(kind == "phone", _poured(e, F.regexp_replace(one, "^[0-9]+:", ""), "[0-9]"))
-        .when(kind == "iban", _poured(e, one, "[A-Z0-9]")).when(kind == "email", cases)
+        .when(kind == "iban", _poured(e, one, "[A-Z0-9]")).when(kind.isin("email", "ipv6"), cases).when(kind == "bearer", F.concat(F.lit("Bearer "), one))
         .when(kind == "secret", F.concat(F.regexp_extract(e, SECRET_HEAD, 1), one)).when(kind == "name", F.concat(form, name)).otherwise(one)
     )
 
 
 def _card(e: Column, seed: Column) -> Column:
-    drawn = F.concat(F.substring(e, 1, 1), F.expr("substring(s, 2)"))
-    digits = F.transform(F.split(F.regexp_replace(drawn, "[^0-9]", ""), ""), lambda c: c.cast("int"))
-    # the check digit of 16: from the left, digits at even places (from 0) are doubled
-    total = F.aggregate(F.transform(F.slice(digits, 1, 15), lambda d, i: F.when(i % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d)), F.lit(0), lambda a, d: a + d)
-    return F.concat(F.expr("substring(concat(substring(e, 1, 1), substring(s, 2)), 1, length(e) - 1)"), F.pmod(10 - F.pmod(total, F.lit(10)), F.lit(10)).cast("string"))
+    body = F.expr("substring(concat(substring(e, 1, 1), substring(s, 2)), 1, length(e) - 1)")
+    return F.concat(body, F.pmod(10 - F.pmod(luhn(digits_of(F.concat(body, F.lit("0")))), F.lit(10)), F.lit(10)).cast("string"))
 
 
 def _iban(e: Column, account: Column) -> Column:
@@ -161,8 +189,10 @@ def kind_of(e: Column) -> Column:
     out = F.lit("name")
     for kind, pattern in reversed(list(KINDS.items())[:-1]):
         # what follows a secret belongs to its pattern, but is not here
-        out = F.when(e.rlike(SECRET_HEAD if kind == "secret" else f"^(?:{pattern})$"), F.lit(kind)).otherwise(out)
-    return out
+        out = F.when(e.rlike(SECRET_HEAD if kind == "secret" else f"^(?:{pattern})$"), F.lit("card" if kind == "run" else kind)).otherwise(out)
+    # an unbroken run of digits that is no card stays
+    run = e.rlike(f"^(?:{KINDS['run']})$") & ~e.rlike(f"^(?:{KINDS['card']})$")
+    return F.when(run & (F.pmod(luhn(digits_of(e)), F.lit(10)) != 0), F.lit("none")).otherwise(out)
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -186,7 +216,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     own = _spell(F.regexp_replace(e, "^[0-9]+:", ""), seed)
     phone = F.concat(code, F.when(F.length(e) == 10, F.regexp_replace(own, "^([0-9]{3})[01]", "$17")).otherwise(own))
     phone = F.regexp_replace(phone, "(^|:)[01]", "$17")
-    secret = F.when(e.rlike("^[0-9a-f]+$"), _spell(e, seed, "hex")).when(e.rlike(f"^(?:{KINDS['akia']})$"), F.concat(F.substring(e, 1, 4), F.expr("substring(s, 5)"))).otherwise(_spell(F.regexp_replace(e, "[^\\x00-\\x7F]", "x"), seed))
+    secret = F.when(e.rlike(HEADS["service"]), F.concat(F.regexp_extract(e, HEADS["service"], 1), _spell(F.regexp_replace(e, HEADS["service"], ""), seed)))
+    secret = secret.when(e.rlike("^[0-9a-f]+$"), _spell(e, seed, "hex")).when(e.rlike(f"^(?:{KINDS['akia']})$"), F.concat(F.substring(e, 1, 4), F.expr("substring(s, 5)"))).otherwise(_spell(e, seed))
+    head, tail = F.regexp_extract(e, HEADS["pem"], 1), F.regexp_extract(e, "(-----END [A-Z ]{1,40}-----)$", 1)
+    pem = F.concat(head, _spell(F.substring(e, F.length(head) + 1, F.length(e) - F.length(head) - F.length(tail)), seed), tail)
+    ipv6 = F.array_join(F.transform(F.split(e, ":"), lambda g, i: F.when(g == "", g).otherwise(_spell(g, F.concat(seed, i.cast("string")), "hex"))), ":")
     name = F.lit(None).cast("string")
     for part, (script, ends) in PARTS.items():
         name = F.when(F.col("kind") == part, _syllables(seed, F.col("k"), script, ends)).otherwise(name)
@@ -194,7 +228,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         "s",
         F.when(F.col("kind") == "email", email).when(F.col("kind") == "ipv4", ip).when(F.col("kind") == "phone", phone)
         .when(F.col("kind") == "card", _card(e, seed)).when(F.col("kind") == "ssn", F.regexp_replace("s", "^[069]", "4"))
-        .when(F.col("kind") == "iban", _iban(e, F.expr("substring(s, 5)")))
+        .when(F.col("kind") == "iban", _iban(e, F.expr("substring(s, 5)"))).when(F.col("kind") == "pem", pem).when(F.col("kind") == "ipv6", ipv6)
         .when(F.col("kind") == "secret", secret).when(F.col("kind").isin(*PARTS), name)
         .otherwise(F.col("s")),
     ).drop("seed")
@@ -228,6 +262,16 @@ def assign(entities: DataFrame, key: str, tries: int = TRIES) -> DataFrame:
     return out
 
 
+def _bare_names(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(h1, h2, __bare): of each text (h1, h2, t) the known full names (pair in lower case, names) that it holds, as written, with their surrogates."""
+    runs = texts.dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(CAPITALS), F.lit(0)))).alias("r"))
+    w = F.split("r", " ")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    pairs = runs.select("h1", "h2", F.explode(pairs).alias("old")).distinct().withColumn("pair", F.lower("old"))
+    new = F.array_join(F.zip_with(F.split("old", " "), "names", lambda a, x: F.when((F.upper(a) == a) & (F.length(a) > 2), F.upper(x)).otherwise(x)), " ")
+    return pairs.join(known, "pair").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("old", new.alias("new")))).alias("__bare"))
+
+
 def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
     """docs with every entity in the text column replaced; count, if given, names a column of how many.
 
@@ -242,21 +286,37 @@ def replace(docs: DataFrame, key: str, text: str = "text", count: str | None = N
     found = docs.where(t.isNotNull()).select(h[0].alias("h1"), h[1].alias("h2"), F.posexplode(F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))).alias("pos", "e"))
     found = cut(found.dropDuplicates(["h1", "h2", "pos"]), "pii-found", paths)
     entities = cut(found.groupBy("e").agg(F.lit(1).alias("x")).select(kind_of(F.col("e")).alias("kind"), "e"), "pii-entities", paths)
-    parts = cut(entities.select("kind", "e", F.posexplode(canonical(F.col("kind"), F.col("e"))).alias("part", "of")), "pii-parts", paths)
+    parts = cut(entities.where("kind != 'none'").select("kind", "e", F.posexplode(canonical(F.col("kind"), F.col("e"))).alias("part", "of")), "pii-parts", paths)
     drawn = assign(parts.select("of.kind", F.col("of.c").alias("e")).distinct(), key)
     paths.append(drawn.inputFiles()[0].rsplit("/", 1)[0]) if drawn.inputFiles() else None
     mapping = parts.join(drawn.select(F.struct("kind", F.col("e").alias("c")).alias("of"), "s"), "of")
     mapping = mapping.groupBy("kind", "e").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "s"))), lambda x: x["s"]).alias("s"))
-    mapping = cut(mapping.select("e", spelled(F.col("kind"), F.col("e"), F.col("s")).alias("s")), "pii-spelled", paths)
-    lists = found.join(mapping, "e").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l"))
-    lists = cut(lists.select("h1", "h2", F.transform("l", lambda x: x["s"]).alias("__list")), "pii-lists")
-    size = lists.agg(F.coalesce(F.sum(F.expr("octet_length(array_join(__list, '')) + 32 * size(__list) + 64")), F.lit(0)).alias("b")).first().b
+    rest = F.regexp_replace("e", rf"^(?:{_ADDRESS})\.? ", "")
+    known = mapping.where("kind = 'name' and size(s) = 2").groupBy(F.lower(rest).alias("pair")).agg(F.min("s").alias("names"))
+    known = cut(known, "pii-known", paths)
+    mapping = mapping.select("e", spelled(F.col("kind"), F.col("e"), F.col("s")).alias("s"), F.lit(1).alias("real"))
+    mapping = cut(mapping.unionByName(entities.where("kind = 'none'").select("e", F.col("e").alias("s"), F.lit(0).alias("real"))), "pii-spelled", paths)
+    lists = found.join(mapping, "e").groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("l"), F.sum("real").alias("n"))
+    lists = lists.select("h1", "h2", F.transform("l", lambda x: x["s"]).alias("__list"), F.col("n").alias("__n"))
+    bare = F.array().cast("array<struct<old:string,new:string>>")
+    if known.isEmpty():
+        lists = lists.withColumn("__bare", bare)
+    else:
+        lists = lists.join(_bare_names(docs.where(t.isNotNull()).select(h[0].alias("h1"), h[1].alias("h2"), t.alias("t")), known), ["h1", "h2"], "full")
+        lists = lists.withColumns({"__n": F.coalesce("__n", F.lit(0)), "__bare": F.coalesce("__bare", bare)})
+    lists = cut(lists, "pii-lists")
+    size = lists.agg(F.coalesce(F.sum(F.expr("octet_length(concat_ws('', __list)) + 32 * coalesce(size(__list), 0) + 128 * size(__bare) + 64")), F.lit(0)).alias("b")).first().b
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), h[0].alias("h1"), h[1].alias("h2"))
     rows = rows.join(F.broadcast(lists) if size <= BROADCAST_BYTES else lists, ["h1", "h2"], "left")
     body = F.col("row").getField(text)
     gaps = F.split(body, PATTERN, -1)
     filled = F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.col("__list"), F.array(F.lit(""))), lambda g, s: F.array(g, s))), "")
-    new = F.when(F.col("__list").isNull(), body).otherwise(filled)
-    out = [new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns]
+    filled = F.when(F.col("__list").isNull(), body).otherwise(filled)
+    alone = lambda x: F.concat(F.lit(r"(?<!\p{L})\Q"), x["old"], F.lit(r"\E(?!\p{L})"))
+    more = F.aggregate("__bare", F.lit(0), lambda n, x: n + F.size(F.regexp_extract_all(filled, alone(x), F.lit(0))))
+    new = F.when(F.coalesce(F.size("__bare"), F.lit(0)) == 0, filled).otherwise(F.aggregate("__bare", filled, lambda s, x: F.regexp_replace(s, alone(x), x["new"])))
+    many = F.coalesce("__n", F.lit(0)) + F.when(F.size("__bare") > 0, more).otherwise(0)
     drop_paths(spark, paths)
-    return rows.select(*out, *([F.coalesce(F.size("__list"), F.lit(0)).alias(count)] if count else []))
+    done = rows.select("row", F.struct(new.alias("text"), many.cast("int").alias("n")).alias("new"))
+    out = [F.col("new.text").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in columns]
+    return done.select(*out, *([F.col("new.n").alias(count)] if count else []))
