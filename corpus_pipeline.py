@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the one of smallest id) of each class of 5-word shingle Jaccard >= 0.8; of rows that
-    repeat an id one stays. Null ids stay: they are linked with nothing."""
+    repeat an id the one of smallest text hash stays. Null ids stay: they are linked with nothing."""
     session.ship(spark)
     rows = parity_join.classes(docs).where("doc_id is not null")
     gone = common.cut(rows.where("doc_id != component_id").select("doc_id").distinct(), "pipeline-gone")
@@ -30,7 +30,9 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
     if rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    one = F.min_by(F.struct(*docs.columns), F.struct(F.xxhash64("text"), F.xxhash64(*docs.columns))).alias("row")
+    rest = kept.where("doc_id is not null").groupBy("doc_id").agg(one).select("row.*")
+    return rest.unionByName(kept.where("doc_id is null"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
