@@ -68,21 +68,65 @@ def dated(spark, sf_dir):
     return articles(spark, sf_dir).select("id", "type", "score", sym.alias("sym"), F.date_sub(F.to_date("ts"), 9000).alias("d"))
 
 
-@register("news_outcomes", f"with {ART}, {BARS}, {EV}, {OUT} select id, sym, d, round(ret_1, 6) as ret_1, round(ret_3, 6) as ret_3, round(ret_5, 6) as ret_5 from o")
+CALM = "cb as (select sym, d, 20000 + close / 100 as close from bars), ci as (select d, avg(close) as close from cb where sym <> '5-LOW' group by d)"
+EVA = f"ev as (select id, type, asset_id, ['{SYMS[0]}', '{SYMS[1]}', '{SYMS[2]}', '{SYMS[3]}', '{SYMS[4]}'][1 + asset_id % 5] as sym, (ts - interval 9000 day + interval 3 hour)::date + ((ts + interval 3 hour)::time > time '18:50:00')::int as d from art)"
+#: Windows of 250 bars, each pair of dates looked up in the index, written out.
+ABN = f"""ca as (select c.sym, c.d, c.close, ci.close as ix from cb c asof left join ci on c.d >= ci.d),
+cr as (select ca.*, x.close as onx, ca.close / nullif(lag(ca.close) over (partition by sym order by ca.d), 0) - 1 as y0, x.close / nullif(lag(x.close) over (partition by sym order by ca.d), 0) - 1 as x0 from ca left join ci x on x.d = ca.d),
+cs as (select *, case when x0 is not null and y0 is not null then x0 end as x, case when x0 is not null and y0 is not null then y0 end as y from cr),
+ct as (select *, case when count(x) over f >= 60 and var_pop(x) over f * count(x) over f > 1e-12 then covar_pop(y, x) over f / var_pop(x) over f end as beta,
+  lead(close, 1) over {W} as c1, lead(close, 3) over {W} as c3, lead(close, 5) over {W} as c5, lead(ix, 1) over {W} as i1, lead(ix, 3) over {W} as i3, lead(ix, 5) over {W} as i5 from cs window f as (partition by sym order by d rows between 249 preceding and current row)),
+oc as (select ev.*, ct.d as bd, ct.* exclude (sym, d), case when ct.d is null then 'no_history' when c5 is not null and ct.close <> 0 then 'labeled' else 'pending' end as status from ev asof left join ct on ev.sym = ct.sym and ev.d > ct.d),
+od as (select id, type, asset_id, sym, d, status, case when status = 'labeled' then bd end as base_date, case when status = 'labeled' then beta end as beta, {", ".join(f"case when status = 'labeled' then round((c{h} / close - 1) * 100, 4) end as ret_{h}, (i{h} / ix - 1) * 100 as im_{h}" for h in (1, 3, 5))} from oc),
+o as (select * exclude (im_1, im_3, im_5), {", ".join(f"round(ret_{h} - coalesce(beta, 1) * im_{h}, 4) as abn_{h}" for h in (1, 3, 5))} from od)"""
+
+
+def labeled(spark, sf_dir):
+    """Articles on their trading dates, 9,000 days earlier, where the bars are."""
+    calm = bars_1d(spark, sf_dir).select("sym", "d", (20000 + F.col("close") / 100).alias("close"))
+    index = calm.where("sym <> '5-LOW'").groupBy("d").agg(F.avg("close").alias("close"))
+    sym = F.get(F.array(*[F.lit(s) for s in SYMS]), (F.col("asset_id") % 5).cast("int"))
+    events = articles(spark, sf_dir).select("id", "type", "asset_id", sym.alias("sym"), F.date_sub(news.trading_date(F.col("ts")), 9000).alias("d"))
+    return news.abnormal_outcomes(events, calm, index)
+
+
+@register("news_outcomes", f"with {ART}, {BARS}, {EVA}, {CALM}, {ABN} select id, sym, d, status, base_date, round(beta, 6) as beta, ret_1, ret_3, ret_5, abn_1, abn_3, abn_5 from o")
 def news_outcomes(spark, sf_dir):
-    out = news.outcomes(dated(spark, sf_dir), bars_1d(spark, sf_dir))
-    return rounded(out.select("id", "sym", "d", "ret_1", "ret_3", "ret_5"), "ret_1", "ret_3", "ret_5")
+    return rounded(labeled(spark, sf_dir).drop("type", "asset_id"), "beta")
+
+
+CLEAN = "u as (select o.* from o where status = 'labeled' and not exists (select 1 from o z where z.status = 'labeled' and z.asset_id = o.asset_id and z.base_date = o.base_date and z.type <> o.type))"
 
 
-@register("event_study", f"""with {ART}, {BARS}, {EV}, {OUT}, g as (select type, count(*) as n, avg(ret_5) as mean, avg(abs(ret_5)) as mean_abs, avg((abs(ret_5) >= 2)::int::double) as hit_rate from o where ret_5 is not null group by 1 having count(*) >= 5)
-select type, n, round(mean, 6) as mean, round(mean_abs, 6) as mean_abs, round(hit_rate, 6) as hit_rate, round(mean_abs / max(mean_abs) over (), 6) as weight from g""")
+@register("event_study", f"""with {ART}, {BARS}, {EVA}, {CALM}, {ABN}, {CLEAN}, g as (select type, count(coalesce(abn_1, ret_1)) as n, {", ".join(f"round(avg(coalesce(abn_{h}, ret_{h})), 3) as aar_{h}, round(avg(abs(coalesce(abn_{h}, ret_{h}))), 3) as mean_abs_{h}" for h in (1, 3, 5))},
+  round(avg((abs(coalesce(abn_1, ret_1)) >= 2)::int::double), 3) as hit_rate from u group by 1) select *, case when max(mean_abs_5) over () > 0 then round(mean_abs_5 / max(mean_abs_5) over (), 3) end as weight from g where n >= 5""")
 def event_study(spark, sf_dir):
-    return rounded(news.event_study(news.outcomes(dated(spark, sf_dir), bars_1d(spark, sf_dir))), "mean", "mean_abs", "hit_rate", "weight")
+    return news.event_study(news.unconfounded(labeled(spark, sf_dir).where("status = 'labeled'")))
 
 
-@register("unconfounded_events", f"with {ART}, {EV} select id, sym, d, type from ev qualify min(type) over (partition by sym, d) = max(type) over (partition by sym, d)")
+@register("unconfounded_events", f"with {ART}, {BARS}, {EVA}, {CALM}, {ABN}, {CLEAN} select id, asset_id, base_date, type from u")
 def unconfounded_events(spark, sf_dir):
-    return news.unconfounded(dated(spark, sf_dir)).select("id", "sym", "d", "type")
+    return news.unconfounded(labeled(spark, sf_dir).where("status = 'labeled'")).select("id", "asset_id", "base_date", "type")
+
+
+EDGE = {"brent_ret": "1-URGENT", "usd_ret": "2-HIGH", "imoex_ret": "3-MEDIUM"}
+
+
+@register("edge_features", f"""with {ART}, {BARS}, {EVA.replace("type, asset_id,", "type, asset_id, ts,")}, r as (select sym, d, round((close / lag(close) over {W} - 1) * 100, 4) as v from bars), m as (select asset_id, ts::date - 9000 as d, round(avg(score), 4) as mean from art where {SALIENT} group by 1, 2),
+n as (select id, asset_id, (ts - interval 9000 day)::date as at from ev)
+select n.id, {", ".join(f"case when n.at - 1 - {k[0]}.d <= 3 then {k[0]}.v end as {k}" for k in EDGE)}, m.mean as asset_sent
+from n {" ".join(f"asof left join (select * from r where sym = '{s}' and v is not null) {k[0]} on n.at > {k[0]}.d" for k, s in EDGE.items())} asof left join m on n.asset_id = m.asset_id and n.at > m.d""")
+def edge_features(spark, sf_dir):
+    """What was known the day before each article: three market series, not older than three days, and the asset's last mood."""
+    art = articles(spark, sf_dir)
+    close = F.col("close")
+    ret = F.round((close / F.nullif(F.lag("close").over(ind.by_symbol()), F.lit(0.0)) - 1) * 100, 4)
+    of = F.create_map(*[F.lit(x) for k, s in EDGE.items() for x in (s, k)])
+    series = bars_1d(spark, sf_dir).select(F.element_at(of, F.col("sym")).alias("name"), "d", ret.alias("value"))
+    rows = art.select("id", "asset_id", F.date_sub(F.to_date("ts"), 9000).alias("d"))
+    rows = prices.asof_features(rows, series, list(EDGE), "d", strict=True, max_age=3)
+    mood = news.daily_sentiment(art).where("scope = 'asset'").select(F.col("key").cast("long").alias("asset_id"), F.date_sub("d", 9000).alias("d"), F.round("mean", 4).alias("mood"))
+    return prices.asof_join(rows, mood, "asset_id", "d", "mood", strict=True).select("id", *EDGE, F.col("asof_mood").alias("asset_sent"))
 
 
 @register("source_reliability", f"""with {ART}, {BARS}, {EV}, {OUT} select type as source, count(*) as n, count(*) filter (sign(score) = sign(ret_5)) as hits, round((count(*) filter (sign(score) = sign(ret_5)) + 10.0) / (count(*) + 20.0), 4) as reliability
