@@ -60,7 +60,8 @@ SOFT = (r"\bожида\w*", r"\bпрогнозиру\w*", r"\bпрогноз\b",
 
 
 def before(n: int) -> str:
-    """A group in front of a match that takes in the n characters before it, or all there are, without consuming them."""
+    """A group in front of a match that takes in the n characters before it, or all there are, without consuming them. It tries
+    every length up to n: put what the match begins with before it, as a look ahead."""
     return rf"(?<=(\A[\s\S]{{0,{n - 1}}}|[\s\S]{{{n}}}))"
 
 
@@ -85,15 +86,17 @@ def numeric_facts(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     none = F.lit("")
     fact = lambda kind, value, unit: F.struct(F.lit(kind).alias("kind"), value.alias("value"), unit.alias("unit"))
     times = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in MULTIPLIER.items() for x in kv]), F.lower(m))
-    rate, deal = before(RATE_WINDOW) + KEY_RATE, before(DEAL_WINDOW) + AMOUNT
-    groups = lambda p, n: [F.regexp_extract_all(t, F.lit(FLAGS + p), F.lit(i)) for i in range(n)]
-    r, d = groups(rate, 3), groups(deal, 6)
-    expected = lambda i: F.concat(F.get(r[1], i), F.get(r[0], i)).rlike(FLAGS + EXPECTED)
-    bought = lambda i: F.get(d[1], i).rlike(FLAGS + DEAL)
+    rate, deal = "(?=ключев)" + before(RATE_WINDOW) + KEY_RATE, r"(?=за\s)" + before(DEAL_WINDOW) + AMOUNT
+    # the groups of all matches as columns of their own, so that each is taken once a text
+    groups = {f"_{k}{i}": F.regexp_extract_all("_t", F.lit(FLAGS + p), F.lit(i)) for k, p, n in (("r", rate, 3), ("d", deal, 6)) for i in range(n)}
+    docs = docs.select(id, t.alias("_t")).select(id, "_t", *[c.alias(k) for k, c in groups.items()])
+    t = F.col("_t")
+    expected = lambda i: F.concat(F.get("_r1", i), F.get("_r0", i)).rlike(FLAGS + EXPECTED)
+    bought = lambda i: F.get("_d1", i).rlike(FLAGS + DEAL)
     found = F.concat(
         F.transform(every(DIVIDEND), lambda m: fact("dividend", number(part(m, DIVIDEND, 2)), F.when((part(m, DIVIDEND, 1) != "") | (part(m, DIVIDEND, 3) != ""), F.lit("RUB")))),
-        F.transform(r[2], lambda x, i: fact("key_rate", number(x), F.when(~expected(i), F.lit("pct")))),
-        F.transform(d[3], lambda x, i: fact("deal_amount", number(x) * times(F.get(d[4], i)), F.when(bought(i), _unit(F.get(d[2], i), F.get(d[5], i))))),
+        F.transform("_r2", lambda x, i: fact("key_rate", number(x), F.when(~expected(i), F.lit("pct")))),
+        F.transform("_d3", lambda x, i: fact("deal_amount", number(x) * times(F.get("_d4", i)), F.when(bought(i), _unit(F.get("_d2", i), F.get("_d5", i))))),
         F.transform(every(TARGET), lambda m: fact("target_price", number(part(m, TARGET, 2)), _unit(F.coalesce(part(m, TARGET, 1), none), part(m, TARGET, 3)))),
     )
     rows = docs.select(id, F.explode(F.array_distinct(F.filter(found, lambda x: x["unit"].isNotNull() & x["value"].isNotNull()))).alias("x"))
@@ -125,20 +128,23 @@ def report_period(text: Column) -> Column:
 def report_metrics(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, metric, value, unit, period): of each metric the number behind the first of its words that a text holds, in roubles
     where no other currency is named; earnings and dividends a share, and price to earnings, as they stand."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    low = F.lower(t)
     times = lambda m: F.element_at(F.create_map(*[F.lit(x) for kv in MULTIPLIER.items() for x in kv]), F.lower(m))
-    found = []
+    low, t, found = F.col("_low"), F.col("_t"), []
+    places = {}
     for metric, triggers in METRICS.items():
-        at, size = F.lit(0), F.lit(0)
+        at = F.lit(None).cast("struct<at:int,size:int>")
         for w in reversed(triggers):
-            at, size = F.when(F.instr(low, w) > 0, F.instr(low, w)).otherwise(at), F.when(F.instr(low, w) > 0, len(w)).otherwise(size)
-        window = F.when(at > 0, F.substring(t, at, size + METRIC_WINDOW)).otherwise("")
+            at = F.when(low.contains(w), F.struct(F.instr(low, w).alias("at"), F.lit(len(w)).alias("size"))).otherwise(at)
+        places[metric] = at
+    # each step in a projection of its own: what several columns read is worked out once
+    rows = docs.select(id, F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_low", F.lower("_t"))
+    rows = rows.select(id, "_t", report_period(t).alias("period"), *[c.alias(f"_{m}") for m, c in places.items()])
+    rows = rows.select(id, "_t", "period", *[F.substring(t, F.col(f"_{m}.at"), F.col(f"_{m}.size") + METRIC_WINDOW).alias(f"_{m}") for m in METRICS])
+    for metric in METRICS:
         share = metric in ("eps", "dividend")
-        p = FLAGS + (PER_SHARE if share else SCALED)
-        part = lambda i, p=p, window=window: F.regexp_extract(window, p, i)
+        part = lambda i, p=FLAGS + (PER_SHARE if share else SCALED), w=f"_{metric}": F.regexp_extract(w, p, i)
         value = number(part(1)) * (F.lit(1.0) if share else times(part(2)))
-        found.append(F.struct(F.lit(metric).alias("metric"), value.alias("value"), F.coalesce(_unit(F.lit(""), part(2 if share else 3)), F.lit("RUB")).alias("unit")))
+        found.append(F.when(F.col(f"_{metric}").isNotNull(), F.struct(F.lit(metric).alias("metric"), value.alias("value"), F.coalesce(_unit(F.lit(""), part(2 if share else 3)), F.lit("RUB")).alias("unit"))))
     found.append(F.struct(F.lit("pe").alias("metric"), number(F.regexp_extract(t, FLAGS + PRICE_EARNINGS, 1)).alias("value"), F.lit("ratio").alias("unit")))
-    rows = docs.select(id, report_period(t).alias("period"), F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("x"))
+    rows = rows.select(id, "period", F.explode(F.filter(F.array(*found), lambda x: x["value"].isNotNull())).alias("x"))
     return rows.select(id, "x.metric", "x.value", "x.unit", "period")

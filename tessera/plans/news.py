@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import classify
-from tessera.functions import text as textfacts
 from tessera.operators import alerts, fundamentals, futures, news, prices
 from tessera.operators import indicators as ind
 from tessera.operators import relational as rel
@@ -326,16 +324,3 @@ def recent_turnover(spark, sf_dir):
 @register("page_texts", r"select page_id, trim(regexp_replace(case when contains(html, '<') and contains(html, '>') then regexp_replace(html, '<[^<>]*>', ' ', 'g') else html end, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+', ' ', 'g')) as text from pages")
 def page_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", classify.clean(F.col("html")).alias("text"))
-
-
-@register("significance", f"""with {ART} select id, round(greatest(0, least(1, 0.5 * 0.1::double + 0.3 * least(1.0, abs(score)))), 3) as significance, case when round(greatest(0, least(1, 0.5 * 0.1::double + 0.3 * least(1.0, abs(score)))), 3) < 0.34 then 'low' when round(greatest(0, least(1, 0.5 * 0.1::double + 0.3 * least(1.0, abs(score)))), 3) >= 0.66 then 'high' else 'medium' end as bucket from art""")
-def significance(spark, sf_dir):
-    s = classify.significance(F.col("type"), F.col("score"))
-    return articles(spark, sf_dir).select("id", s.alias("significance"), classify.bucket(s).alias("bucket"))
-
-
-@register("event_types", "select doc_id, 'other' as event, 'neutral' as sentiment, 'fact' as factuality from documents")
-def event_types(spark, sf_dir):
-    """The rule classifiers over the supplied documents, whose invented words hold none of the marks."""
-    d = textfacts.factuality(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return d.select("doc_id", classify.event_type(F.col("text")).alias("event"), classify.sentiment(classify.lexicon_score(F.col("text"))).alias("sentiment"), F.col("label").alias("factuality"))
