@@ -58,10 +58,11 @@ def margin_budget(rows: DataFrame, max_pct: float = 60.0) -> DataFrame:
 
 
 def overfitting(perf: DataFrame) -> DataFrame:
-    """(pbo, splits) of (split, strategy, inside, outside): share of splits whose best inside is in the lower half outside."""
+    """(pbo, splits) of (split, strategy, inside, outside): share of splits whose best inside (ties: the first by name) is not above half of
+    the strategies outside, itself and its equals counted. Splits of one strategy say nothing and are left out; without any, pbo is null."""
     w = Window.partitionBy("split")
-    d = perf.withColumns({"best": F.row_number().over(w.orderBy(F.desc("inside"), "strategy")), "rank": F.row_number().over(w.orderBy("outside", "strategy")), "n": F.count(F.lit(1)).over(w)})
-    return d.where("best = 1").agg(F.avg((F.col("rank") / (F.col("n") + 1) <= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("splits"))
+    d = perf.withColumns({"best": F.row_number().over(w.orderBy(F.desc("inside"), "strategy")), "rank": F.cume_dist().over(w.orderBy("outside")), "n": F.count(F.lit(1)).over(w)})
+    return d.where("best = 1 and n >= 2").agg(F.avg((F.col("rank") <= 0.5).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("splits"))
 
 
 def latest_values(series: DataFrame) -> DataFrame:

@@ -53,8 +53,8 @@ def margin_budget(spark, sf_dir):
 
 
 @register("backtest_overfitting", f"""with {BARS}, r as (select sym as strategy, month(d) as split, day(d) <= 15 as ins, close from bars), p as (select split, strategy, avg(close) filter (ins) as inside, avg(close) filter (not ins) as outside from r group by 1, 2),
-k as (select *, row_number() over (partition by split order by inside desc, strategy) as best, row_number() over (partition by split order by outside, strategy) as rank, count(*) over (partition by split) as n from p)
-select round(avg((rank / (n + 1)::double <= 0.5)::int::double), 6) as pbo, count(*) as splits from k where best = 1""")
+k as (select *, row_number() over (partition by split order by inside desc, strategy) as best, cume_dist() over (partition by split order by outside) as rank, count(*) over (partition by split) as n from p)
+select round(avg((rank <= 0.5)::int::double), 6) as pbo, count(*) as splits from k where best = 1 and n >= 2""")
 def backtest_overfitting(spark, sf_dir):
     half = F.dayofmonth("d") <= 15
     p = bars_1d(spark, sf_dir).groupBy(F.month("d").alias("split"), F.col("sym").alias("strategy")).agg(F.avg(F.when(half, F.col("close"))).alias("inside"), F.avg(F.when(~half, F.col("close"))).alias("outside"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import search
-from tessera.plans.market import BARS, W, frame, full
+from tessera.operators import search, selection
+from tessera.plans.market import BARS, W, frame, full, rounded
 from tessera.plans.registry import register
 from tessera.sources.tables import bars_1d
 
@@ -116,3 +116,51 @@ def walk_forward_momentum_anchored(spark, sf_dir):
 def walk_forward_report(spark, sf_dir):
     d = search.report(search.walk_forward(calm(spark, sf_dir), "bollinger", objective="total_return", cost_bps=COST))
     return d.withColumn("folds", F.col("folds").cast("int"))
+
+
+def _net(strategy: str) -> str:
+    """rt(sym, g, params, i, ret): what each combination earns on each bar, after costs."""
+    combos = search.param_grid(search.GRIDS[strategy], search.VALID.get(strategy))
+    w = "(partition by sym, g order by i)"
+    return f"""{_signals(strategy, combos)}, hd as (select *, coalesce(lag(signal, 1) over {w}, 0) as held, coalesce(lag(signal, 2) over {w}, 0) as before, close / lag(close) over {w} - 1 as move from sg),
+rt as (select sym, g, params, i, held * coalesce(move, 0) - {COST} / 1e4 * abs(held - before) as ret from hd where i > 0)"""
+
+
+def _returns(spark, sf_dir, strategy: str):
+    combos = search.param_grid(search.GRIDS[strategy], search.VALID.get(strategy))
+    d = search.runs(calm(spark, sf_dir), strategy, combos).where("i > 0")
+    return d.select("sym", "g", "params", "i", (F.col("held") * F.col("move") - COST / 1e4 * F.col("turn")).alias("ret"))
+
+
+#: The quantile of 1 - 1 / 9 and of 1 - 1 / (9 e), and the distribution by its series with logarithms of double factorials.
+_PHI = "0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * sign(z) * list_sum(list_transform(range(0, 200), lambda k: case when z = 0 then 0 else exp((2 * k + 1) * ln(abs(z)) - (k + 1) * ln(2) - lgamma(k + 1.5) + 0.5 * ln(pi())) end))"
+
+
+@register("deflated_sharpe", f"""with {_net("sma_cross")}, m0 as (select sym, params, count(*) as n, avg(ret) as mu, stddev_samp(ret) as dev, stddev_pop(ret) as pop from rt group by 1, 2),
+m as (select sym, params, m0.n, any_value(mu / nullif(dev, 0)) as sr, avg(power((ret - mu) / pop, 3)) as skew, avg(power((ret - mu) / pop, 4)) as kurt from rt join m0 using (sym, params) group by 1, 2, 3),
+z as (select *, (sr - ((1 - 0.5772156649) * 1.2206403488473494 + 0.5772156649 * 1.7406155679998851) / sqrt(n - 1)) * sqrt(n - 1) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)) as z from m)
+select sym, params, n, round(sr, 8) as sharpe, round(case when sr is null then null when z > 8 then 1 when z < -8 then 0 else {_PHI} end, 5) as deflated from z""")
+def deflated_sharpe(spark, sf_dir):
+    d = selection.deflated(_returns(spark, sf_dir, "sma_cross").select(F.col("sym").alias("key"), F.col("params").alias("trial"), "ret"))
+    return d.select(F.col("key").alias("sym"), F.col("trial").alias("params"), "n", F.round("sharpe", 8).alias("sharpe"), F.round("deflated", 5).alias("deflated"))
+
+
+_CPCV = f"""{_net("momentum")}, b as (select sym || ':' || params as strategy, (i - 1) as i, ret, least((i - 1) // greatest((count(*) over (partition by sym, params)) // 6, 1), 5) as block from rt),
+e as (select *, min(i) over (partition by strategy, block) as lo, max(i) over (partition by strategy, block) as hi from b),
+c as (select row_number() over (order by x, y) - 1 as split, x, y from range(6) a(x), range(6) b(y) where x < y),
+p as (select split, strategy, ret, block not in (x, y) as inside, i < lo + 5 as first, i > hi - 5 as last, block = 0 or ((block - 1) not in (x, y)) = (block not in (x, y)) as before, block = 5 or ((block + 1) not in (x, y)) = (block not in (x, y)) as after from e, c),
+s as (select split, strategy, avg(ret) filter (inside) / nullif(stddev_samp(ret) filter (inside), 0) as inside, avg(ret) filter (not inside) / nullif(stddev_samp(ret) filter (not inside), 0) as outside from p
+  where not inside or ((not first or before) and (not last or after)) group by 1, 2)"""
+
+
+@register("cpcv_sharpes", f"with {_CPCV} select split::int as split, strategy, round(inside, 6) as inside, round(outside, 6) as outside from s where inside is not null and outside is not null")
+def cpcv_sharpes(spark, sf_dir):
+    r = _returns(spark, sf_dir, "momentum").select(F.concat_ws(":", "sym", "params").alias("strategy"), (F.col("i") - 1).alias("i"), "ret")
+    return rounded(selection.cpcv(r, 6, 2, embargo=5), "inside", "outside")
+
+
+@register("cpcv_overfitting", f"""with {_CPCV}, o as (select *, row_number() over (partition by split order by inside desc, strategy) as best, cume_dist() over (partition by split order by outside) as rank from s where inside is not null and outside is not null)
+select round(avg((rank <= 0.5)::int::double), 6) as pbo, count(*) as splits from o where best = 1""")
+def cpcv_overfitting(spark, sf_dir):
+    r = _returns(spark, sf_dir, "momentum").select(F.concat_ws(":", "sym", "params").alias("strategy"), (F.col("i") - 1).alias("i"), "ret")
+    return rounded(selection.cpcv_overfitting(r, 6, 2, embargo=5), "pbo")
