@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.operators import indicators as ind
-from tessera.operators import models, stats
+from tessera.operators import models, stats, story
 from tessera.plans.market import BARS, RETS, W, index_returns, rounded
 from tessera.plans.registry import register
 from tessera.sources.tables import bars_1d, table
@@ -98,3 +98,10 @@ def term_structure(spark, sf_dir):
 def upcoming_orders(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"))
     return models.upcoming(o, "1998-01-01", 7)
+
+
+@register("stories_72h")
+def stories_72h(spark, sf_dir):
+    """Every vector as an article of its label, 17 minutes apart."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("bucket"), F.col("vec_id").alias("id"), F.timestamp_seconds(1704067200 + F.col("vec_id") * 1020).alias("ts"), F.col("embedding").alias("v"))
+    return story.windowed(v)
