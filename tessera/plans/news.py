@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tessera.operators import alerts, fundamentals, futures, news, prices
@@ -9,6 +11,7 @@ from tessera.operators import indicators as ind
 from tessera.operators import relational as rel
 from tessera.plans.market import BARS, RSI, W, frame, rounded
 from tessera.plans.registry import register
+from tessera.sources import snapshots
 from tessera.sources.tables import bars_1d, table
 
 SYMS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -324,3 +327,13 @@ def recent_turnover(spark, sf_dir):
 @register("page_texts", r"select page_id, trim(regexp_replace(case when contains(html, '<') and contains(html, '>') then regexp_replace(html, '<[^<>]*>', ' ', 'g') else html end, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b]+', ' ', 'g')) as text from pages")
 def page_texts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", classify.clean(F.col("html")).alias("text"))
+
+
+@register("sentiment_snapshots", f"""with {ART}, {DAILY} select scope, key, d, round(mean, 6) as mean, n from daily where not (d between date '2024-01-10' and date '2024-01-12' and scope = 'asset')""")
+def sentiment_snapshots(spark, sf_dir):
+    """All days written, three of them written again without the assets, and the table read back."""
+    daily = news.daily_sentiment(articles(spark, sf_dir)).select("scope", "key", "mean", "n", "d")
+    path = snapshots.shared_folder(spark, "sentiment-days")
+    snapshots.replace_days(daily, path, [r.d for r in daily.select("d").distinct().collect()])
+    snapshots.replace_days(daily.where("scope = 'market'"), path, [date(2024, 1, k) for k in (10, 11, 12)])
+    return rounded(snapshots.read_days(spark, path, "scope string, key string, mean double, n long, d date"), "mean")
