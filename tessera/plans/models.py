@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import session
 from tessera.operators import indicators as ind
-from tessera.operators import models, stats, story
+from tessera.operators import futures, models, policy, stats, story
 from tessera.plans.market import BARS, RETS, W, index_returns, rounded
 from tessera.plans.registry import register
 from tessera.sources.tables import bars_1d, table
@@ -105,3 +105,23 @@ def stories_72h(spark, sf_dir):
     """Every vector as an article of its label, 17 minutes apart."""
     v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("bucket"), F.col("vec_id").alias("id"), F.timestamp_seconds(1704067200 + F.col("vec_id") * 1020).alias("ts"), F.col("embedding").alias("v"))
     return story.windowed(v)
+
+
+#: What a decision knows of its bar.
+KNOWN = ["ret_1", "ret_5", "ret_20", "sma_gap_20", "range_pos", "vol_z"]
+
+
+@register("policy_holdout")
+def policy_holdout(spark, sf_dir):
+    """Chances and contracts of the newest decisions (one a bar, in the direction of its 20-bar move), by a filter that learnt from the older ones."""
+    bars, w = bars_1d(spark, sf_dir), ind.by_symbol()
+    c, v, last20 = F.col("close"), F.col("volume").cast("double"), w.rowsBetween(-19, 0)
+    low, high = F.min("low").over(last20), F.max("high").over(last20)
+    seen = {f"ret_{n}": ind.change_pct(c, n) for n in (1, 5, 20)} | {"sma_gap_20": (c / ind.sma(c, 20) - 1) * 100, "range_pos": (c - low) / F.nullif(high - low, F.lit(0.0)), "vol_z": (v - F.avg(v).over(last20)) / F.nullif(F.stddev_samp(v).over(last20), F.lit(0.0))}
+    rows = bars.withColumns(seen).withColumn("signed_qty", F.signum("ret_20").cast("int")).where("signed_qty <> 0")
+    rows = rows.join(futures.triple_barrier(bars), ["sym", "d"]).withColumn("win", (F.col("label") == F.col("signed_qty")).cast("int")).select("sym", "d", "signed_qty", "win", *KNOWN)
+    learnt, _ = policy.train(rows, KNOWN, "d")
+    if learnt is None:
+        return spark.createDataFrame([], "sym string, d date, win int, p_win double, qty int")
+    held = learnt.score(policy.cut(rows, "d", policy.TEST)[1])
+    return held.select("sym", "d", "win", F.round("p_win", 6).alias("p_win"), policy.decide(F.col("signed_qty"), F.col("p_win")).alias("qty"))
