@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.indicators import by_symbol, sma
 
 
-def patterns(bars: DataFrame, trend: int = 10) -> DataFrame:
-    """(sym, d, pattern, direction), one row a hit: direction 1 bullish after a fall, -1 bearish after a rise, 0 doji."""
+#: Patterns that inform but are no signal of their own.
+UNTRADED = ("inverted_hammer", "doji")
+
+
+def marked(bars: DataFrame, trend: int = 10) -> DataFrame:
+    """bars with hits: an array of (pattern, direction); direction 1 bullish after a fall, -1 bearish after a rise, 0 doji."""
     w = by_symbol()
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     d = bars.withColumn("_m", sma(c, trend))
@@ -25,6 +29,8 @@ def patterns(bars: DataFrame, trend: int = 10) -> DataFrame:
     found = {
         ("doji", 0): (span > 0) & (body <= 0.1 * span),
         ("hammer", 1): (span > 0) & (lower >= 0.6 * span) & (upper <= 0.15 * span) & (rise == -1),
+        ("hanging_man", -1): (span > 0) & (lower >= 0.6 * span) & (upper <= 0.15 * span) & (rise == 1),
+        ("inverted_hammer", 1): (span > 0) & (upper >= 0.6 * span) & (lower <= 0.15 * span) & (rise == -1),
         ("shooting_star", -1): (span > 0) & (upper >= 0.6 * span) & (lower <= 0.15 * span) & (rise == 1),
         ("bullish_engulfing", 1): (c1 < o1) & (c > o) & (o <= c1) & (c >= o1) & (body > body1) & (rise == -1),
         ("bearish_engulfing", -1): (c1 > o1) & (c < o) & (o >= c1) & (c <= o1) & (body > body1) & (rise == 1),
@@ -34,4 +40,24 @@ def patterns(bars: DataFrame, trend: int = 10) -> DataFrame:
         ("evening_star", -1): (c2 > o2) & star & (c < o) & (c <= (o2 + c2) / 2) & (rise == 1),
     }
     hits = F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(p).alias("pattern"), F.lit(way).alias("direction"))) for (p, way), ok in found.items()])
-    return d.select("sym", "d", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("x")).select("sym", "d", "x.pattern", "x.direction")
+    return d.select(*bars.columns, F.filter(hits, lambda x: x.isNotNull()).alias("hits"))
+
+
+def patterns(bars: DataFrame, trend: int = 10) -> DataFrame:
+    """(sym, d, pattern, direction), one row a hit of marked()."""
+    return marked(bars, trend).select("sym", "d", F.explode("hits").alias("x")).select("sym", "d", "x.pattern", "x.direction")
+
+
+def candles(bars: DataFrame, hold: int = 10, trend: int = 10, both_ways: bool = False) -> DataFrame:
+    """(sym, d, signal): the side of the last confirmed reversal while it is younger than `hold` bars, else 0; only the
+    long side unless both ways.
+
+    A reversal of the other side turns the position, one of the same side renews it. A fall and a rise before a bar
+    exclude each other, so a bar's reversals agree. The bar of a reversal is always held."""
+    w = by_symbol()
+    until = w.rowsBetween(Window.unboundedPreceding, 0)
+    way = F.get(F.filter("hits", lambda x: ~x["pattern"].isin(*UNTRADED)), F.lit(0))["direction"]
+    d = marked(bars, trend).select("sym", "d", way.alias("way")).withColumn("i", F.row_number().over(w))
+    age = F.col("i") - F.last(F.when(F.col("way").isNotNull(), F.col("i")), ignorenulls=True).over(until)
+    side = F.when(age < max(hold, 1), F.last("way", ignorenulls=True).over(until)).otherwise(0)
+    return d.select("sym", "d", (side if both_ways else F.greatest(side, F.lit(0))).cast("int").alias("signal"))

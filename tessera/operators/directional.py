@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import session
+from tessera.operators.candlesticks import candles
 from tessera.operators.indicators import bollinger, by_symbol, last, rsi_simple, sma
 
 
@@ -89,6 +90,7 @@ def bollinger_directional(bars: DataFrame) -> DataFrame:
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "sma_cross": sma_directional, "momentum": momentum_directional, "rsi": rsi_directional,
     "macd": lambda bars: macd_signals(bars, both_ways=True), "bollinger": bollinger_directional,
+    "candles": lambda bars: candles(bars, both_ways=True),
 }
 
 

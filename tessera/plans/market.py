@@ -178,6 +178,8 @@ def _candles_sql() -> str:
     hits = {
         ("doji", 0): "high > low and abs(close - open) <= 0.1 * (high - low)",
         ("hammer", 1): "high > low and least(open, close) - low >= 0.6 * (high - low) and high - greatest(open, close) <= 0.15 * (high - low) and rise = -1",
+        ("hanging_man", -1): "high > low and least(open, close) - low >= 0.6 * (high - low) and high - greatest(open, close) <= 0.15 * (high - low) and rise = 1",
+        ("inverted_hammer", 1): "high > low and high - greatest(open, close) >= 0.6 * (high - low) and least(open, close) - low <= 0.15 * (high - low) and rise = -1",
         ("shooting_star", -1): "high > low and high - greatest(open, close) >= 0.6 * (high - low) and least(open, close) - low <= 0.15 * (high - low) and rise = 1",
         ("bullish_engulfing", 1): "c1 < o1 and close > open and open <= c1 and close >= o1 and abs(close - open) > abs(c1 - o1) and rise = -1",
         ("bearish_engulfing", -1): "c1 > o1 and close < open and open >= c1 and close <= o1 and abs(close - open) > abs(c1 - o1) and rise = 1",
@@ -187,17 +189,36 @@ def _candles_sql() -> str:
         ("evening_star", -1): f"c2 > o2 and {star} and close < open and close <= (o2 + c2) / 2 and rise = 1",
     }
     lags = ", ".join(f"lag({x}, {n}) over {W} as {x[0]}{n}" for x in ("open", "high", "low", "close") for n in (1, 2))
-    return f"""with {BARS}, m as (select *, {full(f'avg(close) over {frame(10)}', 'close', 10)} as ma from bars),
-g as (select *, {lags}, lag(ma) over {W} as m1 from m),
-t as (select *, case when m1 is null then 0 when c1 > m1 then 1 when c1 < m1 then -1 else 0 end as rise from g)
-""" + " union all ".join(f"select sym, d, '{p}' as pattern, {way}::int as direction from t where {ok}" for (p, way), ok in hits.items())
+    return f"""cm as (select *, {full(f'avg(close) over {frame(10)}', 'close', 10)} as ma from bars),
+cg as (select *, {lags}, lag(ma) over {W} as m1 from cm),
+ct as (select *, case when m1 is null then 0 when c1 > m1 then 1 when c1 < m1 then -1 else 0 end as rise from cg),
+hits as materialized (""" + " union all ".join(f"select sym, d, '{p}' as pattern, {way}::int as direction from ct where {ok}" for (p, way), ok in hits.items()) + ")"
 
 
-@register("candlestick_patterns", _candles_sql())
+HITS = _candles_sql()
+#: Reversals as a recursion over bars: position, bars held.
+CANDLES = f"""cv as materialized (select b.sym, b.d, row_number() over (partition by b.sym order by b.d) as i, coalesce(bool_or(direction > 0), false) as bull, coalesce(bool_or(direction < 0), false) as bear
+  from bars b left join (select * from hits where pattern not in ('doji', 'inverted_hammer')) h on h.sym = b.sym and h.d = b.d group by b.sym, b.d),
+cb(sym, d, i, pos, held) as (select sym, d, i, case when bull then 1 when bear then -1 else 0 end, 0 from cv where i = 1
+  union all select v.sym, v.d, v.i, case when p.pos = 0 then (case when v.bull then 1 when v.bear then -1 else 0 end) when (p.pos > 0 and v.bear) or (p.pos < 0 and v.bull) then -p.pos when (p.pos > 0 and v.bull) or (p.pos < 0 and v.bear) then p.pos when p.held + 1 >= 10 then 0 else p.pos end,
+    case when p.pos = 0 or v.bull or v.bear or p.held + 1 >= 10 then 0 else p.held + 1 end from cb p join cv v on v.sym = p.sym and v.i = p.i + 1),
+cl(sym, d, i, pos, held) as (select sym, d, i, case when bull then 1 else 0 end, 0 from cv where i = 1
+  union all select v.sym, v.d, v.i, case when p.pos = 0 then (case when v.bull then 1 else 0 end) when v.bear or (case when v.bull then 0 else p.held + 1 end) >= 10 then 0 else 1 end,
+    case when p.pos = 0 or v.bull then 0 else p.held + 1 end from cl p join cv v on v.sym = p.sym and v.i = p.i + 1)"""
+
+
+@register("candlestick_patterns", f"with {BARS}, {HITS} select * from hits")
 def candlestick_patterns(spark, sf_dir):
     return candlesticks.patterns(bars_1d(spark, sf_dir))
 
 
+@register("signal_candles", f"with recursive {BARS}, {HITS}, {CANDLES} select cl.sym, cl.d, cl.pos::int as long_only, cb.pos::int as both_ways from cl join cb on cl.sym = cb.sym and cl.i = cb.i")
+def signal_candles(spark, sf_dir):
+    bars = bars_1d(spark, sf_dir)
+    long = candlesticks.candles(bars).withColumnRenamed("signal", "long_only")
+    return long.join(candlesticks.candles(bars, both_ways=True).withColumnRenamed("signal", "both_ways"), ["sym", "d"])
+
+
 SMA_CROSS = f"s as (select sym, d, close, coalesce(({full(f'avg(close) over {frame(20)}', 'close', 20)}) > ({full(f'avg(close) over {frame(50)}', 'close', 50)}), false)::int as signal from bars)"
 POSITIONS = f"""h as (select *, coalesce(lag(signal) over {W}, 0) as held, coalesce(close / nullif(lag(close) over {W}, 0) - 1, 0) as market from s),
 p as (select *, held * market - abs(held - coalesce(lag(held) over {W}, 0)) * 5.0 / 1e4 as ret from h)"""

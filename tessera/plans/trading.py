@@ -8,7 +8,7 @@ from tessera.operators import backtest as bt
 from tessera.operators import directional as dr
 from tessera.operators import exposure as ex
 from tessera.operators import indicators as ind
-from tessera.plans.market import BARS, RSI, W, frame, full, rounded
+from tessera.plans.market import BARS, CANDLES, HITS, RSI, W, frame, full, rounded
 from tessera.plans.news import ART, SYMS, articles
 from tessera.plans.registry import register
 from tessera.sources.tables import bars_1d, table
@@ -50,13 +50,13 @@ def _steps(name: str, of: str, long: str, short: str, leave_long: str, leave_sho
 BAND = f"bm as (select sym, d, close, {full(f'avg(close) over {frame(20)}', 'close', 20)} as mid, {full(f'stddev_samp(close) over {frame(20)}', 'close', 20)} as dev from bars), bb as (select sym, d, close, round(mid - 2 * dev, 2) as lo, round(mid, 2) as m, round(mid + 2 * dev, 2) as hi from bm), rr as (select sym, d, round(rsi, 2) as rs from r)"
 
 
-@register("signals_directional", f"""with recursive {BARS}, {RSI}, {MACD}, {BAND},
+@register("signals_directional", f"""with recursive {BARS}, {RSI}, {MACD}, {BAND}, {HITS}, {CANDLES},
 {_steps('ps', 'rr', 'rs < 30', 'rs > 70', 'rs >= 50', 'rs <= 50')}, {_steps('pb', 'bb', 'close <= lo', 'close >= hi', 'close >= m', 'close <= m')},
 sm as (select sym, d, {full(f'avg(close) over {frame(20)}', 'close', 20)} as f, {full(f'avg(close) over {frame(50)}', 'close', 50)} as s, close, lag(close, 20) over {W} as past from bars)
 select 'sma_cross' as strategy, sym, d, (case when s is null then 0 when f > s then 1 else -1 end)::int as signal from sm
 union all select 'momentum', sym, d, (case when past is null then 0 when close > past then 1 else -1 end)::int from sm
 union all select 'macd', sym, d, (case when hist is null then 0 when hist > 0 then 1 else -1 end)::int from mh
-union all select 'rsi', sym, d, pos::int from ps union all select 'bollinger', sym, d, pos::int from pb""")
+union all select 'rsi', sym, d, pos::int from ps union all select 'bollinger', sym, d, pos::int from pb union all select 'candles', sym, d, pos::int from cb""")
 def signals_directional(spark, sf_dir):
     bars, out = bars_1d(spark, sf_dir), None
     for name, of in dr.STRATEGIES.items():
