@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.indicators import by_symbol, sma
@@ -48,16 +48,23 @@ def patterns(bars: DataFrame, trend: int = 10) -> DataFrame:
     return marked(bars, trend).select("sym", "d", F.explode("hits").alias("x")).select("sym", "d", "x.pattern", "x.direction")
 
 
-def candles(bars: DataFrame, hold: int = 10, trend: int = 10, both_ways: bool = False) -> DataFrame:
-    """(sym, d, signal): the side of the last confirmed reversal while it is younger than `hold` bars, else 0; only the
-    long side unless both ways.
-
-    A reversal of the other side turns the position, one of the same side renews it. A fall and a rise before a bar
-    exclude each other, so a bar's reversals agree. The bar of a reversal is always held."""
-    w = by_symbol()
-    until = w.rowsBetween(Window.unboundedPreceding, 0)
+def reversals(bars: DataFrame, trend: int = 10, name: str = "way") -> DataFrame:
+    """bars with a column: the direction of a bar's confirmed reversal, null without one. A fall and a rise before a
+    bar exclude each other, so all reversals of a bar agree."""
     way = F.get(F.filter("hits", lambda x: ~x["pattern"].isin(*UNTRADED)), F.lit(0))["direction"]
-    d = marked(bars, trend).select("sym", "d", way.alias("way")).withColumn("i", F.row_number().over(w))
-    age = F.col("i") - F.last(F.when(F.col("way").isNotNull(), F.col("i")), ignorenulls=True).over(until)
-    side = F.when(age < max(hold, 1), F.last("way", ignorenulls=True).over(until)).otherwise(0)
-    return d.select("sym", "d", (side if both_ways else F.greatest(side, F.lit(0))).cast("int").alias("signal"))
+    return marked(bars, trend).select(*bars.columns, way.alias(name))
+
+
+def side(way: str, i: str, hold: int) -> Column:
+    """The side of the last reversal while it is younger than `hold` bars (numbered by i), else 0: one of the other side
+    turns the position, one of the same side renews it; the bar of a reversal is always held."""
+    until = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    age = F.col(i) - F.last(F.when(F.col(way).isNotNull(), F.col(i)), ignorenulls=True).over(until)
+    return F.when(age < max(hold, 1), F.last(way, ignorenulls=True).over(until)).otherwise(0).cast("int")
+
+
+def candles(bars: DataFrame, hold: int = 10, trend: int = 10, both_ways: bool = False) -> DataFrame:
+    """(sym, d, signal): side() of the bars' reversals; only the long side unless both ways."""
+    d = reversals(bars, trend).select("sym", "d", "way").withColumn("i", F.row_number().over(by_symbol()))
+    at = side("way", "i", hold)
+    return d.select("sym", "d", (at if both_ways else F.greatest(at, F.lit(0))).alias("signal"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera import session
+from tessera.operators.candlesticks import reversals, side
 from tessera.operators.directional import ema_seeded
 from tessera.operators.indicators import YEAR, bollinger, by_symbol, full, last, rsi_simple, sma
 
@@ -27,6 +28,7 @@ GRIDS: dict[str, dict[str, list]] = {
     "rsi": {"low": [25, 30, 35], "high": [50, 55, 60]},
     "macd_cross": {"fast": [8, 12], "slow": [21, 26], "signal": [9]},
     "bollinger": {"window": [20, 30], "k": [2.0, 2.5, 3.0]},
+    "candles": {"hold": [5, 10, 20], "trend": [10, 20]},
 }
 VALID: dict[str, Callable[[dict], bool]] = {
     "sma_cross": lambda p: p["fast"] < p["slow"],
@@ -89,6 +91,12 @@ def signals(bars: DataFrame, strategy: str, combos: list[dict]) -> tuple[DataFra
             d = bollinger(d, n, 1.0).withColumns({f"_mid{n}": F.col("boll_mid"), f"_dev{n}": full(F.stddev_samp(c).over(last(n)), c, n)})
         mid, dev = (lambda p: F.col(f"_mid{p.get('window', 20)}")), (lambda p: F.col(f"_dev{p.get('window', 20)}"))
         return _events(d, [(c <= F.round(mid(p) - p.get("k", 2.0) * dev(p), 2), c >= F.round(mid(p), 2)) for p in combos])
+    if strategy == "candles":  # bars with open, high and low
+        d, trend = bars, lambda p: p.get("trend", 10)
+        for n in sorted({trend(p) for p in combos}):
+            d = reversals(d, n, f"_way{n}")
+        d = d.withColumn("_i", F.row_number().over(by_symbol()))
+        return d, [F.greatest(side(f"_way{trend(p)}", "_i", p.get("hold", 10)), F.lit(0)) for p in combos]
     if strategy == "macd_cross":
         return _macd(bars, combos)
     raise ValueError(f"no grid for strategy {strategy}; known: {', '.join(GRIDS)}")

@@ -172,7 +172,8 @@ def price_move_alerts(spark, sf_dir):
     return d.select("sym", "d", F.round("change_pct", 6).alias("change_pct"), F.round("sigma_pct", 6).alias("sigma_pct"), F.coalesce(alert, F.lit(False)).alias("alert"))
 
 
-def _candles_sql() -> str:
+def candles_sql(trend: int = 10, name: str = "hits") -> str:
+    """CTEs up to <name>(sym, d, pattern, direction)."""
     inside = "greatest(open, close) < greatest(o1, c1) and least(open, close) > least(o1, c1) and abs(c1 - o1) >= 0.6 * (h1 - l1) and abs(close - open) < 0.6 * abs(c1 - o1) and h1 > l1"
     star = "abs(c2 - o2) >= 0.6 * (h2 - l2) and h2 > l2 and abs(c1 - o1) <= 0.3 * (h1 - l1)"
     hits = {
@@ -189,13 +190,13 @@ def _candles_sql() -> str:
         ("evening_star", -1): f"c2 > o2 and {star} and close < open and close <= (o2 + c2) / 2 and rise = 1",
     }
     lags = ", ".join(f"lag({x}, {n}) over {W} as {x[0]}{n}" for x in ("open", "high", "low", "close") for n in (1, 2))
-    return f"""cm as (select *, {full(f'avg(close) over {frame(10)}', 'close', 10)} as ma from bars),
-cg as (select *, {lags}, lag(ma) over {W} as m1 from cm),
-ct as (select *, case when m1 is null then 0 when c1 > m1 then 1 when c1 < m1 then -1 else 0 end as rise from cg),
-hits as materialized (""" + " union all ".join(f"select sym, d, '{p}' as pattern, {way}::int as direction from ct where {ok}" for (p, way), ok in hits.items()) + ")"
+    return f"""{name}_m as (select *, {full(f'avg(close) over {frame(trend)}', 'close', trend)} as ma from bars),
+{name}_g as (select *, {lags}, lag(ma) over {W} as m1 from {name}_m),
+{name}_t as (select *, case when m1 is null then 0 when c1 > m1 then 1 when c1 < m1 then -1 else 0 end as rise from {name}_g),
+{name} as materialized (""" + " union all ".join(f"select sym, d, '{p}' as pattern, {way}::int as direction from {name}_t where {ok}" for (p, way), ok in hits.items()) + ")"
 
 
-HITS = _candles_sql()
+HITS = candles_sql()
 #: Reversals as a recursion over bars: position, bars held.
 CANDLES = f"""cv as materialized (select b.sym, b.d, row_number() over (partition by b.sym order by b.d) as i, coalesce(bool_or(direction > 0), false) as bull, coalesce(bool_or(direction < 0), false) as bear
   from bars b left join (select * from hits where pattern not in ('doji', 'inverted_hammer')) h on h.sym = b.sym and h.d = b.d group by b.sym, b.d),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import search, selection
-from tessera.plans.market import BARS, W, frame, full, rounded
+from tessera.plans.market import BARS, W, candles_sql, frame, full, rounded
 from tessera.plans.registry import register
 from tessera.sources.tables import bars_1d
 
@@ -14,8 +14,11 @@ COST = 5.0
 CALM = f"{BARS.replace('bars as', 'raw as', 1)}, bars as (select sym, d, 20000 + close / 100 as close from raw)"
 
 
-def calm(spark, sf_dir):
-    return bars_1d(spark, sf_dir).select("sym", "d", (20000 + F.col("close") / 100).alias("close"))
+def calm(spark, sf_dir, columns: tuple[str, ...] = ("close",)):
+    return bars_1d(spark, sf_dir).select("sym", "d", *[(20000 + F.col(c) / 100).alias(c) for c in columns])
+
+
+OHLC = ("open", "high", "low", "close")
 
 
 B = "(partition by sym, g, fold, part order by i)"
@@ -44,6 +47,22 @@ sg as materialized (select sym, g, params, row_number() over (partition by sym,
   coalesce(last_value(e ignore nulls) over (partition by sym, g order by d rows unbounded preceding), 0) as signal from ev)"""
 
 
+def _reversed(combos: list[dict]) -> str:
+    """The same for candles: the last reversal of the newest `hold` bars decides."""
+    trends, parts = sorted({p["trend"] for p in combos}), []
+    moved = ", ".join(f"20000 + {x} / 100 as {x}" for x in OHLC)
+    for g, p in enumerate(combos):
+        last = f"last_value(way ignore nulls) over (partition by sym order by d rows between {p['hold'] - 1} preceding and current row)"
+        parts.append(f"select sym, {g} as g, '{search.label(p)}' as params, row_number() over {W} - 1 as i, count(*) over (partition by sym) as n, d, close, coalesce({last} > 0, false)::int as signal from way{p['trend']}")
+    hits = ", ".join(f"{candles_sql(t, f'hits{t}')}, way{t} as (select b.sym, b.d, b.close, max(direction) as way from bars b left join (select * from hits{t} where pattern not in ('doji', 'inverted_hammer')) h on h.sym = b.sym and h.d = b.d group by all)" for t in trends)
+    return f"{BARS.replace('bars as', 'raw as', 1)}, bars as (select sym, d, {moved} from raw), {hits}, sg as materialized ({' union all '.join(parts)})"
+
+
+def _head(strategy: str) -> str:
+    combos = search.param_grid(search.GRIDS[strategy], search.VALID.get(strategy))
+    return {"bollinger": _band, "candles": _reversed}[strategy](combos) if strategy in ("bollinger", "candles") else _signals(strategy, combos)
+
+
 #: From rows w(sym, g, params, fold, part, i, close, signal) of every window, each run on its own, to m: its measures.
 RUN = f"""h as (select *, coalesce(lag(signal, 1) over {B}, 0) as held, coalesce(lag(signal, 2) over {B}, 0) as before, close / nullif(lag(close) over {B}, 0) - 1 as move, row_number() over {B} as k from w),
 x as (select *, case when k > 1 then held * coalesce(move, 0) - {COST} / 1e4 * abs(held - before) end as r from h),
@@ -56,15 +75,12 @@ m as (select *, case when max_drawdown > 0 then round(cagr / max_drawdown, 2) en
 
 
 def _board(strategy: str, objective: str) -> str:
-    combos = search.param_grid(search.GRIDS[strategy], search.VALID.get(strategy))
-    head = _band(combos) if strategy == "bollinger" else _signals(strategy, combos)
-    return f"""with {head}, w as (select sym, g, params, 0 as fold, '' as part, i, close, signal from sg), {RUN}
+    return f"""with {_head(strategy)}, w as (select sym, g, params, 0 as fold, '' as part, i, close, signal from sg), {RUN}
 select sym, (row_number() over (partition by sym order by {objective} desc nulls last, g))::int as place, params, {objective} as score, total_return, sharpe, sortino, calmar, cagr, max_drawdown from m"""
 
 
 def _folds(strategy: str, objective: str, train: int, test: int, anchored: bool) -> str:
-    combos = search.param_grid(search.GRIDS[strategy], search.VALID.get(strategy))
-    head = _band(combos) if strategy == "bollinger" else _signals(strategy, combos)
+    head = _head(strategy)
     start = "0" if anchored else f"k * {test}"
     return f"""{head}, fo as (select distinct sym, unnest(range(0, greatest(0, (n - {train}) // {test}))) as k from sg),
 w as (select s.sym, g, params, k as fold, 'train' as part, i, close, signal from sg s join fo on s.sym = fo.sym and i >= {start} and i < k * {test} + {train}
@@ -102,6 +118,16 @@ def param_search_bollinger(spark, sf_dir):
     return search.leaderboard(calm(spark, sf_dir), "bollinger", objective="calmar", cost_bps=COST)
 
 
+@register("param_search_candles", _board("candles", "sharpe"))
+def param_search_candles(spark, sf_dir):
+    return search.leaderboard(calm(spark, sf_dir, OHLC), "candles", cost_bps=COST)
+
+
+@register("walk_forward_candles", _folds_sql("candles", "sharpe", 120, 40, False))
+def walk_forward_candles(spark, sf_dir):
+    return search.walk_forward(calm(spark, sf_dir, OHLC), "candles", train=120, test=40, cost_bps=COST).select(*SHOWN)
+
+
 @register("walk_forward_sma", _folds_sql("sma_cross", "sharpe", 120, 40, False))
 def walk_forward_sma(spark, sf_dir):
     return search.walk_forward(calm(spark, sf_dir), "sma_cross", cost_bps=COST).select(*SHOWN)
