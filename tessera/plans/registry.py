@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tessera.plans import execution, graph, market, models, news, payloads, portfolio, search, texts, trading  # noqa: F401
+    from tessera.plans import alerting, execution, graph, market, models, news, payloads, portfolio, search, texts, trading  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
