@@ -54,13 +54,32 @@ def psi(values: DataFrame, bins: int = 10, min_n: int = 20, eps: float = 1e-4) -
     return all_.select("feature").join(out, "feature", "left")
 
 
-def session_flags(bars: DataFrame, ts: str = "ts") -> DataFrame:
-    """bars with in_session, clearing and entry_allowed from wall-clock time labelled as it is (no zone shift)."""
+# Minutes of the exchange's wall clock. A break ends before its last minute.
+OPEN, CLOSE, EVENING_CLOSE = 9 * 60, 18 * 60 + 45, 23 * 60 + 50
+BREAK, EVENING_BREAK = (14 * 60, 14 * 60 + 5), (CLOSE, 19 * 60)
+CLEARING = ((13 * 60 + 55, 14 * 60 + 10), (18 * 60 + 40, 19 * 60 + 10))
+
+
+def session_flags(bars: DataFrame, ts: str = "ts", evening: bool = False, weekend: bool = False, flat_before: float = 15.0) -> DataFrame:
+    """bars with in_session, clearing, to_close (minutes, below 0 after it), force_flat, entry_allowed and thin, from
+    wall-clock time labelled as it is (no zone shift).
+
+    Without `evening` the day ends with the main session; `weekend` takes Saturdays and Sundays for trading days. Positions
+    are closed before the opening, from flat_before minutes to the close on and on days without trading; weekends and the
+    evening are thin. A null time gives nulls."""
     m = F.hour(ts) * 60 + F.minute(ts)
-    day = F.dayofweek(ts).between(2, 6)
-    inside = day & (m >= 540) & (m < 1125)
-    clearing = m.between(835, 850) | m.between(1120, 1150)
-    return bars.withColumns({"in_session": inside, "clearing": clearing, "entry_allowed": inside & ~clearing & (m < 1110)})
+    within = lambda a, b: (m >= a) & (m < b)
+    close = EVENING_CLOSE if evening else CLOSE
+    week = F.dayofweek(ts).between(2, 6)
+    day = week | F.lit(weekend)
+    inside = day & within(OPEN, close) & ~within(*BREAK)
+    if evening:
+        inside = inside & ~within(*EVENING_BREAK)
+    clearing = within(*CLEARING[0]) | within(*CLEARING[1])
+    left = close - m - F.date_format(ts, "s.SSSSSS").cast("double") / 60
+    flat = ~day | (m < OPEN) | (left <= flat_before)
+    thin = (~week | (m >= CLOSE)) if evening else ~week
+    return bars.withColumns({"in_session": inside, "clearing": clearing, "to_close": left, "force_flat": flat, "entry_allowed": inside & ~clearing & ~flat, "thin": thin})
 
 
 def cross_section(bars: DataFrame, lookback: int = 20, top: float = 0.34) -> DataFrame:

@@ -129,3 +129,12 @@ def reliability(rows: DataFrame, prior: float = 0.5, strength: float = 20.0) ->
     d = rows.where((F.abs("score") > 0) & (F.abs("move") >= 0.5))
     d = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.signum("score") == F.signum("move")).alias("hits"))
     return d.withColumn("reliability", F.round((F.col("hits") + strength * prior) / (F.col("n") + strength), 4))
+
+
+def market_agreement(rows: DataFrame, gate: float = 0.35, move_pct: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(<keys>, n, flagged, moved, precision, recall) of rows (significance, move) by keys: how far what the gate lets pass
+    and what moved by move_pct or more agree. Rows without either value do not count; a measure without a denominator is null."""
+    d = rows.where("significance is not null and move is not null").withColumns({"_f": F.col("significance") >= gate, "_m": F.abs("move") >= move_pct})
+    d = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("_f").alias("flagged"), F.count_if("_m").alias("moved"), F.count_if(F.col("_f") & F.col("_m")).alias("_tp"))
+    share = lambda of: F.col("_tp") / F.nullif(F.col(of), F.lit(0))
+    return d.select(*keys, "n", "flagged", "moved", share("flagged").alias("precision"), share("moved").alias("recall"))

@@ -54,3 +54,36 @@ def max_drawdown(rets: DataFrame) -> DataFrame:
     d = rets.withColumn("e", F.exp(F.sum(F.log1p("ret")).over(w)))
     d = d.withColumn("peak", F.greatest(F.lit(1.0), F.max("e").over(w)))
     return d.groupBy("sym").agg((F.max((F.col("peak") - F.col("e")) / F.col("peak")) * 100).alias("drawdown"))
+
+
+def cross_levels(levels: DataFrame, base: str, quote: str) -> DataFrame:
+    """(d, close): one currency in another, of levels (currency, d, close) in a third; dates that both have, no quote of 0."""
+    one = lambda c, to: levels.where(F.col("currency") == c).select("d", F.col("close").alias(to))
+    return one(base, "_b").join(one(quote, "_q"), "d").where("_q != 0").select("d", (F.col("_b") / F.col("_q")).alias("close"))
+
+
+def factor_correlations(rets: DataFrame, factors: DataFrame, min_points: int = 20) -> DataFrame:
+    """(sym, factor, n, r) of returns with each factor (factor, d, ret) on common dates; no row with fewer
+    dates than min_points or without variance."""
+    f = factors.select("factor", "d", F.col("ret").alias("_f"))
+    return _pearson(rets.select("sym", "d", "ret").join(f, "d"), min_points)
+
+
+def peer_correlations(rets: DataFrame, sectors: DataFrame, coverage: float = 0.6, min_points: int = 20) -> DataFrame:
+    """(sym, factor, n, r) with the mean return of the other symbols of the sector (sectors: sym, sector), on dates where at
+    least ceil(coverage * others) of them have one.
+
+    A sector's sums of a date less the symbol's own part: no pairs of symbols are made."""
+    size = sectors.groupBy("sector").agg(F.count(F.lit(1)).alias("_k"))
+    own = rets.select("sym", "d", "ret").join(sectors.select("sym", "sector"), "sym")
+    day = own.groupBy("sector", "d").agg(F.sum("ret").alias("_s"), F.count("ret").alias("_c"))
+    d = own.join(day, ["sector", "d"]).join(size, "sector")
+    need = F.greatest(F.lit(1), F.ceil(F.round((F.col("_k") - 1) * coverage, 9)))
+    d = d.where(F.col("_c") - 1 >= need).withColumn("_f", (F.col("_s") - F.col("ret")) / (F.col("_c") - 1))
+    return _pearson(d.select("sym", F.lit("sector_peers").alias("factor"), "ret", "_f"), min_points)
+
+
+def _pearson(d: DataFrame, min_points: int) -> DataFrame:
+    d = d.groupBy("sym", "factor").agg(F.count(F.lit(1)).alias("n"), F.var_pop("ret").alias("vx"), F.var_pop("_f").alias("vy"), F.covar_pop("ret", "_f").alias("cov"))
+    d = d.where((F.col("n") >= min_points) & (F.col("vx") > 0) & (F.col("vy") > 0))
+    return d.select("sym", "factor", "n", (F.col("cov") / F.sqrt(F.col("vx") * F.col("vy"))).alias("r"))

@@ -258,10 +258,36 @@ def cross_section_signals(spark, sf_dir):
     return futures.cross_section(bars_1d(spark, sf_dir))
 
 
-@register("session_flags", """with m as (select event_id, hour(ts) * 60 + minute(ts) as m, dayofweek(ts) between 1 and 5 as day from events)
-select event_id, day and m >= 540 and m < 1125 as in_session, m between 835 and 850 or m between 1120 and 1150 as clearing, day and m >= 540 and m < 1110 and not (m between 835 and 850 or m between 1120 and 1150) as entry_allowed from m""")
+def _session(close: int, evening: bool, day: str) -> str:
+    clear = "(m >= 835 and m < 850 or m >= 1120 and m < 1150)"
+    inside = f"({day} and m >= 540 and m < {close} and not (m >= 840 and m < 845){' and not (m >= 1125 and m < 1140)' if evening else ''})"
+    flat = f"(not {day} or m < 540 or left_min <= 15)"
+    return f"""with t as (select event_id, hour(ts) * 60 + minute(ts) as m, {close} - date_diff('microsecond', date_trunc('day', ts), ts) / 6e7 as left_min, dayofweek(ts) between 1 and 5 as week from events)
+select event_id, {inside} as in_session, {clear} as clearing, round(left_min, 4) as to_close, {flat} as force_flat, {inside} and not {clear} and not {flat} as entry_allowed, not week{" or m >= 1125" if evening else ""} as thin from t"""
+
+
+SESSION = ("event_id", "in_session", "clearing", "to_close", "force_flat", "entry_allowed", "thin")
+
+
+@register("session_flags", _session(1125, False, "week"))
 def session_flags(spark, sf_dir):
-    return futures.session_flags(table(spark, sf_dir, "events")).select("event_id", "in_session", "clearing", "entry_allowed")
+    return rounded(futures.session_flags(table(spark, sf_dir, "events")).select(*SESSION), "to_close", at=4)
+
+
+@register("session_flags_evening", _session(1430, True, "true"))
+def session_flags_evening(spark, sf_dir):
+    """With the evening session and trading at weekends."""
+    return rounded(futures.session_flags(table(spark, sf_dir, "events"), evening=True, weekend=True).select(*SESSION), "to_close", at=4)
+
+
+@register("market_agreement", f"""with {ART}, {BARS}, {EVA}, {CALM}, {ABN}, j as (select o.type, o.abn_1, art.significance from o join art using (id) where o.abn_1 is not null and art.significance is not null)
+select type, count(*) as n, count(*) filter (significance >= 0.02) as flagged, count(*) filter (abs(abn_1) >= 0.5) as moved, round(count(*) filter (significance >= 0.02 and abs(abn_1) >= 0.5) / nullif(count(*) filter (significance >= 0.02), 0), 6) as precision,
+  round(count(*) filter (significance >= 0.02 and abs(abn_1) >= 0.5) / nullif(count(*) filter (abs(abn_1) >= 0.5), 0), 6) as recall from j group by type""")
+def market_agreement(spark, sf_dir):
+    """What is significant against what moved abnormally on the next bar, by type."""
+    sig = articles(spark, sf_dir).select("id", "significance")
+    rows = labeled(spark, sf_dir).select("id", "type", F.col("abn_1").alias("move")).join(sig, "id")
+    return rounded(news.market_agreement(rows, gate=0.02, move_pct=0.5, keys=("type",)), "precision", "recall")
 
 
 @register("upsert_last_write", """with o as (select o_custkey, o_orderdate, o_totalprice, o_orderkey, 0 as n from orders where o_orderkey % 2 = 0 union all select o_custkey, o_orderdate, o_totalprice, o_orderkey, 1 from orders where o_orderkey % 2 = 1)

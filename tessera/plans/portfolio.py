@@ -155,3 +155,19 @@ def correlation_scale(spark, sf_dir):
     open_ = valued(spark, sf_dir).where("not is_cash").groupBy("owner", "asset").agg((net * F.first("price")).alias("value"))
     corr = stats.correlation_matrix(stats.returns(levels(spark, sf_dir), "asset").withColumnRenamed("asset", "sym"))
     return pf.correlation_scale(entries, open_, corr)
+
+
+@register("factor_correlations", f"""with {LEVELS}, cr as (select a.d, a.close / b.close as close from fl a join fl b on a.d = b.d and a.currency = 'USD' and b.currency = 'EUR' where b.close <> 0),
+fa as (select 'usd_rub' as factor, d, ret from fr where currency = 'USD' union all select 'usd_eur', d, ret from (select d, close / lag(close) over w - 1 as ret, date_diff('day', lag(d) over w, d) as gap from cr window w as (order by d)) where gap <= 4),
+x as (select asset, factor, ar.ret as a, fa.ret as b from ar join fa using (d)
+  union all select a.asset, 'sector_peers', any_value(a.ret), avg(p.ret) from ar a join ar p on a.d = p.d and a.asset <> p.asset and split_part(a.asset, '/', 2) = split_part(p.asset, '/', 2) group by a.asset, a.d having count(*) >= 3)
+select asset as sym, factor, count(*) as n, round(corr(a, b), 6) as r from x group by 1, 2 having count(*) >= 20 and var_pop(a) > 0 and var_pop(b) > 0""")
+def factor_correlations(spark, sf_dir):
+    """With the dollar, the dollar in euros, and the other symbols listed on the same date."""
+    rets = stats.returns(levels(spark, sf_dir), "asset").withColumnRenamed("asset", "sym")
+    fx = fx_levels(spark, sf_dir)
+    cross = stats.returns(stats.cross_levels(fx, "USD", "EUR").withColumn("currency", F.lit("usd_eur")), "currency")
+    usd = stats.returns(fx.where("currency = 'USD'"), "currency").withColumn("currency", F.lit("usd_rub"))
+    factors = usd.unionByName(cross).withColumnRenamed("currency", "factor")
+    sectors = rets.select("sym").distinct().withColumn("sector", F.split("sym", "/")[1])
+    return stats.factor_correlations(rets, factors).unionByName(stats.peer_correlations(rets, sectors)).withColumn("r", F.round("r", 6))
