@@ -13,8 +13,11 @@ UNTRADED = ("inverted_hammer", "doji")
 
 
 def marked(bars: DataFrame, trend: int = 10) -> DataFrame:
-    """bars with hits: an array of (pattern, direction); direction 1 bullish after a fall, -1 bearish after a rise, 0 doji."""
-    w = by_symbol()
+    """bars with hits: an array of (pattern, direction); direction 1 bullish after a fall, -1 bearish after a rise, 0 doji.
+
+    Bars without a column of open, high or low have the close there; with closes alone nothing is found."""
+    w, given = by_symbol(), bars.columns
+    bars = bars.withColumns({x: F.col("close") for x in ("open", "high", "low") if x not in given})
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     d = bars.withColumn("_m", sma(c, trend))
     lag = lambda x, n=1: F.lag(x, n).over(w)
@@ -40,7 +43,7 @@ def marked(bars: DataFrame, trend: int = 10) -> DataFrame:
         ("evening_star", -1): (c2 > o2) & star & (c < o) & (c <= (o2 + c2) / 2) & (rise == 1),
     }
     hits = F.array(*[F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(p).alias("pattern"), F.lit(way).alias("direction"))) for (p, way), ok in found.items()])
-    return d.select(*bars.columns, F.filter(hits, lambda x: x.isNotNull()).alias("hits"))
+    return d.select(*given, F.filter(hits, lambda x: x.isNotNull()).alias("hits"))
 
 
 def patterns(bars: DataFrame, trend: int = 10) -> DataFrame:

@@ -91,7 +91,9 @@ def signals(bars: DataFrame, strategy: str, combos: list[dict]) -> tuple[DataFra
             d = bollinger(d, n, 1.0).withColumns({f"_mid{n}": F.col("boll_mid"), f"_dev{n}": full(F.stddev_samp(c).over(last(n)), c, n)})
         mid, dev = (lambda p: F.col(f"_mid{p.get('window', 20)}")), (lambda p: F.col(f"_dev{p.get('window', 20)}"))
         return _events(d, [(c <= F.round(mid(p) - p.get("k", 2.0) * dev(p), 2), c >= F.round(mid(p), 2)) for p in combos])
-    if strategy == "candles":  # bars with open, high and low
+    if strategy == "candles":
+        if not {"open", "high", "low"} <= set(bars.columns):
+            raise ValueError("strategy candles needs bars with open, high and low")
         d, trend = bars, lambda p: p.get("trend", 10)
         for n in sorted({trend(p) for p in combos}):
             d = reversals(d, n, f"_way{n}")

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from tessera.operators import candlesticks as cs
+from tessera.operators import search
 
 UP = [(100 + 2 * i, 101.2 + 2 * i, 99.8 + 2 * i, 101 + 2 * i) for i in range(14)]
 DOWN = [(140 - 2 * i, 140.2 - 2 * i, 138.8 - 2 * i, 139 - 2 * i) for i in range(14)]
@@ -73,3 +74,10 @@ def test_flat_empty_and_extra_columns(spark):
     assert cs.candles(flat.limit(0)).collect() == []
     extra = flat.withColumn("hits_of", flat["close"])
     assert cs.candles(extra).count() == 12
+
+
+def test_closes_alone(spark):
+    closes = frame(spark, walk(3, 60)).select("sym", "d", "close")
+    assert {r.signal for r in cs.candles(closes, both_ways=True).collect()} == {0}
+    with pytest.raises(ValueError, match="open, high and low"):
+        search.leaderboard(closes, "candles")
