@@ -39,12 +39,12 @@ def pressure(articles: DataFrame, as_of: str, days: int = 7) -> DataFrame:
     return d.groupBy("asset_id").agg((F.sum("significance") / days).alias("pressure"))
 
 
-def impacts(articles: DataFrame) -> DataFrame:
-    """(id, asset_id, direction, magnitude) of salient links: min(1, type weight * max(|score| or .3, .2)), 3 places."""
+def impacts(articles: DataFrame, *keep: str) -> DataFrame:
+    """(id, asset_id, direction, magnitude, and the columns to keep) of salient links: min(1, type weight * max(|score| or .3, .2)), 3 places."""
     w = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in TYPE_WEIGHT.items() for x in kv]), F.col("type")), F.lit(0.3))
     strength = F.greatest(F.when(F.col("score") == 0, 0.3).otherwise(F.abs(F.coalesce("score", F.lit(0.3)))), F.lit(0.2))
     way = F.when(F.col("score") > 0, "positive").when(F.col("score") < 0, "negative").otherwise("neutral")
-    return articles.where(salient()).select("id", "asset_id", way.alias("direction"), F.round(F.least(F.lit(1.0), w * strength), 3).alias("magnitude"))
+    return articles.where(salient()).select("id", "asset_id", way.alias("direction"), F.round(F.least(F.lit(1.0), w * strength), 3).alias("magnitude"), *keep)
 
 
 def outcomes(events: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
