@@ -2,6 +2,8 @@
 
 from datetime import date, datetime
 
+from pyspark.sql import functions as F
+
 from tessera.sources import payloads as pl
 
 FX = '<?xml version="1.0" encoding="windows-1251"?><ValCurs ID="R01235"><Record Date="12.01.2026" Id="R01235"><Nominal>10</Nominal><Value>112,34</Value><VunitRate>11,234</VunitRate></Record><Record Date="13.01.2026" Id="R01235"><VunitRate>bad</VunitRate></Record><Record Date="31.02.2026"><VunitRate>1,5</VunitRate></Record><Record Date="14.01.2026"></Record><Record><VunitRate>2</VunitRate></Record><Record Date="15.01.2026"><VunitRate>12</VunitRate></Record></ValCurs>'
@@ -49,3 +51,28 @@ def test_yearly_reports(spark):
         (0, "revenue", 1e12, "RUB", "2024"), (0, "revenue", 1234.5e9, "RUB", "2023"), (0, "roe", 15.1, "pct", "2023"), (0, "roe", 16.0, "pct", "2024"),
     ]
     assert got == sorted(want, key=str)
+
+
+def whole(df, fields):
+    """The records by one parse of each whole text."""
+    schema = f"Record array<struct<_Date: string, _Code: string, _Id: string, {fields}: string>>"
+    return df.where("payload != ''").select("id", F.explode(F.from_xml("payload", schema, {"mode": "PERMISSIVE"})["Record"]).alias("r"))
+
+
+def metal(i):
+    return f'<Record Date="{i % 28 + 1}.01.2026" Code="{i % 6}"><Buy>1</Buy><Sell>{i},5</Sell></Record>'
+
+
+ODD = ["<V/>", "<V></V>", "text", "<V>{0}", "<V>{0}</V>tail", "<V>{0}</V><V>{1}</V>", "<V>{0}<Record></V>", '<V><!-- <Record Date="9"> -->{0}<![CDATA[<Record Date="8"/>]]>text {1}</V>', "<V><X>{0}</X>{1}</V>", "<V>{0}<a><b><c><d>1</d></c></b></a>{1}</V>",
+       '<?xml version="1.0"?><!-- <V> --><v:V xmlns:v="u" a="b>c"><v:Record Code="1"/>{0}</v:V >', "<!DOCTYPE V><V>{0}</V>", "<V>{0}&bad;</V>", "<V>{0}<Record a='1' a='2'/></V>", "  <V\n>{0}\n<?p <x> ?><Record Date=\"/>\"/>{1}</V>", '<V><record Date="1.1.2026" Code="2"><sell>1</sell></record>{1}</V>', "<Record>{1}</Record>"]
+
+
+def test_xml_in_pieces(spark):
+    """A long text is parsed in pieces of few records, and gives what one parse gives; so do odd ones."""
+    many = "".join(metal(i) + " \n" * (i % 2) for i in range(1, 1002))
+    df = frame(spark, f"<Metall>{many}</Metall>", f"<Metall>{many}", f"<Metall><!-- x -->{many}<a><b><c><d/></c></b></a></Metall>", *(x.replace("{0}", metal(1)).replace("{1}", metal(2)) for x in ODD))
+    parts = pl._pieces(df, "id", "payload").where("piece is not null")
+    assert parts.where("id = 0").count() > 5 and parts.where("id <> 2").agg(F.max(F.size(F.regexp_extract_all("piece", F.lit("<Record"), F.lit(0))))).first()[0] <= pl.PIECE
+    got = rows(pl._records(df, "id", "payload", "Sell").where("r is not null"))
+    assert len(got) > 2002 and got == rows(whole(df, "Sell"))
+    assert {r.id: r.n for r in pl.metal_prices(df).groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect() if r.id < 3} == {0: 668, 2: 668}
