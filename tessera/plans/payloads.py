@@ -10,12 +10,16 @@ from tessera.sources import payloads
 from tessera.sources.tables import table
 
 
+#: Keys of a payload: a feed is asked for one stretch after the other.
+STRETCH = 1 << 14
+
+
 def _joined(d, key: str, order: str, record: str, head: str, tail: str, sep: str = ""):
-    """(id, payload): the records of each key, in order, between head and tail. Stretches of the order are joined first, so no task holds the single records of a key."""
-    joined = lambda order: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("r")))), lambda x: x["r"]), sep)
+    """(id, payload): the records of each key, in order, between head and tail, a payload for each stretch of the order. All of a key in one payload would be too
+    large for a task, and beyond 2 GB for Spark."""
     rows = d.select(F.expr(key).alias("id"), F.expr(order).alias("o"), F.expr(record).alias("r"))
-    parts = rows.groupBy("id", F.floor(F.col("o") / 65536).alias("part")).agg(F.nullif(joined(F.col("o")), F.lit("")).alias("r"))
-    return parts.groupBy("id").agg(joined(F.col("part")).alias("rs")).select("id", F.concat(F.lit(head), "rs", F.lit(tail)).alias("payload"))
+    rows = rows.groupBy("id", F.floor(F.col("o") / STRETCH)).agg(F.array_sort(F.collect_list(F.struct("o", "r"))).alias("rs"))
+    return rows.select("id", F.concat(F.lit(head), F.array_join(F.transform("rs", lambda x: x["r"]), sep), F.lit(tail)).alias("payload"))
 
 
 @register("fx_payloads", "select o_custkey % 40 as id, o_orderdate::date as d, o_totalprice as value from orders where o_orderkey % 7 not in (1, 2, 3)")

@@ -42,26 +42,25 @@ _LEAF = rf"{_SELF}|{_OPEN}(?:{_MISC})*+{_CLOSE}"
 _MID = rf"{_SELF}|{_OPEN}(?:{_MISC}|{_LEAF})*+{_CLOSE}"
 _ITEM = rf"(?>{_MISC}|{_SELF}|{_OPEN}(?:{_MISC}|{_MID})*+{_CLOSE})"
 _HEAD = rf"\A(?:[^<]++|<\?[\s\S]*?\?>|<!--[\s\S]*?-->)*+{_OPEN}"
-#: Items of a piece of an XML text.
-PIECE = 200
+#: Items of a piece of an XML text, and characters of a text that is parsed whole.
+PIECE, LONG = 200, 1 << 16
 
 
 def _pieces(payloads: DataFrame, id: str, payload: str) -> DataFrame:
-    """(id, piece): well-formed XML texts in texts of up to PIECE items of their root, each with the whole root tag. Spark's parser copies all
-    records found so far for each new one, so one long text takes the square of its length. A text of deeper elements, or with a document type,
-    stays in one piece."""
-    text = F.nullif(F.col(payload), F.lit(""))
+    """(id, piece): long well-formed XML texts in texts of up to PIECE items of their root, each with the whole root tag. Spark's parser copies all
+    records found so far for each new one, so one long text takes the square of its length. A short text, one of deeper elements, or one with a
+    document type stays in one piece."""
+    text, long = F.nullif(F.col(payload), F.lit("")), F.length("_text") > LONG
     d = payloads.select(id, text.alias("_text"))
-    d = d.select(id, "_text", F.from_xml("_text", "_none string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull().alias("_bad"), F.regexp_extract("_text", f"({_HEAD})", 1).alias("_head"))
+    d = d.select(id, "_text", F.when(long, F.from_xml("_text", "_none string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})["_bad"].isNotNull()).otherwise(False).alias("_bad"), F.when(long, F.regexp_extract("_text", f"({_HEAD})", 1)).alias("_head"))
     items = F.when(~F.col("_bad") & (F.col("_head") != ""), F.regexp_extract_all("_text", F.lit(rf"(?:{_HEAD}|\G(?!\A))((?:{_ITEM}){{1,{PIECE}}}+)"), F.lit(1)))
     d = d.select(id, "_text", "_bad", "_head", items.alias("_items"))
     end = F.length("_head") + F.aggregate("_items", F.lit(0), lambda n, x: n + F.length(x))
     tail = F.concat(F.lit("</"), F.regexp_extract("_head", r"<([^!?/\s<>][^\s<>/]*)[^<]*\z", 1), F.lit(">"))
     whole = F.col("_items").isNotNull() & (F.substring("_text", end + 1, F.lit(2)) == "</")
     d = d.select(id, "_head", tail.alias("_tail"), "_items", F.when(~F.col("_bad"), F.col("_text")).alias("_text"), F.coalesce(whole, F.lit(False)).alias("_cut"))
-    d = d.select(id, "_head", "_tail", "_cut", F.posexplode_outer(F.when(F.col("_cut"), F.col("_items")).otherwise(F.array("_text"))).alias("_at", "_piece"))  # outer: else the array is made again for a filter before it
-    d = d.select(id, "_at", F.when(F.col("_cut"), F.concat("_head", "_piece", "_tail")).otherwise(F.col("_piece")).alias("piece"))
-    return d.repartition(id, "_at").select(id, "piece")
+    d = d.select(id, "_head", "_tail", "_cut", F.explode_outer(F.when(F.col("_cut"), F.col("_items")).otherwise(F.array("_text"))).alias("_piece"))  # outer: else the array is made again for a filter before it
+    return d.select(id, F.when(F.col("_cut"), F.concat("_head", "_piece", "_tail")).otherwise(F.col("_piece")).alias("piece"))
 
 
 def _records(payloads: DataFrame, id: str, payload: str, fields: str) -> DataFrame:

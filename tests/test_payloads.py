@@ -4,6 +4,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from tessera.plans import payloads as plans
 from tessera.sources import payloads as pl
 
 FX = '<?xml version="1.0" encoding="windows-1251"?><ValCurs ID="R01235"><Record Date="12.01.2026" Id="R01235"><Nominal>10</Nominal><Value>112,34</Value><VunitRate>11,234</VunitRate></Record><Record Date="13.01.2026" Id="R01235"><VunitRate>bad</VunitRate></Record><Record Date="31.02.2026"><VunitRate>1,5</VunitRate></Record><Record Date="14.01.2026"></Record><Record><VunitRate>2</VunitRate></Record><Record Date="15.01.2026"><VunitRate>12</VunitRate></Record></ValCurs>'
@@ -76,3 +77,19 @@ def test_xml_in_pieces(spark):
     got = rows(pl._records(df, "id", "payload", "Sell").where("r is not null"))
     assert len(got) > 2002 and got == rows(whole(df, "Sell"))
     assert {r.id: r.n for r in pl.metal_prices(df).groupBy("id").agg(F.count(F.lit(1)).alias("n")).collect() if r.id < 3} == {0: 668, 2: 668}
+
+
+def test_odd_xml_that_is_long(spark):
+    """Texts beyond LONG, odd ones too, give what one parse gives."""
+    many = "".join(metal(i) for i in range(1, 1002))
+    df = frame(spark, *(x.replace("{0}", metal(1)).replace("{1}", metal(2) + many) for x in ODD), *(x.replace("{0}", many) for x in ODD))
+    got = rows(pl._records(df, "id", "payload", "Sell").where("r is not null"))
+    assert len(got) > 12 * 1001 and got == rows(whole(df, "Sell"))
+
+
+def test_payloads_of_stretches(spark):
+    """No payload holds all of a key; together they hold every record once."""
+    d = spark.range(50000).selectExpr("id", "if(id % 9 = 0, null, concat('<r>', id, '</r>')) as r")
+    got = plans._joined(d, "id % 2", "id", "r", "<v>", "</v>", "\n").collect()
+    assert len(got) == 8 and max(r.payload.count("<r>") for r in got) <= plans.STRETCH / 2
+    assert sorted(x for r in got for x in r.payload[3:-4].split("\n")) == sorted(f"<r>{i}</r>" for i in range(50000) if i % 9)
